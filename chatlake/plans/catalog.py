@@ -1,0 +1,9 @@
+"""The registered queries over the given tables, and their SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
