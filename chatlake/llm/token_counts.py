@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -19,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Bounds of tier one, and entries of a worker's cache before it starts anew.
-TABLE_ROWS, SAMPLE_ROWS, CACHE = 65_536, 4_000, 600_000
+#: Bounds of tier one and of the sample that fills it, and entries of a worker's cache before it starts anew.
+TABLE_ROWS, SAMPLE_ROWS, SAMPLE_CHARS, CACHE = 65_536, 2_000, 20_000, 600_000
 #: A pre-token without the space before it: what follows a single space, or the further spaces and what follows them.
 _PRETOKEN = re.compile(r"(?:^| )( *[^ ]+)")
 
@@ -73,24 +72,16 @@ class Counts(dict):
 _ready: dict[tuple, Counts] = {}
 
 
-def frequent_pretokens(texts: DataFrame, text_col: str, rows: int = TABLE_ROWS, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The most frequent pre-tokens of a sample of about sample_rows texts; at most `rows` reach the driver."""
-    total = texts.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    sample = texts.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for batch in batches:
-            for x in batch[text_col]:
-                if x:
-                    found.update(x.split(" "))
-        found.pop("", None)
-        best = found.most_common(rows)
-        yield pd.DataFrame({"pretoken": [x[0] for x in best], "n": [x[1] for x in best]})
-
-    counted = sample.mapInPandas(tally, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "pretoken").limit(rows).collect()]
+def frequent_pretokens(texts: DataFrame, text_col: str, rows: int = TABLE_ROWS, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> list[str]:
+    """At most `rows` pre-tokens, the most frequent of a sample of sample_rows texts of up to sample_chars characters each.
+
+    The sample is what Spark finds first, so filling the table neither scans the corpus again nor shuffles a pre-token.
+    """
+    found: Counter = Counter()
+    for (text,) in texts.select(text_col).where(F.length(text_col).between(1, sample_chars)).limit(sample_rows).collect():
+        found.update(text.split(" "))
+    found.pop("", None)
+    return [x for x, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:rows]]
 
 
 def token_count(text: Column, path: str, table) -> Column:
