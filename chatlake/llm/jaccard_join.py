@@ -87,11 +87,21 @@ def set_key(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _children(node: int, sketch: np.ndarray) -> np.ndarray:
-    """The names of the children that a node sends a set to."""
+def _branches(node: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions that a node chooses, and the seeds of its children's names there."""
     chosen = np.flatnonzero(mix64(np.uint64(node) + np.arange(1, T + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) < np.uint64(int(2**64 / (SPLIT * T))))
-    at = chosen.astype(np.uint64)
-    return mix64(mix64(np.uint64(node) ^ mix64(at + np.uint64(1))) + sketch[chosen].astype(np.uint64)).view(np.int64)
+    return chosen, mix64(np.uint64(node) ^ mix64(chosen.astype(np.uint64) + np.uint64(1)))
+
+
+def _children(branches: tuple[np.ndarray, np.ndarray], sketch: np.ndarray) -> np.ndarray:
+    """The names of the children that a set is sent to."""
+    return mix64(branches[1] + sketch[branches[0]].astype(np.uint64)).view(np.int64)
+
+
+def _roots(runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The branches of the starting nodes of all runs; they are the same for every set."""
+    each = [_branches(int(x)) for x in mix64(np.arange(1, runs + 1, dtype=np.uint64))]
+    return np.concatenate([c for c, _ in each]), np.concatenate([s for _, s in each])
 
 
 def _agreement(sketches: np.ndarray) -> np.ndarray:
@@ -143,15 +153,14 @@ def similar_documents(
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = _word_codes()
+        codes, roots = _word_codes(), _roots(runs)
         for batch in batches:
             out = []
             for i, x in zip(batch["id"], batch["text"], strict=True):
                 items = shingles(x, codes, n)
                 if len(items):
                     sketch = min_hashes(items)
-                    nodes = np.concatenate([_children(int(mix64(np.array([r + 1], np.uint64))[0]), sketch) for r in range(runs)])
-                    out.append((i, set_key(items), sketch.tobytes(), nodes))
+                    out.append((i, set_key(items), sketch.tobytes(), _children(roots, sketch)))
                 else:
                     out.append((i, None, None, None))
             yield pd.DataFrame(out, columns=["id", "key", "sketch", "nodes"])
@@ -161,7 +170,7 @@ def similar_documents(
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kids = [_children(node & (1 << 64) - 1, np.frombuffer(s, np.uint32)) for node, s in zip(batch["node"].tolist(), batch["sketch"], strict=True)]
+            kids = [_children(_branches(node & (1 << 64) - 1), np.frombuffer(s, np.uint32)) for node, s in zip(batch["node"].tolist(), batch["sketch"], strict=True)]
             yield pd.DataFrame({"key": batch["key"], "nodes": kids})
 
     at = sets.select(F.explode("nodes").alias("node"), "key")
