@@ -78,9 +78,9 @@ def rank(queries: DataFrame, index: Index) -> DataFrame:
     longer = starts.groupBy(*key, "m", "col", "start").agg(F.count(F.lit(1)).alias("c")).where("c = m").groupBy(*key).agg(F.count(F.lit(1)).alias("f"))
     found = single.unionByName(longer)
     spread = found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
-    stats = index.doc_lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    stats = index.doc_lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avgdl"))
     joined = found.join(spread.hint("merge"), ["query_id", "phrase"]).join(index.doc_lengths.hint("merge"), "message_id").crossJoin(F.broadcast(stats))  # one row of statistics
-    raw = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    raw = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = joined.groupBy("query_id", "k", "message_id", "conversation_id").agg(F.count(F.lit(1)).alias("_p"), (-F.sum(part)).alias("score"))
@@ -109,7 +109,7 @@ def search_batch(queries: DataFrame, index: Index, conversations: DataFrame, mes
     """
     allowed = filtered(conversations, **filters).select(F.col("id").alias("conversation_id"), "source", "title")
     ranked = rank(queries, index).join(allowed.hint("merge"), "conversation_id").withColumn("message_index", F.element_at(F.split("message_id", ":"), -1).cast("int"))
-    order = Window.partitionBy("query_id").orderBy("score", "conversation_id", "message_index")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9), "conversation_id", "message_index")
     top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, limit))
     full = top.join(messages.select(F.col("id").alias("message_id"), "role", "timestamp", "content").hint("merge"), "message_id")
     columns = ["query_id", "rank", "score", "conversation_id", "message_id", "message_index", "source", "title", "role", "timestamp"]

@@ -1,9 +1,402 @@
 """The registered queries over the given tables, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import uuid
+from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from chatlake.functions import text as T
+from chatlake.operators import export, normalize, reports, search, stats, store
+from chatlake.plans.adapters import archive, archive_sql, documents_archive, exports_of
+from chatlake.streaming.ingest import ingest_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _found[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder in the shared one that the session names; in tests, where it names none, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="chatlake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/archive/{uuid.uuid4().hex}"
+
+
+# Search
+
+
+def _bm25_sql(asked: dict[str, str], docs: str = "conversations", where: str = "true", limit: int = 20) -> str:
+    """hits(query_id, rank, score, message_id, conversation_id, ...) of queries, as common table expressions."""
+    toks = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+    base = (
+        archive_sql() + f", d AS (SELECT m.id AS message_id, conversation_id, message_index, role, source, title, created_at, {toks.format('title')} AS t0, {toks.format('content')} AS t1 FROM m JOIN c ON c.id = m.conversation_id)"
+        if docs == "conversations"
+        else f"d AS (SELECT doc_id || ':0' AS message_id, CAST(doc_id AS VARCHAR) AS conversation_id, 0 AS message_index, 'user' AS role, source, '' AS title, '' AS created_at, CAST([] AS VARCHAR[]) AS t0, coalesce({toks.format('text')}, []) AS t1 FROM documents)"
+    )
+    parts = []
+    for name, query in asked.items():
+        import re
+
+        terms = [t for p in re.findall(r"[^\s\"']+", query) if (t := re.findall(r"[^\W_]+", p.lower()))]
+        for k, ph in enumerate(terms):
+            test = " AND ".join(f"{{0}}[i + {o}] = '{t}'" for o, t in enumerate(ph))
+            f = " + ".join(f"len(list_filter(range(1, len({c}) - {len(ph)} + 2), lambda i: {test.format(c)}))" for c in ("t0", "t1"))
+            parts.append(f"SELECT '{name}' AS query_id, {k} AS phrase, {len(terms)} AS k, message_id, {f} AS f, len(t0) + len(t1) AS dl FROM d")
+    return f"""
+    {base}, tf AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE f > 0),
+    st AS (SELECT count(*) AS nn, avg(len(t0) + len(t1)) AS av FROM d), df AS (SELECT query_id, phrase, count(*) AS n FROM tf GROUP BY ALL),
+    sc AS (
+      SELECT query_id, message_id, -sum(CASE WHEN ln((nn - n + 0.5) / (n + 0.5)) > 0 THEN ln((nn - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / av))) AS score
+      FROM tf JOIN df USING (query_id, phrase), st GROUP BY query_id, k, message_id HAVING count(*) = k
+    ), hits AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), conversation_id, message_index) AS INTEGER) AS rank
+      FROM sc JOIN d USING (message_id) WHERE {where} QUALIFY rank <= {limit}
+    )"""
+
+
+_HIT = "query_id, rank, round(score, 6) AS score, conversation_id, message_id, message_index, source, title, role"
+WORDS = {"one": "the", "two": "that was"}
+PHRASE = {"of-the": "of-the", "quoted": "\"of the\" and"}
+MANY = {f"q{k}": w for k, w in enumerate(["the", "of", "and the", "in-the", "this that", "from", "with or", "is of", "for and", "not"])}
+
+
+def _ask(spark: SparkSession, asked: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(asked.items()), "query_id string, query string")
+
+
+def _hits(spark: SparkSession, sf_dir: str, asked: dict[str, str], limit: int = 20, **filters) -> DataFrame:
+    c, m = archive(spark, sf_dir)
+    return search.search_batch(_ask(spark, asked), search.build(c, m), c, m, limit, with_excerpts=False, **filters).drop("timestamp").withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {_bm25_sql(WORDS)} SELECT {_HIT} FROM hits")
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, WORDS)
+
+
+@_query(f"WITH {_bm25_sql(PHRASE)} SELECT {_HIT} FROM hits")
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, PHRASE)
+
+
+@_query(f"WITH {_bm25_sql(MANY, limit=10)} SELECT {_HIT} FROM hits")
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, MANY, 10)
+
+
+_FILTERS = {"provider": "claude", "date_from": "2024-01-01T12:00:00", "date_to": "2024-01-31", "title": "th"}
+
+
+@_query(f"WITH {_bm25_sql(WORDS, where="source = 'claude' AND created_at >= '2024-01-01T12:00:00' AND created_at <= '2024-01-31' AND title ILIKE '%th%'")} SELECT {_HIT} FROM hits")
+def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, WORDS, **_FILTERS)
+
+
+@_query(
+    f"""WITH {_bm25_sql(WORDS, limit=120)}, g AS (SELECT query_id, conversation_id, min(rank) AS best, count(*) AS match_count, array_to_string(list(message_id ORDER BY rank)[1:3], ',') AS shown FROM hits GROUP BY ALL)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best) AS INTEGER) AS place, conversation_id, match_count, shown, source, title, raw_message_count FROM g JOIN c ON c.id = conversation_id QUALIFY place <= 20"""
+)
+def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = archive(spark, sf_dir)
+    groups = search.search_conversations(_ask(spark, WORDS), search.build(c, m), c, m)
+    return groups.select("query_id", "place", "conversation_id", "match_count", F.array_join(F.transform("excerpts", lambda e: e["message_id"]), ",").alias("shown"), "source", "title", "raw_message_count")
+
+
+@_query(f"WITH {_bm25_sql({'d': 'the', 'e': 'los', 'f': 'été'}, docs='documents')} SELECT {_HIT} FROM hits".replace("'été'", "'ete'"))
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = documents_archive(spark, sf_dir)
+    asked = _ask(spark, {"d": "the", "e": "los", "f": "été"})
+    return search.search_batch(asked, search.build(c, m), c, m, with_excerpts=False).drop("timestamp").withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {_bm25_sql(MANY, limit=10)} SELECT {_HIT} FROM hits")
+def search_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = archive(spark, sf_dir)
+    root = work_dir(spark)
+    search.save(search.build(c, m.where("message_index % 2 = 0")), root)
+    odd = search.build(c, m.where("message_index % 2 = 1"))
+    search.save(odd, root, "append")
+    return search.search_batch(_ask(spark, MANY), search.load(spark, root), c, m, 10, with_excerpts=False).drop("timestamp").withColumn("score", F.round("score", 6))
+
+
+@_query()
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = archive(spark, sf_dir)
+    return search.search_batch(_ask(spark, WORDS | PHRASE), search.build(c, m), c, m).select("query_id", "rank", "message_id", "excerpt")
+
+
+@_query(f"WITH {archive_sql()} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(title, '[^ ]+'), lambda t: regexp_replace(regexp_replace(t, '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '')), lambda t: t <> ''))), ' ') AS terms FROM c")
+def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(spark, sf_dir)[0].select("id", F.array_join(F.array_sort(T.highlight_terms(F.replace(F.replace("title", F.lit('"'), F.lit("")), F.lit("'"), F.lit("")))), " ").alias("terms"))
+
+
+@_query(f"WITH {archive_sql()} SELECT m.id, regexp_replace(content, '(?i)(the|of)', '<mark>\\1</mark>', 'g') AS marked FROM m")
+def mark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(spark, sf_dir)[1].select("id", T.mark_terms(F.col("content"), F.array(F.lit("the"), F.lit("of"))).alias("marked"))
+
+
+# Statistics and lookups
+
+
+@_query(f"WITH {archive_sql()} SELECT count(*) AS total_conversations, coalesce(sum(raw_message_count), 0)::BIGINT AS total_messages, min(nullif(created_at, '')) AS first_date, max(nullif(created_at, '')) AS last_date FROM c")
+def stats_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.totals(archive(spark, sf_dir)[0])
+
+
+_BY_SOURCE = "SELECT source, count(DISTINCT c.id) AS conversations, count(m.id) AS messages FROM c LEFT JOIN m ON m.conversation_id = c.id GROUP BY source"
+
+
+@_query(f"WITH {archive_sql()} {_BY_SOURCE}")
+def stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.by_source(*archive(spark, sf_dir))
+
+
+@_query(f"WITH {archive_sql()}, s AS ({_BY_SOURCE}) SELECT * FROM s UNION ALL SELECT NULL, sum(conversations)::BIGINT, sum(messages)::BIGINT FROM s")
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.facets(*archive(spark, sf_dir))
+
+
+@_query(f"WITH {archive_sql()} SELECT id, title, raw_message_count FROM c ORDER BY raw_message_count DESC, title, id LIMIT 5")
+def stats_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.longest(archive(spark, sf_dir)[0]).select("id", "title", "raw_message_count")
+
+
+@_query(f"WITH {archive_sql()} SELECT conversation_id, title, source, message_index, role, content FROM m JOIN c ON c.id = m.conversation_id WHERE c.conv_id = (SELECT max(conv_id) FROM c)")
+def conversation_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = archive(spark, sf_dir)
+    last = c.orderBy(F.desc("conv_id")).select("id").first()[0]
+    return stats.detail(c, m, last).drop("timestamp")
+
+
+@_query(f"WITH {archive_sql()}, t AS (SELECT conversation_id, message_index AS target_index FROM m WHERE message_index % 3 = 1) SELECT m.id, target_index FROM t JOIN m ON m.conversation_id = t.conversation_id AND abs(m.message_index - target_index) <= 2")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = archive(spark, sf_dir)[1]
+    return stats.context_window(m, m.where("message_index % 3 = 1").select("conversation_id", "message_index")).select("id", "target_index")
+
+
+# Ingest
+
+
+def _export_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Export files of the conversations table, written to the shared folder and read back with the library's source."""
+    c, m = archive(spark, sf_dir)
+    tree, flat = exports_of(c, m.where("role <> 'system'"))
+    root = work_dir(spark)
+    for name, rows in (("a", tree), ("b", flat)):
+        rows.select(F.concat(F.lit(f"{name}/"), F.col("id"), F.lit(".json")).alias("source_path"), "value").write.parquet(f"{root}/{name}")
+    files = spark.read.parquet(f"{root}/a").unionByName(spark.read.parquet(f"{root}/b"))
+    broken = files.select(F.concat(F.lit("broken/"), F.col("source_path")).alias("source_path"), F.expr("substring(value, 1, length(value) - 3)").alias("value"))
+    return files.unionByName(broken.where("source_path like '%0.json'")), root
+
+
+_KEPT = "SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content FROM m WHERE role <> 'system' AND regexp_matches(content, '[^\\s]')"
+
+
+@_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, conversation_id, message_index, role, content FROM k")
+def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = _export_files(spark, sf_dir)
+    return normalize.explode_messages(normalize.normalize(files)[0]).select("id", "conversation_id", "message_index", "role", "content")
+
+
+@_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT c.id, source, title, created_at, CAST(count(*) AS INTEGER) AS raw_message_count FROM k JOIN c ON c.id = k.conversation_id GROUP BY ALL")
+def ingest_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = _export_files(spark, sf_dir)
+    return normalize.normalize(files)[0].select("id", "source", "title", "created_at", "raw_message_count")
+
+
+@_query(f"WITH {archive_sql()} SELECT 'broken/' || CASE WHEN source = 'chatgpt' THEN 'a/' ELSE 'b/' END || id || '.json' AS source_path, 'not valid JSON' AS reason FROM c WHERE id LIKE '%0'")
+def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = _export_files(spark, sf_dir)
+    return normalize.normalize(files)[1]
+
+
+_COUNTS = f"WITH {archive_sql()}, k AS ({_KEPT}), n AS (SELECT count(DISTINCT conversation_id) AS cs, count(*) AS ms FROM k), b AS (SELECT count(*) AS bad FROM c WHERE id LIKE '%0')"
+
+
+@_query(f"{_COUNTS} SELECT 1 AS run, cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b UNION ALL SELECT 2, cs, 0, 0, bad FROM n, b")
+def upsert_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, root = _export_files(spark, sf_dir)
+    runs = [store.ingest(spark, f"{root}/archive", files).withColumn("run", F.lit(k)) for k in (1, 2)]
+    return runs[0].unionByName(runs[1]).select("run", "parsed", "inserted_conversations", "inserted_messages", F.size("skipped_files").cast("long").alias("skipped"))
+
+
+@_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, role, content FROM k")
+def ingest_stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, root = _export_files(spark, sf_dir)
+    # Export files must have .json names to be found, so they are written by folder and given to the stream's batch function through Parquet.
+    files.write.parquet(f"{root}/incoming")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/incoming")
+    query = stream.writeStream.foreachBatch(lambda rows, _: store.ingest(rows.sparkSession, f"{root}/streamed", rows) and None).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return store.read(spark, f"{root}/streamed", "messages").select("id", "role", "content")
+
+
+# Reports
+
+_SELECT = "SELECT conv_id // 4 AS report_id, CAST(row_number() OVER (PARTITION BY conv_id // 4 ORDER BY conv_id) - 1 AS INTEGER) AS ord, id AS conversation_id, conv_id FROM c"
+
+
+def _selected(conversations: DataFrame) -> DataFrame:
+    key = F.floor(F.col("conv_id") / 4)
+    return conversations.select(key.alias("report_id"), (F.row_number().over(Window.partitionBy(key).orderBy("conv_id")) - 1).alias("ord"), F.col("id").alias("conversation_id"))
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    c, m = archive(spark, sf_dir, korean=True)
+    chosen = _selected(c)
+    return c, m, chosen, reports.inputs(chosen, c, m)
+
+
+_VOTE = """v AS (
+      SELECT report_id, sum(h) AS hangul, sum(l) AS latin FROM (
+        SELECT report_id, len(regexp_extract_all(content, '[가-힣]')) AS h, len(regexp_extract_all(content, '[A-Za-z]')) AS l FROM s JOIN m USING (conversation_id)
+        UNION ALL SELECT report_id, len(regexp_extract_all(title, '[가-힣]')), len(regexp_extract_all(title, '[A-Za-z]')) FROM s JOIN c ON c.id = s.conversation_id) GROUP BY report_id
+    )"""
+
+
+@_query(f"WITH {archive_sql(True)}, s AS ({_SELECT}), {_VOTE} SELECT report_id, hangul::BIGINT AS hangul, latin::BIGINT AS latin, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM v")
+def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.languages(_inputs(spark, sf_dir)[3])
+
+
+_COMPACT = "regexp_replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+_SHORT = f"CASE WHEN length({_COMPACT}) > 12000 THEN substr({_COMPACT}, 1, 8000) || chr(10) || chr(10) || '[...middle of long message omitted for a faster focused synthesis...]' || chr(10) || chr(10) || right({_COMPACT}, 4000) ELSE {_COMPACT} END"
+
+
+@_query(f"WITH {archive_sql()} SELECT id, sha256(x) AS digest, length(x) AS n FROM (SELECT id, {_SHORT} AS x FROM (SELECT id, repeat(content || chr(10) || chr(10) || chr(10) || chr(10), 1 + (conv_id % 7) * 10) AS content FROM m))")
+def compact_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = archive(spark, sf_dir)[1].withColumn("content", F.expr("repeat(concat(content, '\\n\\n\\n\\n'), cast(1 + (conv_id % 7) * 10 as int))"))
+    x = reports.compact_message(F.col("content"))
+    return m.select("id", F.sha2(x, 256).alias("digest"), F.length(x).cast("long").alias("n"))
+
+
+_DOCS = f"""docs AS (
+      SELECT report_id, ord, c.id AS conversation_id, '<conversation id="' || c.id || '" source="' || source || '">' || chr(10) || 'Title: ' || title || chr(10) || 'Created: ' || created_at || chr(10) || chr(10)
+        || string_agg('<message index="' || message_index || '" role="' || role || '">' || chr(10) || 'Source reference: [' || c.id || '#m' || message_index || ']' || chr(10) || {_SHORT} || chr(10) || '</message>' || chr(10) || chr(10), '' ORDER BY message_index)
+        || '</conversation>' AS document
+      FROM s JOIN c ON c.id = s.conversation_id JOIN m USING (conversation_id) GROUP BY report_id, ord, c.id, source, title, created_at
+    )"""
+
+
+@_query(f"WITH {archive_sql(True)}, s AS ({_SELECT}), {_DOCS} SELECT report_id, ord, sha256(document) AS digest, length(document) AS n FROM docs")
+def format_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.documents(_inputs(spark, sf_dir)[3]).select("report_id", "ord", F.sha2("document", 256).alias("digest"), F.length("document").cast("long").alias("n"))
+
+
+@_query()
+def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.pack_chunks(reports.documents(_inputs(spark, sf_dir)[3]), 10_000).select("report_id", "chunk", "n_chunks", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@_query()
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _inputs(spark, sf_dir)[3]
+    made = reports.chunk_prompts(reports.pack_chunks(reports.documents(rows), 10_000), reports.languages(rows))
+    return made.select("report_id", "chunk", "n_chunks", "language", F.sha2(F.concat("system", "prompt"), 256).alias("digest"), "max_tokens")
+
+
+@_query(f"WITH {archive_sql(True)}, s AS ({_SELECT}) SELECT report_id, count(DISTINCT ord) AS source_count, sum(length(content))::BIGINT AS source_chars FROM s JOIN m USING (conversation_id) GROUP BY report_id")
+def report_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _inputs(spark, sf_dir)[3]
+    return reports.measures(rows, reports.pack_chunks(reports.documents(rows), 10_000)).select("report_id", "source_count", "source_chars")
+
+
+def _stub(rows: pd.DataFrame) -> pd.Series:
+    """A deterministic generator: the citations of a prompt, in order, under one heading."""
+    found = rows["prompt"].str.findall(r"\[[0-9a-f]{16}#m\d+\]")
+    return "## Overview\n\n" + found.map(lambda x: " ".join(dict.fromkeys(x)))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c, m, chosen, _ = _inputs(spark, sf_dir)
+    return c, m, reports.build_reports(chosen, c, m, _stub, work_dir(spark), 10_000, provider="stub", model="echo", created_at="2024-06-01T00:00:00+00:00")
+
+
+_CITED = f"WITH {archive_sql(True)}, s AS ({_SELECT})"
+
+
+@_query()
+def map_merge_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir)[2].select("title", F.to_json("selected_conversation_ids").alias("selected"), F.sha2("markdown", 256).alias("digest"), F.length("markdown").alias("n"))
+
+
+@_query(f"{_CITED} SELECT report_id, m.id AS message_id FROM s JOIN m USING (conversation_id)")
+def citations_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m, made = _reports(spark, sf_dir)
+    named = made.withColumn("id", F.element_at(F.split("title", " "), -1).cast("long"))
+    return stats.cited_messages(named, m).select("report_id", "message_id")
+
+
+@_query(f"{_CITED} SELECT report_id, ord, c.id AS conversation_id, title, source FROM s JOIN c ON c.id = s.conversation_id")
+def report_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, _, made = _reports(spark, sf_dir)
+    named = made.withColumn("id", F.element_at(F.split("title", " "), -1).cast("long"))
+    return stats.report_sources(named, c).select("report_id", "ord", "conversation_id", "title", "source")
+
+
+@_query(f"{_CITED}, h AS (SELECT unnest(range(7)) AS k) SELECT report_id, k AS place, CASE WHEN language = 'ko' AND k > 0 THEN 'ko' ELSE 'en' END AS script FROM (SELECT report_id, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM (SELECT * FROM (WITH {_VOTE} SELECT * FROM v))), h")
+def report_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _reports(spark, sf_dir)[2].withColumn("id", F.element_at(F.split("title", " "), -1).cast("long"))
+    found = reports.outline(made)
+    place = (F.row_number().over(Window.partitionBy("report_id").orderBy("line")) - 1).cast("long")
+    return found.withColumn("place", place).where("place < 7").select("report_id", "place", F.when(F.col("text").rlike("[가-힣]"), "ko").otherwise("en").alias("script"))
+
+
+@_query(f"WITH {archive_sql()}, s AS (SELECT conv_id AS report_id, 0 AS ord, id || 'x' AS conversation_id FROM c WHERE conv_id % 3 = 0) SELECT report_id, conversation_id AS missing FROM s")
+def missing_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, _ = archive(spark, sf_dir)
+    x = F.when(F.col("conv_id") % 3 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id"))
+    chosen = reports.selections(c.select(F.col("conv_id").alias("report_id"), F.array(x, x).alias("selected_conversation_ids")))
+    return reports.missing(chosen, c).select("report_id", F.array_join("missing", ",").alias("missing"))
+
+
+# Exports
+
+_MD = """'---' || chr(10) || 'type: source-conversation' || chr(10) || 'conversation_id: ' || c.id || chr(10) || 'source: ' || source || chr(10) || 'title: ''' || title || '''' || chr(10) || 'created_at: ''' || created_at || '''' || chr(10)
+  || 'updated_at: None' || chr(10) || 'raw_message_count: ' || raw_message_count || chr(10) || 'source_path: ''conv/' || c.conv_id || '''' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10)
+  || '- Conversation ID: `' || c.id || '`' || chr(10) || '- Source: `' || source || '`' || chr(10) || '- Created: `' || created_at || '`' || chr(10) || chr(10) || '## Messages' || chr(10) || chr(10)
+  || string_agg('### [' || message_index || '] ' || role || chr(10) || chr(10) || '> Source: `' || c.id || '` message `' || message_index || '`' || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY message_index)"""
+
+
+@_query(
+    f"""WITH {archive_sql()} SELECT id, id || '-' || coalesce(nullif(trim(substr(regexp_replace(regexp_replace(regexp_replace(trim(lower(title)), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), 1, 60), '-'), ''), 'untitled') || '.md' AS file_name,
+    sha256(regexp_replace(md, '\\s+$', '') || chr(10)) AS digest FROM (SELECT c.id, title, {_MD} AS md FROM c JOIN m ON m.conversation_id = c.id GROUP BY c.id, source, title, created_at, raw_message_count, c.conv_id)"""
+)
+def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.conversation_markdown(*archive(spark, sf_dir)).select("id", "file_name", F.sha2("markdown", 256).alias("digest"))
+
+
+@_query()
+def export_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = archive(spark, sf_dir)
+    asked = _ask(spark, WORDS | PHRASE)
+    return export.search_dossier(asked, search.search_batch(asked, search.build(c, m), c, m, 50))
+
+
+__all__ = ["ingest_stream", "oracle_sql", "queries"]
