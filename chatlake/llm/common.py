@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most `rows` texts at a time pass to Python, unless the session's setting is lower: a batch's texts, their Python
+    strings and its results are all in memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and any executor may be lost."""
     spark = df.sparkSession

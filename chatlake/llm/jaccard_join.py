@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.llm.bpe import Cache
-from chatlake.llm.common import block_pairs, counted, cut, map_groups, mix64, star_edges, words
+from chatlake.llm.common import block_pairs, bound_batches, counted, cut, map_groups, mix64, star_edges, words
 from chatlake.llm.components import connected_components
 
 #: Min-hashes of a set; the share of them below which brute force rules a pair out is the threshold less MARGIN.
@@ -146,6 +146,7 @@ def similar_documents(
     among them, are copies: each links to all others. A null id takes the class of its copies, and where it is the only id of
     its set it is compared with no other set. Other columns are not read; an empty table gives no rows.
     """
+    bound_batches(documents.sparkSession)
     kind = dict(documents.dtypes)[id_col]
     runs = runs_for(recall, depth, threshold)
     limit = Fraction(threshold).limit_denominator(10**6)

@@ -14,6 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.llm.common import bound_batches
+
 UNKNOWN = "und"
 #: Bounds of a model, and of the labelled rows that it is fitted on.
 MAX_WORDS, MAX_GRAMS, MAX_ROWS = 120_000, 120_000, 20_000
@@ -61,6 +63,7 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", or
     The words and n-grams kept are the most frequent, max_words and max_grams of (language, string) in all, so what reaches
     the driver is bounded. No usable rows give a model without languages, which calls everything unknown.
     """
+    bound_batches(documents.sparkSession)
     usable = documents.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("_o")).where("text is not null and lang is not null")
     total = usable.count()
     if total > max_rows:
@@ -153,7 +156,8 @@ def language_of(text: Column, model: Broadcast) -> Column:
         of = _ready[id(learned)].predict
         return pd.DataFrame([of(x) for x in texts], columns=["lang_pred", "score"])
 
-    return predict(text)
+    # Else a filter on the struct would be moved below it, with a copy of the function for each field.
+    return predict.asNondeterministic()(text)
 
 
 def held_out(id_col: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.llm import bpe
-from chatlake.llm.common import cut
+from chatlake.llm.common import bound_batches, cut
 
 SEQUENCE, END_ID = 1024, 0
 #: Buckets of the hashed vector, dimensions of the projection and bits of each on the curve.
@@ -113,6 +113,7 @@ def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     partition, which hold powers of two. Other columns are not read; an empty table gives no rows. sequence_id is the partition's
     number times 2 ** 32 plus a running number.
     """
+    bound_batches(documents.sparkSession)
     kind = dict(documents.dtypes)[id_col]
     item = _encoder(path)[1]
 

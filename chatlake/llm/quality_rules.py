@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import words
+from chatlake.llm.common import bound_batches, words
 
 SYMBOLS = "#*$%&|<>"
 #: Words of a line that only separate entries of a menu.
@@ -113,7 +113,8 @@ def quality(text: Column, with_text: bool = False) -> Column:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(x)[: len(columns)] for x in texts], columns=columns)
 
-    return run(text)
+    # Else a filter on the struct would be moved below it, with a copy of the function for each field.
+    return run.asNondeterministic()(text)
 
 
 def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -122,10 +123,12 @@ def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no words, so they fail the base rules. Repeated rows stay; other columns are not read; an empty table
     gives no rows.
     """
+    bound_batches(documents.sparkSession)
     return documents.select(F.col(id_col), quality(F.col(text_col), with_text).alias("_q")).select(id_col, "_q.*")
 
 
 def clean_documents(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of documents that are kept, with the cleaned text, and chars_col, where there is one, set to its length."""
+    bound_batches(documents.sparkSession)
     kept = documents.withColumn("__quality", quality(F.col(text_col), with_text=True)).where("__quality.kept").withColumn(text_col, F.col("__quality.clean_text")).drop("__quality")
     return kept.withColumn(chars_col, F.length(text_col).cast(dict(documents.dtypes)[chars_col])) if chars_col in documents.columns else kept
