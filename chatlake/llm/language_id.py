@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import bound_batches
+from chatlake.llm.common import bound_batches, cut
 
 UNKNOWN = "und"
 #: Bounds of a model, and of the labelled rows that it is fitted on.
@@ -85,6 +85,7 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", or
                     yield pd.DataFrame({"lang": lang, "kind": kind, "key": keys, "n": [counts[k] for k in keys]})
 
     counts = usable.select("lang", "text").mapInPandas(tally, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where("n > 1 or kind = 'g'")
+    counts = cut(counts)  # two tables are taken of them
     kept: dict[str, dict[str, Counter]] = {}
     for kind, most in (("w", max_words), ("g", max_grams)):
         kept[kind] = {}
@@ -94,7 +95,7 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", or
 
     def table(by_lang: dict[str, Counter]) -> dict[str, list[float]]:
         keys = sorted({k for c in by_lang.values() for k in c})
-        lots = np.array([[by_lang.get(x, {}).get(k, 0) for x in languages] for k in keys], float).reshape(-1, len(languages))
+        lots = np.array([[by_lang.get(x, {}).get(k, 0) for x in languages] for k in keys], float).reshape(len(keys), len(languages))
         logs = np.log((lots + 0.5) / (lots.sum(0) + 0.5 * max(len(keys), 1)))
         return dict(zip(keys, (logs - logs.mean(1, keepdims=True)).tolist(), strict=True))
 
@@ -107,7 +108,7 @@ class Scorer:
     def __init__(self, model: LanguageModel, limit: int = CACHE):
         self.model, self.known, n = model, len(model.words), len(model.languages)
         self.rows = np.zeros((self.known + limit, n))
-        self.rows[: self.known] = np.array(list(model.words.values())).reshape(-1, n)
+        self.rows[: self.known] = np.array(list(model.words.values())).reshape(self.known, n)
         self.index = self._fresh()
 
     def _fresh(self) -> _Index:
