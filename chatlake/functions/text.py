@@ -94,7 +94,7 @@ def mark_terms(text: Column, terms: Column, before: str = "<mark>", after: str =
 def compact_markdown(text: Column) -> Column:
     """An excerpt without markup that a cut would leave half open. [SEA-9]"""
     out = F.regexp_replace(text, "\uE200[^\uE201]*\uE201", "")
-    out = F.regexp_replace(out, r"\*\*\[([^\]]+)\]\*\*", r"**\\\\[$1\\\\]**")
+    out = F.regexp_replace(out, r"\*\*\[([^\]]+)\]\*\*", r"**\\[$1\\]**")
     out = F.regexp_replace(out, r"\s+---\s+", " · ")
     out = F.regexp_replace(out, r"(^|\r?\n)\s{0,3}#{1,6}\s+", "$1")
     out = F.regexp_replace(out, r"(\s)#{1,6}\s+", "$1")
