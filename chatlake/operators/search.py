@@ -79,7 +79,8 @@ def rank(queries: DataFrame, index: Index) -> DataFrame:
     found = single.unionByName(longer)
     spread = found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
     stats = index.doc_lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avgdl"))
-    joined = found.join(spread.hint("merge"), ["query_id", "phrase"]).join(index.doc_lengths.hint("merge"), "message_id").crossJoin(F.broadcast(stats))  # one row of statistics
+    # One row for each phrase: as few as the terms, and merging by phrase would bring all hits of a phrase to one task.
+    joined = found.join(F.broadcast(spread) if few else spread.hint("merge"), ["query_id", "phrase"]).join(index.doc_lengths.hint("merge"), "message_id").crossJoin(F.broadcast(stats))  # one row of statistics
     raw = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

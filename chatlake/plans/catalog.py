@@ -161,6 +161,69 @@ def mark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(spark, sf_dir)[1].select("id", T.mark_terms(F.col("content"), F.array(F.lit("the"), F.lit("of"))).alias("marked"))
 
 
+@_query(f"WITH {_bm25_sql(WORDS, where="substr(created_at, 1, 10) <= '2024-01-03' AND created_at >= '2024-01-02'")} SELECT {_HIT} FROM hits")
+def search_whole_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, WORDS, date_from="2024-01-02", date_to="2024-01-03", inclusive_day=True)
+
+
+# Text helpers
+
+
+def _replaced(text: str, *pairs: tuple[str, str]) -> str:
+    """SQL that replaces patterns in turn, everywhere."""
+    for pattern, by in pairs:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+def _balanced_sql(marker: str) -> str:
+    return f"CASE WHEN (length(x) - length(replace(x, '{marker}', ''))) // {len(marker)} % 2 = 1 THEN replace(x, '{marker}', '') ELSE x END"
+
+
+_CLEANED = _replaced("text", ("\uE200[^\uE201]*\uE201", ""), (r"\*\*\[([^\]]+)\]\*\*", r"**\\[\1\\]**"), (r"\s+---\s+", " · "), (r"(^|\r?\n)\s{0,3}#{1,6}\s+", r"\1"), (r"(\s)#{1,6}\s+", r"\1"))
+
+
+@_query(
+    f"""WITH a AS (SELECT doc_id, {_CLEANED} AS x FROM documents), b AS (SELECT doc_id, {_balanced_sql('**')} AS x FROM a), d AS (SELECT doc_id, {_balanced_sql('```')} AS x FROM b)
+    SELECT doc_id, sha256({_balanced_sql('`')}) AS digest FROM d"""
+)
+def compact_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(T.compact_markdown(F.col("text")), 256).alias("digest"))
+
+
+@_query(
+    """WITH e AS (SELECT doc_id, text, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS x FROM documents)
+    SELECT doc_id, sha256(CASE WHEN text IS NULL THEN 'None' WHEN contains(text, chr(39)) AND NOT contains(text, '"') THEN '"' || x || '"' ELSE chr(39) || replace(x, chr(39), chr(92) || chr(39)) || chr(39) END) AS digest FROM e"""
+)
+def quoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(T.quoted(F.col("text")), 256).alias("digest"))
+
+
+_JOINED = _replaced("trim(lower(url))", (r"[^\p{L}\p{N}_\s-]", ""), (r"[\s_]+", "-"), ("-+", "-"))
+_LAST = _replaced("regexp_extract(coalesce(url, 'upload'), '([^/]*)/*$', 1)", (r"[^\p{L}\p{N}._-]", "_"))
+
+
+@_query(
+    f"""SELECT page_id, coalesce(nullif(trim(substr({_JOINED}, 1, 60), '-'), ''), 'untitled') AS slug,
+    coalesce(nullif({_replaced("trim(url)", (r'[<>:"/\\|?*\x00-\x1f]+', "-"))}, ''), 'report') AS file_name, coalesce(nullif({_LAST}, ''), 'upload') AS upload_name FROM pages"""
+)
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.slug(url).alias("slug"), T.safe_file_name(url).alias("file_name"), T.safe_upload_name(url).alias("upload_name"))
+
+
+_HREF = 'href="([^"]*)"'
+
+
+@_query(
+    f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS link FROM pages)
+    SELECT page_id, link, CASE WHEN regexp_matches(link, '^(#|/$|/[^/]|https?://|mailto:)') THEN link ELSE '' END AS safe FROM l"""
+)
+def safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_HREF), 1)).alias("link"))
+    return links.select("page_id", "link", T.safe_link(F.col("link")).alias("safe"))
+
+
 # Statistics and lookups
 
 
@@ -257,6 +320,20 @@ def ingest_stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, f"{root}/streamed", "messages").select("id", "role", "content")
 
 
+@_query(f"{_COUNTS} SELECT cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b")
+def import_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, root = _export_files(spark, sf_dir)
+    of_a = F.regexp_replace("source_path", "^broken/", "").startswith("a/")
+    both = [store.ingest(spark, f"{root}/archive", files.where(part)) for part in (of_a, ~of_a)]
+    return store.merge_summaries(both[0].unionByName(both[1])).select("parsed", "inserted_conversations", "inserted_messages", F.size("skipped_files").cast("long").alias("skipped"))
+
+
+@_query(f"WITH {archive_sql()}, a AS (SELECT id FROM c WHERE conv_id % 4 < 2), b AS (SELECT id FROM c WHERE conv_id % 4 IN (1, 2)) (SELECT id FROM a EXCEPT SELECT id FROM b) UNION (SELECT id FROM b EXCEPT SELECT id FROM a)")
+def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = archive(spark, sf_dir)[0]
+    return store.selection_toggle(c.where("conv_id % 4 < 2"), c.where("conv_id % 4 in (1, 2)"))
+
+
 # Reports
 
 _SELECT = "SELECT conv_id // 4 AS report_id, CAST(row_number() OVER (PARTITION BY conv_id // 4 ORDER BY conv_id) - 1 AS INTEGER) AS ord, id AS conversation_id, conv_id FROM c"
@@ -346,6 +423,14 @@ def map_merge_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir)[2].select("title", F.to_json("selected_conversation_ids").alias("selected"), F.sha2("markdown", 256).alias("digest"), F.length("markdown").alias("n"))
 
 
+@_query(
+    f"""{_CITED}, r AS (SELECT report_id, '[' || string_agg('"' || conversation_id || '"', ',' ORDER BY ord) || ']' AS ids FROM s GROUP BY report_id)
+    SELECT substr(sha256(ids || chr(0) || 'stub' || chr(0) || 'echo' || chr(0) || '2024-06-01T00:00:00+00:00'), 1, 32) AS id, 'Report ' || report_id AS title, ids AS selected FROM r ORDER BY id LIMIT 5"""
+)
+def reports_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest(_reports(spark, sf_dir)[2], n=5).select("id", "title", F.to_json("selected_conversation_ids").alias("selected"))
+
+
 @_query(f"{_CITED} SELECT report_id, m.id AS message_id FROM s JOIN m USING (conversation_id)")
 def citations_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m, made = _reports(spark, sf_dir)
