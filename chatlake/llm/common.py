@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of over HOT_ROWS rows, and over a share of 1 / HOT_KEYS of all rows, are hot: there are fewer than HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1000, 1000
 #: White space of str.split() that the corpus definition of a word does not split at, or the reverse.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,10 +111,24 @@ def block_pairs(members: DataFrame, group: str, record: str, block: int) -> Data
     )
 
 
+def join_hot(rows: DataFrame, of_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with of_key, a written table of one row a key that has the number of the key's rows as _n.
+
+    The entries of hot keys, fewer than HOT_KEYS, are broadcast, so that their rows stay where they are; the others meet in a
+    merge join of two plain exchanges, which Spark can split. Null keys match nothing.
+    """
+    total, most = of_key.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return rows.join(of_key.hint("merge"), key, how)
+    hot = of_key.where(F.col("_n") > limit)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(of_key.where(F.col("_n") <= limit).hint("merge"), key, how))
+
+
 def counted(members: DataFrame, group: str) -> DataFrame:
-    """members with _n, the size of each row's group; groups of one row are left out."""
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return members.join(sizes.hint("merge"), group)
+    """members with _n, the size of each row's group; groups of one row are left out. members is read up to three times."""
+    return join_hot(members, cut(members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")), group)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import block_pairs, counted, cut, map_groups, mix64, star_edges
+from chatlake.llm.common import block_pairs, counted, cut, join_hot, map_groups, mix64, star_edges
 from chatlake.llm.components import connected_components
 
 BLOCK, SEED = 256, 11
@@ -99,14 +99,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = cut(map_groups(block_pairs(counted(members, "bucket"), "bucket", "key", BLOCK), ["bucket", "p", "q"], links, "a binary, b binary, n long"))
     others = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links"))
     reached = connected_components(found.where("b is not null"))
-    named = reached.select(F.col("node").alias("key"), "component").join(sets.select("key", "rep").hint("merge"), "key")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = (
+    named = cut(reached.select(F.col("node").alias("key"), "component").join(sets.select("key", "rep").hint("merge"), "key"))
+    least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_n")))
+    of_set = cut(
         sets.select("key", "rep", "size").join(others.hint("merge"), "key", "left")
-        .join(named.select("key", "component").join(least.hint("merge"), "component").select("key", "component_id").hint("merge"), "key", "left")
-        .select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+        .join(join_hot(named.select("key", "component"), least, "component").select("key", "component_id").hint("merge"), "key", "left")
+        .select("key", F.col("size").alias("_n"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     )
-    out = rows.select("id", "key").join(of_set.hint("merge"), "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = join_hot(rows.select("id", "key"), of_set, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )

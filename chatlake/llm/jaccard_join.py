@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.llm.bpe import Cache
-from chatlake.llm.common import block_pairs, bound_batches, counted, cut, map_groups, mix64, star_edges, words
+from chatlake.llm.common import block_pairs, bound_batches, counted, cut, join_hot, map_groups, mix64, star_edges, words
 from chatlake.llm.components import connected_components
 
 #: Min-hashes of a set; the share of them below which brute force rules a pair out is the threshold less MARGIN.
@@ -184,6 +184,7 @@ def similar_documents(
         if level == depth or large.isEmpty():
             break
         at = large.join(sets.select("key", "sketch").hint("merge"), "key").select("node", "key", "sketch").mapInPandas(split, "key binary, nodes array<long>").select(F.explode("nodes").alias("node"), "key")
+        at = cut(at)  # counted() reads it more than once
 
     def may_match(_: tuple, rows: dict[str, np.ndarray]) -> list[tuple]:
         keys, near = rows["key"], np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(-1, T)
@@ -194,7 +195,7 @@ def similar_documents(
     members = leaves.join(sets.select("key", "sketch").hint("merge"), "key")
     forest = map_groups(block_pairs(members, "node", "key", BLOCK), ["node", "p", "q"], may_match, "a binary, b binary")
     parts = connected_components(forest).select(F.col("node").alias("key"), F.col("component").alias("part"))
-    chosen = cut(counted(parts.join(sets.select("key", "rep", "size").hint("merge"), "key"), "part"))
+    chosen = cut(counted(cut(parts.join(sets.select("key", "rep", "size").hint("merge"), "key")), "part"))
 
     def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _word_codes()
@@ -222,14 +223,14 @@ def similar_documents(
     found = cut(map_groups(block_pairs(full, "part", "key", BLOCK), ["part", "p", "q"], links, "a binary, b binary, n long"))
     others = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links"))
     reached = connected_components(found.where("b is not null"))
-    named = reached.select(F.col("node").alias("key"), "component").join(sets.select("key", "rep").hint("merge"), "key")
-    classes = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of_set = (
+    named = cut(reached.select(F.col("node").alias("key"), "component").join(sets.select("key", "rep").hint("merge"), "key"))
+    classes = cut(named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("_n")))
+    of_set = cut(
         sets.select("key", "rep", "size").join(others.hint("merge"), "key", "left")
-        .join(named.select("key", "component").join(classes.hint("merge"), "component").select("key", "class_id").hint("merge"), "key", "left")
-        .select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
+        .join(join_hot(named.select("key", "component"), classes, "component").select("key", "class_id").hint("merge"), "key", "left")
+        .select("key", F.col("size").alias("_n"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
     )
-    out = rows.select("id", "key").join(of_set.hint("merge"), "key", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    out = join_hot(rows.select("id", "key"), of_set, "key", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 

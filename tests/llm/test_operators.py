@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chatlake.llm import bpe, embedding_dedup, html_extraction, jaccard_join, language_id, packing, quality_rules, queries, token_counts, url_filters, warc
+from chatlake.llm import bpe, common, embedding_dedup, html_extraction, jaccard_join, language_id, packing, quality_rules, queries, token_counts, url_filters, warc
 from chatlake.llm.components import connected_components
 from conftest import SF
 from oracle import same
@@ -25,6 +25,13 @@ BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 TEXTS = [None, "", " ", "a", "a  b\n\n c \t d ", "don't <|endoftext|> x", "▁x ▁▁", "x" * 3000, "日本語 한국어 é\x00\x1c", "same text " * 12, "same text " * 12, "12 34 %% !!", "ab " * 40_000]
 
 
+@pytest.fixture
+def hot(monkeypatch):
+    """Take keys of few rows for hot ones; the SQL tests take the other way."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(k if k != 4 else None, t, "en", "s", 1, "k", "n", "q") for k, t in enumerate(TEXTS)] + [(1, "", "en", None, None, None, None, None)]
@@ -122,7 +129,7 @@ def test_packing(spark, odd):
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()  # the curve goes from cell to neighbouring cell
 
 
-def test_url_filters(spark):
+def test_url_filters(spark, hot):
     link, jump = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
     rows = [
         (1, "http://a.example.net/x", jump.format("https://b.org/y")), (2, "https://b.org/y#z", link.format("http://example.com/en/1")), (3, "http://www.example.com/en/q", ""), (None, None, None), (5, "none", "x"),
@@ -187,7 +194,7 @@ def _classes(n, linked):
     return [find(x) for x in range(n)]
 
 
-def test_jaccard(spark, odd):
+def test_jaccard(spark, odd, hot):
     rng = np.random.default_rng(3)
     base = [" ".join(rng.choice(5000, 60).astype(str)) for _ in range(6)]
     texts = [*TEXTS]
@@ -209,7 +216,7 @@ def test_jaccard(spark, odd):
     assert jaccard_join.similar_documents(odd).count() == 14 and jaccard_join.similar_documents(odd.limit(0)).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, hot):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal(16)
     vectors = [(centre + 0.2 * rng.standard_normal(16)).tolist() for _ in range(600)] + [rng.standard_normal(16).tolist() for _ in range(200)]
@@ -226,7 +233,7 @@ def test_embeddings(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k and got[k]["kept"] for k in range(802, 809))
 
 
-def test_components(spark):
+def test_components(spark, hot):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000, k) for k in range(1001, 1400)] + [(k, k + 1) for k in range(2000, 2100)] + [(5, 5)]
     want = _classes(3000, edges)
