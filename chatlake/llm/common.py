@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys of over HOT_ROWS rows, and over a share of 1 / HOT_KEYS of all rows, are hot: there are fewer than HOT_KEYS of them.
@@ -51,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_and_measure(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """cut(), and aggregates of the rows taken while they are written, without a job of their own."""
+    seen = Observation()
+    return cut(df.observe(seen, *(c.alias(name) for name, c in measures.items()))), seen.get
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal df by hash of keys over the session's number of shuffle partitions, and sort each partition by them."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -112,14 +118,14 @@ def block_pairs(members: DataFrame, group: str, record: str, block: int) -> Data
 
 
 def join_hot(rows: DataFrame, of_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with of_key, a written table of one row a key that has the number of the key's rows as _n.
+    """rows joined (inner or left) with of_key, which has one row a key, with the number of the key's rows as _n.
 
-    The entries of hot keys, fewer than HOT_KEYS, are broadcast, so that their rows stay where they are; the others meet in a
+    of_key is written out first. The entries of hot keys, fewer than HOT_KEYS, are broadcast, so that their rows stay where they are; the others meet in a
     merge join of two plain exchanges, which Spark can split. Null keys match nothing.
     """
-    total, most = of_key.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
-    if (most or 0) <= limit:
+    of_key, seen = cut_and_measure(of_key, total=F.sum("_n"), most=F.max("_n"))
+    limit = max(HOT_ROWS, (seen["total"] or 0) // HOT_KEYS)
+    if (seen["most"] or 0) <= limit:
         return rows.join(of_key.hint("merge"), key, how)
     hot = of_key.where(F.col("_n") > limit)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
@@ -128,7 +134,7 @@ def join_hot(rows: DataFrame, of_key: DataFrame, key: str, how: str = "inner") -
 
 def counted(members: DataFrame, group: str) -> DataFrame:
     """members with _n, the size of each row's group; groups of one row are left out. members is read up to three times."""
-    return join_hot(members, cut(members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")), group)
+    return join_hot(members, members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), group)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

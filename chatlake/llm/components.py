@@ -10,22 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import cut, join_hot
+from chatlake.llm.common import cut_and_measure, join_hot
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step, written out. large: each node links its larger neighbours to its least; small: its smaller ones and itself."""
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Distinct edges, written out, their number and an order-free digest."""
+    return cut_and_measure(edges.distinct(), n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+
+
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, dict]:
+    """One step. large: each node links its larger neighbours to its least; small: its smaller ones and itself."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
     joined = join_hot(near, least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return cut(out.where("a <> b").distinct())
+    return _written(out.where("a <> b"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -36,15 +41,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     the edges are then stars around the least nodes. Rounds grow with the logarithm of the node count; more than
     max_rounds raise RuntimeError rather than return unfinished components.
     """
-    now = cut(
-        edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b").distinct()
-    )
+    now, seen = _written(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b"))
     state = None
     for _ in range(max_rounds):
-        # The edge count and an order-free digest show whether a round changed anything.
-        digest = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if digest[0] == 0 or digest == state:
+        if seen["n"] == 0 or seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = digest
-        now = _star(_star(now, large=True), large=False)
+        state = seen
+        now, seen = _star(_star(now, large=True)[0], large=False)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

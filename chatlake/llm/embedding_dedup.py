@@ -100,8 +100,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     others = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links"))
     reached = connected_components(found.where("b is not null"))
     named = cut(reached.select(F.col("node").alias("key"), "component").join(sets.select("key", "rep").hint("merge"), "key"))
-    least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_n")))
-    of_set = cut(
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    of_set = (
         sets.select("key", "rep", "size").join(others.hint("merge"), "key", "left")
         .join(join_hot(named.select("key", "component"), least, "component").select("key", "component_id").hint("merge"), "key", "left")
         .select("key", F.col("size").alias("_n"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -99,7 +99,7 @@ def filter_urls(
         as_url = F.concat(F.lit("x://"), F.col("node"))
         ruled = members.select("component", host_of(as_url).alias("_h"), path_of(as_url).alias("_p")).withColumn("_rule", rule_for(F.col("_h"), F.col("_p"), rules))
         groups = ruled.withColumn("_action", action_of(F.col("_rule"), rules)).groupBy("component").agg(F.max(F.col("_action") == "block").alias("_block"), F.max(F.col("_action") == "allow").alias("_allow"), F.count(F.lit(1)).alias("_n"))
-        blocked = join_hot(members, cut(groups.where("_block and not coalesce(_allow, false)")), "component").select(F.col("node").alias("_node"), F.lit("block").alias("_alias"))
+        blocked = join_hot(members, groups.where("_block and not coalesce(_allow, false)"), "component").select(F.col("node").alias("_node"), F.lit("block").alias("_alias"))
         judged = judged.join(blocked.hint("merge"), "_node", "left")
         verdict = F.coalesce(action_of(F.col("rule"), rules), F.col("_alias"), F.lit("allow"))
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
