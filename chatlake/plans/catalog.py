@@ -453,6 +453,20 @@ def report_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("place", place).where("place < 7").select("report_id", "place", F.when(F.col("text").rlike("[가-힣]"), "ko").otherwise("en").alias("script"))
 
 
+_LANGUAGE = "l AS (SELECT report_id, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM v)"
+_HEADINGS = ", ".join(f"('{code}', {k + (code == 'ko')}, '{name}')" for code, names in reports.SECTIONS.items() for k, name in enumerate(names)) + ", ('ko', 0, 'Overview')"
+
+
+@_query(
+    f"""{_CITED}, {_VOTE}, {_LANGUAGE}, h(language, place, text) AS (VALUES {_HEADINGS})
+    SELECT report_id, CAST(4 * place AS INTEGER) AS line, 2 AS level, text, regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g') AS heading_id FROM l JOIN h USING (language)"""
+)
+def report_outline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All headings of each report, as the operator gives them; report_outline shows the first seven."""
+    made = _reports(spark, sf_dir)[2].withColumn("id", F.element_at(F.split("title", " "), -1).cast("long"))
+    return reports.outline(made)
+
+
 @_query(f"WITH {archive_sql()}, s AS (SELECT conv_id AS report_id, 0 AS ord, id || 'x' AS conversation_id FROM c WHERE conv_id % 3 = 0) SELECT report_id, conversation_id AS missing FROM s")
 def missing_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _ = archive(spark, sf_dir)

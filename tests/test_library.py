@@ -164,3 +164,10 @@ def test_outline(spark):
     md = "# Overview\n## 핵심 개념\n## Overview\n#### Hidden detail\ntext"
     got = reports.outline(spark.createDataFrame([("r", "T", md), ("s", "Bare", "x")], "id string, title string, markdown string")).orderBy("report_id", "line").collect()
     assert [(r["heading_id"], r["level"]) for r in got] == [("overview", 1), ("핵심-개념", 2), ("overview-2", 2), ("report-top", 1)]
+
+
+def test_whole_outline(spark):
+    made = catalog._reports(spark, SF)[2].select("title", "markdown").collect()
+    want = {(int(r["title"].split()[-1]), k, x.removeprefix("## ")) for r in made for k, x in enumerate(r["markdown"].split("\n")) if x.startswith("## ")}
+    got = {(r["report_id"], r["line"], r["text"]) for r in catalog.queries()["report_outline_whole"](spark, SF).collect()}
+    assert got == want and max(sum(r == i for r, _, _ in got) for i in {r for r, _, _ in got}) == 8
