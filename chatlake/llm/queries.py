@@ -56,9 +56,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derive(warc.responses_of_pages(_table(spark, sf_dir, "pages")), with_record=False)
+    made = warc.derive(warc.responses_of_pages(_table(spark, sf_dir, "pages")))
     return made.select(
-        F.col("source_id").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "content_type", "payload_digest", "block_digest", "content_length", F.sha2("text", 256).alias("text_sha256")
+        F.col("source_id").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "content_type", "payload_digest", "block_digest", "content_length", F.sha2("text", 256).alias("text_sha256"),
+        F.octet_length("record").alias("record_length"), F.sha2("record", 256).alias("record_sha256"),
     )
 
 

@@ -1,7 +1,8 @@
 """Derivatives of WARC responses: linked metadata and plain-text conversion records.
 
 Each response gives two records that name it in WARC-Refers-To and repeat its target, date and payload digest: one of type metadata, with
-the source's HTTP headers and measures of its payload, and one of type conversion, with the visible text of an HTML payload.
+the source's WARC and HTTP headers and measures of its payload, and one of type conversion, with the visible text of an HTML payload.
+Payloads are bytes and headers are lists of (name, value) in the source's order; a payload is decoded for its text only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -47,26 +48,94 @@ def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
     return b"WARC/1.0\r\n" + head.encode("utf-8") + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+_CHARSET = re.compile(r"""charset\s*=\s*["']?\s*([\w.:-]+)""", re.I)
+FIELDS = "array<struct<name:string,value:string>>"
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; data as it stands if it is not chunked, as when the crawler has joined the chunks."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0 and re.fullmatch(rb"[0-9a-fA-F]{1,16}", size := data[at:end].partition(b";")[0].strip()):
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out) if out and at >= len(data) else data
+
+
+def _inflated(data: bytes, coding: str) -> bytes:
+    """The content of a gzip or deflate coding, as far as it can be read; data as it stands if it is not so coded."""
+    for bits in (47,) if coding.endswith("gzip") else (15, -15):
+        out, left = [], data
+        try:
+            while left:
+                z = zlib.decompressobj(bits)
+                out += [z.decompress(left), z.flush()]
+                left = z.unused_data
+            return b"".join(out)
+        except zlib.error:
+            if any(out):
+                return b"".join(out)
+    return data
+
+
+def payload_text(payload: bytes, http: str = "") -> str:
+    """The characters of a payload under its HTTP header lines: transfer and content codings undone, then the charset of the header, a byte order mark, the document or UTF-8.
+
+    Content codings other than gzip and deflate (the standard library has no br or zstd) give no text.
+    """
+    codings = {"transfer-encoding": [], "content-encoding": []}
+    kind = ""
+    for line in http.split("\r\n"):
+        name, _, value = line.partition(":")
+        if (name := name.strip().lower()) in codings:
+            codings[name] += [x for y in value.lower().split(",") if (x := y.strip()) and x != "identity"]
+        elif name == "content-type":
+            kind = value
+    data = _unchunked(payload) if "chunked" in codings["transfer-encoding"] else payload
+    for coding in reversed(codings["content-encoding"]):
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return ""
+        data = _inflated(data, coding)
+    marks = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+    named = next((c for m, c in marks if data.startswith(m)), None) or next((m[1] for x in (kind, data[:1024].decode("latin-1")) if (m := _CHARSET.search(x))), "utf-8")
+    try:
+        return data.decode("cp1252" if named.lower() in ("iso-8859-1", "latin-1", "latin1", "ascii", "us-ascii") else named, "replace")  # as browsers read them
+    except (LookupError, ValueError):
+        return data.decode("utf-8", "replace")
+
+
 def responses_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response rows (source_id, target_uri, date, http_headers, payload) of a table of fetched pages; null html is an empty payload."""
-    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length(F.coalesce(html_col, F.lit(""))).cast("string"))
-    return pages.select(
-        F.col(id_col).alias("source_id"), F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), F.coalesce(F.col(html_col), F.lit("")).alias("payload")
-    )
+    """Response rows (source_id, target_uri, date, http_fields, body) of a table of fetched pages; null html is an empty payload."""
+    length = F.octet_length(F.coalesce(html_col, F.lit(""))).cast("string")
+    fields = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in (("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", length))])
+    return pages.select(F.col(id_col).alias("source_id"), F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), fields.alias("http_fields"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("body"))
+
+
+def _lines(fields: Column, before: str = "") -> Column:
+    return F.array_join(F.transform(fields, lambda e: F.concat(F.lit(before), e["name"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\r\n")
 
 
 def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
     """Two rows for each row of responses, of record_type metadata and conversion.
 
+    responses has source_id, target_uri, date, body (binary) and http_fields (array of name and value), or in their place payload (text) and
+    http_headers (map). Where it has them, record_id, payload_digest and warc_fields are the source's own and are kept; a missing digest is
+    worked out from the body's bytes. The source's WARC headers go into the metadata record as lines of the field sourceHeader.
+
     Columns: source_id, record_type, record_id, refers_to, target_uri, date, content_type, payload_digest (of the source), block_digest, content_length,
     text (of a conversion), and record, the bytes of the WARC record, if with_record. record_id of the source, if responses has no such column, is
     made of its target, date and payload digest and its source_id, so repeated rows give equal records. A null target leaves that header out; a null payload counts as
     empty, and its conversion has an empty text. Other columns are not read; an empty table gives no rows. Row by row, without a shuffle.
     """
-    own = F.col("record_id") if "record_id" in responses.columns else F.lit(None).cast("string")
+    given = set(responses.columns)
+    none = F.lit(None).cast("string")
     kind = dict(responses.dtypes)["source_id"]
-    rows = responses.select("source_id", own.alias("_own"), "target_uri", "date", F.to_json("http_headers").alias("_headers"), F.map_entries("http_headers").alias("_entries"), "payload")
-    rows = rows.withColumn("_headers", F.array_join(F.transform("_entries", lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\r\n")).drop("_entries")
+    entries = F.col("http_fields") if "http_fields" in given else F.transform(F.map_entries("http_headers"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    rows = responses.select(
+        "source_id", *[(F.col(c) if c in given else none).alias(f"_{c}") for c in ("record_id", "payload_digest")], "target_uri", "date", _lines(entries).alias("_http"),
+        (_lines(F.col("warc_fields"), "sourceHeader: ") if "warc_fields" in given else none).alias("_warc"), F.col("body" if "body" in given else "payload").cast("binary").alias("_body"),
+    )
     schema = (
         f"source_id {kind}, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string,"
         " content_length long, text string" + ", record binary" * with_record
@@ -77,13 +146,13 @@ def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 out = []
-                for i, own, target, date, http, payload in batch.iloc[at : at + 1000].itertuples(index=False, name=None):
-                    own, target, date, http, payload = (None if x is None or x != x else x for x in (own, target, date, http, payload))
-                    data = (payload or "").encode("utf-8")
-                    source_digest = digest(data)
+                for i, own, source_digest, target, date, http, warc, data in batch.iloc[at : at + 1000].itertuples(index=False, name=None):
+                    own, source_digest, target, date, http, warc, data = (None if x is None or x != x else x for x in (own, source_digest, target, date, http, warc, data))
+                    data = bytes(data or b"")
+                    source_digest = source_digest or digest(data)
                     own = own or record_id("response", str(i), target or "", date or "", source_digest)
-                    text = visible_text(payload or "")
-                    described = f"sourcePayloadLength: {len(data)}\r\nsourcePayloadDigest: {source_digest}\r\nconversionCharacters: {len(text)}\r\n" + (http + "\r\n" if http else "")
+                    text = visible_text(payload_text(data, http or ""))
+                    described = f"sourcePayloadLength: {len(data)}\r\nsourcePayloadDigest: {source_digest}\r\nconversionCharacters: {len(text)}\r\n" + "".join(x + "\r\n" for x in (warc, http) if x)
                     for record_type, content_type, block in (("metadata", "application/warc-fields", described.encode("utf-8")), ("conversion", "text/plain", text.encode("utf-8"))):
                         name, block_digest = record_id(record_type, own), digest(block)
                         row = (i, record_type, name, own, target, date, content_type, source_digest, block_digest, len(block), text if record_type == "conversion" else None)
@@ -96,7 +165,7 @@ def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
                         out.append(row)
                 yield pd.DataFrame(out, columns=names)
 
-    return rows.select("source_id", "_own", "target_uri", "date", "_headers", "payload").mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def _members(data: bytes) -> Iterator[bytes]:
@@ -110,24 +179,43 @@ def _members(data: bytes) -> Iterator[bytes]:
         data = z.unused_data
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of the records of a WARC file; what is cut off at its end is left out."""
+def _fields(lines: list[str]) -> list[tuple[str, str]]:
+    """(name, value) of header lines in their order; a line that starts with white space goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif line.strip():
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def parse_fields(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers as a list of name and value, block) of the records of a WARC file; what is cut off at its end is left out."""
     for member in _members(data):
         at = 0
         while (start := member.find(b"WARC/1.", at)) >= 0 and (end := member.find(b"\r\n\r\n", start)) >= 0:
-            lines = member[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            n = int(headers.get("content-length", "0"))
+            fields = _fields(member[start:end].decode("utf-8", "replace").split("\r\n")[1:])
+            n = int(next((v for k, v in reversed(fields) if k.lower() == "content-length"), "0"))
             block = member[end + 4 : end + 4 + n]
             if len(block) < n:
                 return
-            yield headers, block
+            yield fields, block
             at = end + 4 + n
 
 
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of the records of a WARC file; of a repeated header the last."""
+    for fields, block in parse_fields(data):
+        yield {k.lower(): v for k, v in fields}, block
+
+
 def read_responses(spark: SparkSession, *paths: str) -> DataFrame:
     """Response rows, as derive() takes them, of WARC files, plain or gzipped; source_id is the record id.
 
+    body has the payload's bytes and payload_digest the source's own digest (null if it gives none); warc_fields and http_fields have all headers
+    in order, repeated ones too. payload (the body as UTF-8) and http_headers (a map, of a repeated header the last) are worked out only if read.
     A file is one row of Spark's binaryFile source, so it must be smaller than 2 GB; files are read in parallel.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("content")
@@ -136,18 +224,22 @@ def read_responses(spark: SparkSession, *paths: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 out = []
-                for headers, block in parse_records(content):
+                for fields, block in parse_fields(bytes(content)):
+                    headers = {k.lower(): v for k, v in fields}
                     if headers.get("warc-type") != "response":
                         continue
                     head, _, body = block.partition(b"\r\n\r\n")
-                    http = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
-                    out.append((headers.get("warc-record-id"), headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), list(http.items()), body.decode("utf-8", "replace")))
+                    http = _fields(head.decode("latin-1").split("\r\n")[1:])
+                    named = ([{"name": k, "value": v} for k, v in x] for x in (fields, http))
+                    out.append((*(headers.get(k) for k in ("warc-record-id", "warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest")), *named, body))
                     if len(out) >= 500:
                         yield pd.DataFrame(out, columns=names)
                         out = []
                 if out:
                     yield pd.DataFrame(out, columns=names)
 
-    names = ["source_id", "record_id", "target_uri", "date", "entries", "payload"]
-    rows = files.mapInPandas(run, "source_id string, record_id string, target_uri string, date string, entries array<struct<key:string,value:string>>, payload string")
-    return rows.withColumn("http_headers", F.map_from_entries("entries")).drop("entries")
+    names = ["source_id", "record_id", "target_uri", "date", "payload_digest", "warc_fields", "http_fields", "body"]
+    rows = files.mapInPandas(run, f"source_id string, record_id string, target_uri string, date string, payload_digest string, warc_fields {FIELDS}, http_fields {FIELDS}, body binary")
+    http = F.col("http_fields")
+    last = F.filter(http, lambda e, k: ~F.exists(F.slice(http, k + 2, F.size(http)), lambda x: x["name"] == e["name"]))
+    return rows.withColumn("payload", F.make_valid_utf8(F.col("body").cast("string"))).withColumn("http_headers", F.map_from_entries(last))

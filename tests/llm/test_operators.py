@@ -263,6 +263,39 @@ def test_warc(spark, tmp_path):
     assert {r["refers_to"] for r in warc.derive(warc.read_responses(spark, str(tmp_path))).collect()} == {"<urn:x>"}
 
 
+def test_warc_keeps_the_source(spark, tmp_path):
+    import gzip
+
+    page = "<p>caf\u00e9 one".encode("latin-1")
+    packed = gzip.compress(page)
+    bodies = {"<urn:a>": (page, b""), "<urn:b>": (b"%x\r\n%s\r\n0\r\n\r\n" % (len(packed), packed), b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n"), "<urn:c>": (b"\xff\x00\x80", b"")}
+    data = b""
+    for name, (body, more) in bodies.items():
+        block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Type: text/html; charset=iso-8859-1\r\n" + more + b"\r\n" + body
+        own = {"WARC-Payload-Digest": "md5:own"} if name == "<urn:a>" else {}
+        data += warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Target-URI": "http://q", "WARC-Date": "d", "WARC-IP-Address": "192.0.2.9"} | own, block)
+    (tmp_path / "a.warc").write_bytes(data)
+    read = {r["source_id"]: r for r in warc.read_responses(spark, str(tmp_path)).collect()}
+    assert {k: bytes(r["body"]) for k, r in read.items()} == {k: v[0] for k, v in bodies.items()}
+    assert [tuple(x) for x in read["<urn:a>"]["http_fields"]][:2] == [("Set-Cookie", "a=1"), ("Set-Cookie", "b=2")] and read["<urn:a>"]["http_headers"]["Set-Cookie"] == "b=2"
+    made = {(r["refers_to"], r["record_type"]): r for r in warc.derive(warc.read_responses(spark, str(tmp_path))).collect()}
+    for name, (body, _) in bodies.items():
+        meta, text = made[name, "metadata"], made[name, "conversion"]
+        (headers, block), = warc.parse_records(bytes(meta["record"]))
+        lines = block.decode().split("\r\n")
+        assert meta["payload_digest"] == text["payload_digest"] == headers["warc-payload-digest"] == ("md5:own" if name == "<urn:a>" else warc.digest(body))
+        assert f"sourcePayloadLength: {len(body)}" in lines and {"Set-Cookie: a=1", "Set-Cookie: b=2", "sourceHeader: WARC-IP-Address: 192.0.2.9"} <= set(lines)
+        assert name == "<urn:c>" or text["text"] == "caf\u00e9 one"
+
+
+def test_op10_makes_records(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {(r["source_id"], r["record_type"]): bytes(r["record"]) for r in warc.derive(warc.responses_of_pages(pages)).collect()}
+    for r in queries.op10_warc(spark, SF).collect():
+        record = want[r["page_id"], r["record_type"]]
+        assert (r["record_length"], r["record_sha256"]) == (len(record), hashlib.sha256(record).hexdigest()) and next(warc.parse_records(record))[0]["warc-record-id"] == r["record_id"]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     tok, kept = Tokenizer.from_file(BPE), {}
