@@ -263,6 +263,13 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.context_window(m, m.where("message_index % 3 = 1").select("conversation_id", "message_index")).select("id", "target_index")
 
 
+@_query(f"WITH {archive_sql()} SELECT m.id, t.message_index AS target_index FROM m AS t JOIN m ON m.conversation_id = t.conversation_id AND abs(m.message_index - t.message_index) <= 2")
+def context_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of all messages; context_window has those of every third."""
+    m = archive(spark, sf_dir)[1]
+    return stats.context_window(m, m.select("conversation_id", "message_index")).select("id", "target_index")
+
+
 # Ingest
 
 

@@ -171,3 +171,10 @@ def test_whole_outline(spark):
     want = {(int(r["title"].split()[-1]), k, x.removeprefix("## ")) for r in made for k, x in enumerate(r["markdown"].split("\n")) if x.startswith("## ")}
     got = {(r["report_id"], r["line"], r["text"]) for r in catalog.queries()["report_outline_whole"](spark, SF).collect()}
     assert got == want and max(sum(r == i for r, _, _ in got) for i in {r for r, _, _ in got}) == 8
+
+
+def test_every_message_has_its_window(spark):
+    m = archive(spark, SF)[1].select("id", "conversation_id", "message_index").collect()
+    want = {(y["id"], x["conversation_id"], x["message_index"]) for x in m for y in m if x["conversation_id"] == y["conversation_id"] and abs(x["message_index"] - y["message_index"]) <= 2}
+    got = [(r["id"], r["id"].split(":")[0], r["target_index"]) for r in catalog.queries()["context_window_whole"](spark, SF).collect()]
+    assert set(got) == want and len(got) == len(want)
