@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from chatlake.functions import text as T
 from chatlake.operators import export, normalize, reports, search, stats, store
 from chatlake.plans.adapters import archive, archive_sql, documents_archive, exports_of
+from chatlake.sources.exports import read_exports
 from chatlake.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,16 +276,48 @@ def context_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ingest
 
 
-def _export_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """Export files of the conversations table, written to the shared folder and read back with the library's source."""
+def _write_exports(spark: SparkSession, sf_dir: str, every_role: bool) -> str:
+    """Export files of the conversations table, one .json file each, in a fresh shared folder's exports/a, exports/b and exports/broken; the folder.
+
+    Spark's text writer names its files itself, so each goes to a folder of its own and is renamed in the folder's own store.
+    """
     c, m = archive(spark, sf_dir)
-    tree, flat = exports_of(c, m.where("role <> 'system'"))
+    tree, flat = exports_of(c, m if every_role else m.where("role <> 'system'"))
     root = work_dir(spark)
-    for name, rows in (("a", tree), ("b", flat)):
-        rows.select(F.concat(F.lit(f"{name}/"), F.col("id"), F.lit(".json")).alias("source_path"), "value").write.parquet(f"{root}/{name}")
-    files = spark.read.parquet(f"{root}/a").unionByName(spark.read.parquet(f"{root}/b"))
-    broken = files.select(F.concat(F.lit("broken/"), F.col("source_path")).alias("source_path"), F.expr("substring(value, 1, length(value) - 3)").alias("value"))
-    return files.unionByName(broken.where("source_path like '%0.json'")), root
+    files = tree.select(F.lit("a").alias("kind"), "id", "value").unionByName(flat.select(F.lit("b").alias("kind"), "id", "value"))
+    broken = files.where("id like '%0'").select(F.concat(F.lit("broken/"), "kind").alias("kind"), "id", F.expr("substring(value, 1, length(value) - 3)").alias("value"))
+    files.unionByName(broken).select("value", F.concat_ws("/", "kind", "id").alias("name")).write.partitionBy("name").text(f"{root}/written")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store_of = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for kind in ("a", "b", "broken/a", "broken/b"):
+        store_of.mkdirs(path(f"{root}/exports/{kind}"))
+
+    def rename(folder: str) -> None:
+        name = unquote(folder.rpartition("name=")[2])
+        parts = [x.getPath() for x in store_of.listStatus(path(folder)) if x.getPath().getName().startswith("part-")]
+        if len(parts) != 1 or not store_of.rename(parts[0], path(f"{root}/exports/{name}.json")):
+            raise OSError(f"{folder} holds {len(parts)} files or could not be renamed")
+
+    folders = [x.getPath().toString() for x in store_of.listStatus(path(f"{root}/written")) if x.isDirectory()]
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(rename, folders))
+    return root
+
+
+def _streamed(spark: SparkSession, sf_dir: str, every_role: bool) -> DataFrame:
+    root = _write_exports(spark, sf_dir, every_role)
+    ingest_stream(spark, f"{root}/exports", f"{root}/streamed", f"{root}/cp").awaitTermination()
+    return store.read(spark, f"{root}/streamed", "messages").select("id", "role", "content")
+
+
+def _relative(files: DataFrame) -> DataFrame:
+    return files.withColumn("source_path", F.regexp_replace("source_path", "^.*/exports/", ""))
+
+
+def _export_files(spark: SparkSession, sf_dir: str, every_role: bool = False) -> tuple[DataFrame, str]:
+    """The export files as read_exports() reads them, with paths below exports/, and the folder."""
+    root = _write_exports(spark, sf_dir, every_role)
+    return _relative(read_exports(spark, f"{root}/exports")[0]), root
 
 
 _KEPT = "SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content FROM m WHERE role <> 'system' AND regexp_matches(content, '[^\\s]')"
@@ -311,30 +346,65 @@ _COUNTS = f"WITH {archive_sql()}, k AS ({_KEPT}), n AS (SELECT count(DISTINCT co
 
 @_query(f"{_COUNTS} SELECT 1 AS run, cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b UNION ALL SELECT 2, cs, 0, 0, bad FROM n, b")
 def upsert_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, root = _export_files(spark, sf_dir)
+    return _ingested_twice(spark, sf_dir, False)
+
+
+def _ingested_twice(spark: SparkSession, sf_dir: str, every_role: bool) -> DataFrame:
+    files, root = _export_files(spark, sf_dir, every_role)
     runs = [store.ingest(spark, f"{root}/archive", files).withColumn("run", F.lit(k)) for k in (1, 2)]
     return runs[0].unionByName(runs[1]).select("run", "parsed", "inserted_conversations", "inserted_messages", F.size("skipped_files").cast("long").alias("skipped"))
 
 
 @_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, role, content FROM k")
 def ingest_stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, root = _export_files(spark, sf_dir)
-    # Export files must have .json names to be found, so they are written by folder and given to the stream's batch function through Parquet.
-    files.write.parquet(f"{root}/incoming")
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/incoming")
-    query = stream.writeStream.foreachBatch(lambda rows, _: store.ingest(rows.sparkSession, f"{root}/streamed", rows) and None).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return store.read(spark, f"{root}/streamed", "messages").select("id", "role", "content")
+    return _streamed(spark, sf_dir, False)
 
 
 @_query(f"{_COUNTS} SELECT cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b")
 def import_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, root = _export_files(spark, sf_dir)
+    return _imported_by_layout(spark, sf_dir, False)
+
+
+def _imported_by_layout(spark: SparkSession, sf_dir: str, every_role: bool) -> DataFrame:
+    files, root = _export_files(spark, sf_dir, every_role)
     of_a = F.regexp_replace("source_path", "^broken/", "").startswith("a/")
     both = [store.ingest(spark, f"{root}/archive", files.where(part)) for part in (of_a, ~of_a)]
     return store.merge_summaries(both[0].unionByName(both[1])).select("parsed", "inserted_conversations", "inserted_messages", F.size("skipped_files").cast("long").alias("skipped"))
 
 
+#: All roles that a layout keeps: layout A has system and tool, layout B's rule drops them.
+_KEPT_WHOLE = "SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content FROM m JOIN c ON c.id = m.conversation_id WHERE CASE WHEN source = 'chatgpt' THEN role IN ('user', 'assistant', 'system', 'tool') ELSE role IN ('user', 'assistant') END AND regexp_matches(content, '[^\\s]')"
+_COUNTS_WHOLE = f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}), n AS (SELECT count(DISTINCT conversation_id) AS cs, count(*) AS ms FROM k), b AS (SELECT count(*) AS bad FROM c WHERE id LIKE '%0')"
+
+
+@_query(f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}) SELECT conversation_id || ':' || message_index AS id, conversation_id, message_index, role, content FROM k")
+def ingest_messages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of export files with all roles; the queries without _whole have files without system messages."""
+    files, _ = _export_files(spark, sf_dir, every_role=True)
+    return normalize.explode_messages(normalize.normalize(files)[0]).select("id", "conversation_id", "message_index", "role", "content")
+
+
+@_query(f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}) SELECT c.id, source, title, created_at, CAST(count(*) AS INTEGER) AS raw_message_count FROM k JOIN c ON c.id = k.conversation_id GROUP BY ALL")
+def ingest_conversations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = _export_files(spark, sf_dir, every_role=True)
+    return normalize.normalize(files)[0].select("id", "source", "title", "created_at", "raw_message_count")
+
+
+@_query(f"{_COUNTS_WHOLE} SELECT 1 AS run, cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b UNION ALL SELECT 2, cs, 0, 0, bad FROM n, b")
+def upsert_idempotent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested_twice(spark, sf_dir, True)
+
+
+@_query(f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}) SELECT conversation_id || ':' || message_index AS id, role, content FROM k")
+def ingest_stream_archive_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, True)
+
+
+@_query(f"{_COUNTS_WHOLE} SELECT cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b")
+def import_summaries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _imported_by_layout(spark, sf_dir, True)
+
+
 @_query(f"WITH {archive_sql()}, a AS (SELECT id FROM c WHERE conv_id % 4 < 2), b AS (SELECT id FROM c WHERE conv_id % 4 IN (1, 2)) (SELECT id FROM a EXCEPT SELECT id FROM b) UNION (SELECT id FROM b EXCEPT SELECT id FROM a)")
 def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = archive(spark, sf_dir)[0]

@@ -178,3 +178,14 @@ def test_every_message_has_its_window(spark):
     want = {(y["id"], x["conversation_id"], x["message_index"]) for x in m for y in m if x["conversation_id"] == y["conversation_id"] and abs(x["message_index"] - y["message_index"]) <= 2}
     got = [(r["id"], r["id"].split(":")[0], r["target_index"]) for r in catalog.queries()["context_window_whole"](spark, SF).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_whole_ingest_reads_system_messages_from_json_files(spark):
+    files, root = catalog._export_files(spark, SF, every_role=True)
+    names = [r["source_path"] for r in files.select("source_path").collect()]
+    assert names and len(set(names)) == len(names) and all(n.endswith(".json") and n.split("/")[-2] in "ab" for n in names)
+    assert any('"sender":"system"' in r["value"] for r in files.where("source_path like 'b/%'").collect())
+    c, m = archive(spark, SF)
+    want = m.where("role = 'system'").join(c.where("source = 'chatgpt'").select(F.col("id").alias("conversation_id")), "conversation_id").count()
+    got = catalog.queries()["ingest_messages_whole"](spark, SF).where("role = 'system'")
+    assert got.count() == want > 0
