@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
 Pages are dealt by host, a host with many pages over several salts. Within a salt they stream in a fixed order, in
-blocks of at most BLOCK pages. In a block the DOM trees are aligned with those of a few reference pages by simple tree
+blocks of BLOCK pages, the last two of even size. In a block the DOM trees are aligned with those of a few reference pages by simple tree
 matching (Yang, 1991). A node whose text is the same on most different pages of the block is constant, so it belongs to
 the template; what varies is content. Regions that HTML itself marks as no part of the article (navigation, forms,
 adverts, comments, ...) are left out by tag, role and class before that, which also serves hosts of a single page.
@@ -357,23 +357,31 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
 
-        def done() -> pd.DataFrame:
-            blocks = extract([x[2] for x in held])
+        def done(n: int) -> pd.DataFrame:
+            pages = held[:n]
+            del held[:n]
+            blocks = extract([x[2] for x in pages])
             texts = ["\n\n".join(x) for x in blocks]
-            out = pd.DataFrame({id_col: pd.Series([x[0] for x in held], dtype=object), url_col: [x[1] for x in held], "text": texts, "blocks": blocks, "n_chars": [len(x) for x in texts]})
-            held.clear()
-            return out
+            return pd.DataFrame({id_col: pd.Series([x[0] for x in pages], dtype=object), url_col: [x[1] for x in pages], "text": texts, "blocks": blocks, "n_chars": [len(x) for x in texts]})
+
+        def rest() -> Iterator[pd.DataFrame]:
+            # A short remainder would have too few pages to induce from, so what is left over one block is halved.
+            if len(held) > BLOCK:
+                yield done((len(held) + 1) // 2)
+            if held:
+                yield done(len(held))
 
         for batch in batches:
             out = []
             for row in zip(batch["_host"], batch["_salt"], batch["_id"], batch["_url"], batch["_html"], strict=True):
-                if held and (row[:2] != key or len(held) >= BLOCK):
-                    out.append(done())
+                if held and row[:2] != key:
+                    out.extend(rest())
+                elif len(held) >= 2 * BLOCK:
+                    out.append(done(BLOCK))
                 key = row[:2]
                 held.append([None if x is None or x != x else x for x in row[2:]])
             if out:
                 yield pd.concat(out, ignore_index=True)
-        if held:
-            yield done()
+        yield from rest()
 
     return dealt.repartition(n, "_host", "_salt").sortWithinPartitions("_host", "_salt", "_order", "_id", "_html").mapInPandas(run, f"`{id_col}` {kind[id_col]}, `{url_col}` string, text string, blocks array<string>, n_chars long")

@@ -263,6 +263,14 @@ def test_warc(spark, tmp_path):
     assert {r["refers_to"] for r in warc.derive(warc.read_responses(spark, str(tmp_path))).collect()} == {"<urn:x>"}
 
 
+def test_html_remainder_of_a_block_has_a_template(spark):
+    rows = [(k, "http://h/", f"<body><p>Unmarked line that all pages of this host have</p><p>Body number {k} {f'w{k} ' * 40}</p></body>") for k in range(html_extraction.BLOCK + 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # One salt of BLOCK + 2 pages, as a busy host of a larger table has.
+    found = html_extraction.extract_main_text(pages, busy_share=2.0).collect()
+    assert len(found) == len(rows) and [r["page_id"] for r in found if "Unmarked" in r["text"] or f"Body number {r['page_id']} " not in r["text"]] == []
+
+
 def test_warc_keeps_the_source(spark, tmp_path):
     import gzip
 
