@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Keys of over HOT_ROWS rows, and over a share of 1 / HOT_KEYS of all rows, are hot: there are fewer than HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1000, 1000
+#: Rows (key, size) of large groups that are broadcast at most; beyond, they are merged.
+LARGE = 200_000
 #: White space of str.split() that the corpus definition of a word does not split at, or the reverse.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,11 +28,10 @@ def words(text: str | None) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Unset, RuntimeError: a folder of one machine would not do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="chatlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -48,7 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chatlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written and nothing will read again."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_and_measure(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
@@ -137,6 +147,60 @@ def counted(members: DataFrame, group: str) -> DataFrame:
     return join_hot(members, members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), group)
 
 
+def sized(members: DataFrame, group: str, block: int) -> DataFrame:
+    """members with _n, the size of each row's group if it is over `block`, else 1; without moving members unless over LARGE groups are that large. members is read twice."""
+    large, seen = cut_and_measure(members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block), groups=F.count(F.lit(1)))
+    if not seen["groups"]:
+        forget(large)
+        return members.withColumn("_n", F.lit(1).cast("long"))
+    joined = members.join(F.broadcast(large) if seen["groups"] <= LARGE else large.hint("merge"), group, "left")
+    return joined.withColumn("_n", F.coalesce("_n", F.lit(1)))
+
+
+def pairs_to_compare(chosen: DataFrame, leaves: DataFrame, block: int, wide: int) -> DataFrame:
+    """Rows (part, node, p, q, own, key, others of chosen, nodes), in groups (part, node, p, q) of at most two blocks: each pair of members
+    of a part that may be a link meets in at least one, and counts in exactly one.
+
+    chosen has (part, key, ...) and _n, the size of the part; leaves (node, key) says where keys met. A part of at most `wide` members is
+    compared as a whole: node is 0 and nodes null. In a larger one, its pairs may outnumber those that met in a node by far, as parts
+    are chains of what may be similar; the cheaper of the two ways is taken. Pairs that met in several nodes count in the least of those,
+    which is what nodes, the nodes of a member, is for: see first_met().
+    """
+    small = block_pairs(chosen.where(F.col("_n") <= wide), "part", "key", block).withColumn("node", F.lit(0).cast("long")).withColumn("nodes", F.lit(None).cast("array<long>"))
+    large = chosen.where(F.col("_n") > wide)
+    if large.isEmpty():
+        return small
+    met = cut(leaves.select("node", "key").join(large.select("key", "part", F.col("_n").alias("_whole")).hint("merge"), "key").distinct())
+    groups = cut(met.groupBy("part", "node").agg(F.count(F.lit(1)).alias("_m"), F.max("_whole").alias("_whole")).where("_m > 1"))
+    narrow = cut(groups.groupBy("part").agg(F.sum(F.col("_m") * F.col("_m")).alias("_met"), F.max("_whole").alias("_whole")).where(F.col("_met") < F.col("_whole").cast("double") * F.col("_whole")).select("part", F.col("_whole").alias("_n")))
+    whole = large.drop("_n").join(join_parts(large, narrow, "left_anti").select("key", "_n").hint("merge"), "key")
+    rest = block_pairs(whole, "part", "key", block).withColumn("node", F.lit(0).cast("long")).withColumn("nodes", F.lit(None).cast("array<long>"))
+    inside = cut(join_parts(met, narrow, "left_semi").join(groups.select("part", "node", F.col("_m").alias("_n")).hint("merge"), ["part", "node"]))
+    nodes = inside.groupBy("key").agg(F.collect_set("node").alias("nodes"))  # at most one for each path of a key
+    held = inside.select("node", "key", "_n").join(large.drop("_n").join(nodes.hint("merge"), "key").hint("merge"), "key")
+    return small.unionByName(rest).unionByName(block_pairs(held, "node", "key", block))
+
+
+def join_parts(rows: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+    """rows whose part is in parts (left_semi) or is not (left_anti). parts, each of over some thousand members, are few: broadcast if they are at most LARGE."""
+    few = parts.limit(LARGE + 1).count() <= LARGE
+    return rows.join(F.broadcast(parts.select("part")) if few else parts.select("part").hint("merge"), "part", how)
+
+
+def first_met(linked: np.ndarray, node: int, nodes: np.ndarray) -> np.ndarray:
+    """linked without the pairs of rows that have a lower node than `node` in common; nodes as pairs_to_compare() gives them."""
+    if nodes[0] is None or not linked.any():
+        return linked
+    lower = [[x for x in one if x < node] for one in nodes]
+    number = {x: k for k, x in enumerate(sorted({x for one in lower for x in one}))}
+    if not number:
+        return linked
+    has = np.zeros((len(nodes), len(number)), np.float32)
+    for i, one in enumerate(lower):
+        has[i, [number[x] for x in one]] = 1
+    return linked & ~(has @ has.T > 0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scramble unsigned 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -150,15 +214,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def star_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest (root, member) of the symmetric boolean matrix `linked`; roots are the lowest positions."""
-    n, seen, out = len(linked), np.zeros(len(linked), bool), []
-    for root in range(n):
+    some = np.flatnonzero(linked.any(axis=1))
+    if not len(some):
+        return []
+    near_of = linked[np.ix_(some, some)]
+    seen, out = np.zeros(len(some), bool), []
+    for root in range(len(some)):
         if seen[root]:
             continue
         seen[root] = True
         front = [root]
         while front:
-            near = linked[front].any(axis=0) & ~seen
+            near = near_of[front].any(axis=0) & ~seen
             front = np.flatnonzero(near).tolist()
             seen[front] = True
-            out += [(root, x) for x in front]
+            out += [(int(some[root]), int(some[x])) for x in front]
     return out

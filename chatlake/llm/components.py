@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import cut_and_measure, join_hot
+from chatlake.llm.common import cut_and_measure, forget, join_hot
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
@@ -47,5 +47,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if seen["n"] == 0 or seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = seen
-        now, seen = _star(_star(now, large=True)[0], large=False)
+        half, _ = _star(now, large=True)
+        forget(now)
+        now, seen = _star(half, large=False)
+        forget(half)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,9 +1,9 @@
-"""Near duplicates among embeddings: signs against random hyperplanes in several tables, exact cosines inside buckets, and
-distributed connected components.
+"""Near duplicates among embeddings: signs against random hyperplanes in several tables, exact cosines, and distributed connected components.
 
-Equal vectors are one row with a multiplicity. A bucket's rows are dealt to blocks and compared block against block, in
-double precision. A pair counts in the first table in which its two codes agree, so each link counts once without any list
-of pairs: a block gives the links of each row as a number, and a spanning forest of them.
+Equal vectors are one row with a multiplicity. What goes to a bucket of a table is a key and SKETCH further signs, never the vector:
+members whose sketches differ in few signs may be similar, and a bucket yields a spanning forest of what may be. Each component of
+these forests is a part. A vector goes to its part, and there all pairs that may be links are compared in double precision, block
+against block, each once: a block gives the links of each row as a number, and a spanning forest of true links.
 """
 
 from __future__ import annotations
@@ -17,96 +17,146 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import block_pairs, counted, cut, join_hot, map_groups, mix64, star_edges
+from chatlake.llm.common import block_pairs, cut, first_met, forget, join_hot, map_groups, pairs_to_compare, sized, star_edges
 from chatlake.llm.components import connected_components
 
-BLOCK, SEED = 256, 11
-#: Vectors that a bucket holds if directions are even, and the most bits and tables.
-BUCKET, MAX_BITS, MAX_TABLES = 32, 24, 256
+SEED = 11
+#: Vectors that a bucket holds if directions are even; rows of a block in a bucket, and in a part.
+BUCKET, NEAR_BLOCK, BLOCK = 1024, 2048, 512
+#: Signs of a sketch, and the standard deviations of slack that a pair at the threshold has in them.
+SKETCH, SLACK = 128, 4.0
+#: Parts of more vectors are compared within buckets if that is cheaper.
+WIDE = 16 * BLOCK
 
 
 def tables_for(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     """Bits and tables so that buckets hold about BUCKET vectors, and a pair at the threshold meets with this probability."""
-    bits = min(MAX_BITS, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET + 1))))
+    bits = min(44, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET + 1))))
     meets = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - meets)) if meets < 1 else 1
-    if tables > MAX_TABLES:
-        raise ValueError(f"recall {recall} takes {tables} tables of {bits} bits")
-    return bits, tables
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meets)) if meets < 1 else 1
+
+
+def most_apart(threshold: float) -> int:
+    """The signs of a sketch in which a pair at the threshold may differ."""
+    share = math.acos(min(1.0, threshold)) / math.pi
+    return math.ceil(SKETCH * share + SLACK * math.sqrt(SKETCH * share * (1 - share)))
+
+
+def _unit(data: bytes, single: bool) -> np.ndarray:
+    """The vector of these bytes in double precision, scaled to length 1; components whose squares are out of range are scaled first."""
+    x = np.frombuffer(data, np.float32 if single else np.float64).astype(np.float64)
+    with np.errstate(over="ignore", under="ignore"):
+        norm = np.linalg.norm(x)
+    if not 1e-140 < norm < math.inf:
+        x = x / np.abs(x).max()
+        norm = np.linalg.norm(x)
+    return x / norm
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
     """Rows (id, n_links, component_id, kept), one for each row of vectors.
 
-    A link joins two rows of equal length whose cosine is at least `threshold` and whose codes agree in a table; n_links counts
-    a row's links, component_id is the least id reachable, kept says whether that is the row's own. Vectors that are null, empty, zero, or have
-    null or non-finite components link with nothing. Repeated rows are rows like others. A null id has the component of its copies and links, or
-    null, and is not kept. Other columns, labels too, are not read; an empty table gives no rows.
+    A link joins two rows of equal length whose cosine is at least `threshold`, found if their codes agree in a table, which a pair at the
+    threshold does with probability `recall`, a closer one more surely; n_links counts a row's links, component_id is the least id reachable,
+    kept says whether that is the row's own. Vectors that are null, empty, zero, or have null or non-finite components link with nothing.
+    Repeated rows are rows like others. A null id has the component of its copies and links, or null, and is not kept. Other columns,
+    labels too, are not read; an empty table gives no rows.
     """
-    kind = dict(vectors.dtypes)[id_col]
+    kinds = dict(vectors.dtypes)
+    kind, single = kinds[id_col], kinds[vector_col] == "array<float>"
+    bits, tables = tables_for(vectors.count(), threshold, recall)
+    apart = most_apart(threshold)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, v in zip(batch["id"], batch["v"], strict=True):
                 x = np.array([np.nan if c is None else c for c in v], np.float64) if v is not None else np.empty(0)
-                norm = np.linalg.norm(x) if len(x) and np.isfinite(x).all() else 0.0
-                if not 0 < norm < math.inf and len(x) and np.isfinite(x).all() and x.any():  # squares out of range
-                    x = x / np.abs(x).max()
-                    norm = np.linalg.norm(x)
-                data = (x + 0.0).tobytes() if 0 < norm < math.inf else None
-                out.append((i, hashlib.blake2b(data, digest_size=16).digest() if data else None, (x / norm).tobytes() if data else None))
-            yield pd.DataFrame(out, columns=["id", "key", "unit"])
-
-    rows = cut(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(keyed, f"id {kind}, key binary, unit binary"))
-    sets = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("unit").alias("unit")))
-    bits, tables = tables_for(sets.count(), threshold, recall)
-
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                good = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
+                data = (x + 0.0).tobytes() if good else None
+                out.append((i, hashlib.blake2b(data, digest_size=16).digest() if good else None, ((x + 0.0).astype(np.float32).tobytes() if single else data) if good else None))
+            yield pd.DataFrame(out, columns=["id", "key", "v"])
+
+    # Copies are one vector; its number is fixed by being written.
+    rows = cut(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(keyed, f"id {kind}, key binary, v binary"))
+    sets = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"))
+    sets = cut(sets.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()))
+    rows_of = cut(rows.select("id", F.col("key").alias("digest")))
+    forget(rows)
+    rows = rows_of
+
+    def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
-        weights = (1 << np.arange(bits)).astype(np.uint32)
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        at = np.arange(tables, dtype=np.int64) << np.int64(bits)
         for batch in batches:
-            made, buckets = [], []
-            for unit in batch["unit"]:
-                x = np.frombuffer(unit)
-                if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng([SEED, len(x)]).standard_normal((tables * bits, len(x)))
-                code = ((planes[len(x)] @ x > 0).reshape(tables, bits) * weights).sum(1).astype(np.uint32)
-                made.append(code.tobytes())
-                buckets.append(mix64(mix64(code.astype(np.uint64) + (np.arange(tables, dtype=np.uint64) << np.uint64(32))) + np.uint64(len(x))).view(np.int64))
-            yield batch[["key", "size", "unit"]].assign(codes=made, buckets=buckets)
-
-    coded = sets.select("key", "size", "unit").mapInPandas(codes, "key binary, size long, unit binary, codes binary, buckets array<long>")
-    members = cut(coded).select("key", "size", "unit", "codes", F.posexplode("buckets").alias("table", "bucket"))
-
-    def links(group: tuple, rows: dict[str, np.ndarray]) -> list[tuple]:
-        _, p, q = group
-        keys, own, table = rows["key"], rows["own"], int(rows["table"][0])
+            x = [_unit(v, single) for v in batch["v"]]
+            code, first, second = np.zeros((len(x), tables), np.int64), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            lengths = np.array([len(v) for v in x])
+            for n in np.unique(lengths).tolist():
+                if n not in planes:
+                    planes[n] = np.random.default_rng([SEED, n]).standard_normal((SKETCH + tables * bits, n)).T.copy()
+                same = np.flatnonzero(lengths == n)
+                for low in range(0, len(same), 256):
+                    mine = same[low : low + 256]
+                    above = np.stack([x[k] for k in mine]) @ planes[n] > 0
+                    packed = np.packbits(above[:, :SKETCH], axis=1).view(np.int64)
+                    first[mine], second[mine] = packed[:, 0], packed[:, 1]
+                    code[mine] = above[:, SKETCH:].reshape(len(mine), tables, bits) @ weights + at
+            yield pd.DataFrame({"key": batch["key"], "s0": first, "s1": second, "buckets": list(code)})
+
+    coded = cut(sets.select("key", "v").mapInPandas(signs, "key long, s0 long, s1 long, buckets array<long>"))
+    members = coded.select("key", "s0", "s1", F.explode("buckets").alias("node"))
+
+    def may_match(group: tuple, held: dict[str, np.ndarray]) -> list[tuple]:
+        keys, own = held["key"], held["own"]
         if len(keys) < 2:
             return []
-        x = np.frombuffer(b"".join(rows["unit"])).reshape(len(keys), -1)
-        linked = x @ x.T >= threshold
-        linked &= ~np.eye(len(keys), dtype=bool) if p == q else own[:, None] != own
-        if table and linked.any():
-            code = np.frombuffer(b"".join(rows["codes"]), np.uint32).reshape(len(keys), -1)
-            for t in range(table):
-                linked &= code[:, t][:, None] != code[:, t]
-        if not linked.any():
-            return []
-        out = [(k, None, int(c)) for k, c in zip(keys, linked @ rows["size"].astype(np.int64), strict=True) if c]
-        return out + [(keys[i], keys[j], 0) for i, j in star_edges(linked)]
-
-    found = cut(map_groups(block_pairs(counted(members, "bucket"), "bucket", "key", BLOCK), ["bucket", "p", "q"], links, "a binary, b binary, n long"))
+        a, b = held["s0"].view(np.uint64), held["s1"].view(np.uint64)
+        near = np.empty((len(keys), len(keys)), bool)
+        for low in range(0, len(keys), 256):
+            high = low + 256
+            near[low:high] = np.bitwise_count(a[low:high, None] ^ a) + np.bitwise_count(b[low:high, None] ^ b) <= apart
+        np.fill_diagonal(near, False)
+        if group[1] != group[2]:
+            near &= own[:, None] != own
+        return [(int(keys[i]), int(keys[j])) for i, j in star_edges(near)]
+
+    forest = map_groups(block_pairs(sized(members, "node", NEAR_BLOCK), "node", "key", NEAR_BLOCK), ["node", "p", "q"], may_match, "a long, b long")
+    parts = cut(connected_components(forest).select(F.col("node").alias("key"), F.col("component").alias("part")))
+    chosen = cut(sized(parts, "part", BLOCK).join(sets.select("key", "size", "v").hint("merge"), "key"))
+
+    def links(group: tuple, held: dict[str, np.ndarray]) -> list[tuple]:
+        _, node, p, q = group
+        keys, own = held["key"], held["own"]
+        lengths = np.array([len(v) for v in held["v"]])
+        out: list[tuple] = []
+        for n in np.unique(lengths).tolist():
+            mine = np.flatnonzero(lengths == n)
+            if len(mine) < 2:
+                continue
+            x = np.stack([_unit(v, single) for v in held["v"][mine]])
+            linked = x @ x.T >= threshold
+            np.fill_diagonal(linked, False)
+            if p != q:
+                linked &= own[mine][:, None] != own[mine]
+            linked = first_met(linked, node, held["nodes"][mine])
+            if linked.any():
+                out += [(int(k), None, int(c)) for k, c in zip(keys[mine], linked @ held["size"][mine].astype(np.int64), strict=True) if c]
+                out += [(int(keys[mine[i]]), int(keys[mine[j]]), 0) for i, j in star_edges(linked)]
+        return out
+
+    found = cut(map_groups(pairs_to_compare(chosen, members, BLOCK, WIDE), ["part", "node", "p", "q"], links, "a long, b long, n long"))
     others = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links"))
     reached = connected_components(found.where("b is not null"))
     named = cut(reached.select(F.col("node").alias("key"), "component").join(sets.select("key", "rep").hint("merge"), "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     of_set = (
-        sets.select("key", "rep", "size").join(others.hint("merge"), "key", "left")
+        sets.select("digest", "key", "rep", "size").join(others.hint("merge"), "key", "left")
         .join(join_hot(named.select("key", "component"), least, "component").select("key", "component_id").hint("merge"), "key", "left")
-        .select("key", F.col("size").alias("_n"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+        .select("digest", F.col("size").alias("_n"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     )
-    out = join_hot(rows.select("id", "key"), of_set, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = join_hot(rows, of_set, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )

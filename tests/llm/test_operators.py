@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -216,23 +217,62 @@ def test_jaccard(spark, odd, hot):
     assert jaccard_join.similar_documents(odd).count() == 14 and jaccard_join.similar_documents(odd.limit(0)).count() == 0
 
 
-def test_embeddings(spark, hot):
+def _embeddings(spark, hot=None):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal(16)
     vectors = [(centre + 0.2 * rng.standard_normal(16)).tolist() for _ in range(600)] + [rng.standard_normal(16).tolist() for _ in range(200)]
     rows = [(k, v) for k, v in enumerate([*vectors, vectors[0], vectors[0], [0.0] * 16, None, [1.0, None], [float("nan")] * 16, [], [3e300] * 16, [1e-320] * 4])]
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit(1)), recall=0.9999).collect()}
     x = np.array([v for _, v in rows[:802]])
     x /= np.linalg.norm(x, axis=1)[:, None]
     s = x @ x.T >= 0.9
     np.fill_diagonal(s, False)
-    classes = _classes(802, [(int(a), int(b)) for a, b in zip(*np.nonzero(s), strict=True)])
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("part", F.lit("x")), s
+
+
+def _check_embeddings(got, s):
     found = sum(got[k]["n_links"] for k in range(802))
-    assert 0.99 * s.sum() <= found <= s.sum()
-    assert [got[k]["component_id"] for k in range(802)] == classes
+    print(f"links found: {found / s.sum():.4f}")
+    assert 0.98 * s.sum() <= found <= s.sum()
+    assert [got[k]["component_id"] for k in range(802)] == _classes(802, [(int(a), int(b)) for a, b in zip(*np.nonzero(s), strict=True)])
     assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k and got[k]["kept"] for k in range(802, 809))
 
 
+def test_embeddings(spark, hot):
+    table, s = _embeddings(spark)
+    _check_embeddings({r["vec_id"]: r for r in embedding_dedup.near_duplicates(table).collect()}, s)
+    assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [1.0, 2.001]), (None, [1.0, -1.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(str, (tuple(r) for r in embedding_dedup.near_duplicates(nulls).collect()))) == ["(7, 2, 7, True)", "(8, 2, 7, False)", "(None, 0, None, False)", "(None, 2, 7, False)"]
+
+
+def test_embeddings_by_blocks_and_within_buckets(spark, monkeypatch):
+    table, s = _embeddings(spark)
+    for name, value in (("BUCKET", 64), ("NEAR_BLOCK", 100), ("BLOCK", 50)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    _check_embeddings({r["vec_id"]: r for r in embedding_dedup.near_duplicates(table).collect()}, s)
+    # A part of more than WIDE vectors may be compared within its buckets: a pair there counts in the least of those alone.
+    chosen = spark.createDataFrame([(0, k, 9) for k in range(9)], "part int, key long, _n long")
+    leaves = spark.createDataFrame([(k // 2 + 10, k) for k in range(9)] + [(7, 0), (7, 1), (8, 0), (8, 1), (8, 2)], "node long, key long")
+    rows = common.pairs_to_compare(chosen, leaves, 50, 3).collect()
+    assert {r["node"] for r in rows} == {7, 8, 10, 11, 12, 13} and all(r["p"] == r["q"] == 0 for r in rows)
+    counted = [(x["key"], y["key"]) for node in (7, 8, 10, 11, 12, 13) for x in rows for y in rows if x["node"] == y["node"] == node and x["key"] < y["key"] and common.first_met(np.ones((2, 2), bool), node, [x["nodes"], y["nodes"]])[0, 1]]
+    assert sorted(counted) == [(0, 1), (0, 2), (1, 2), (2, 3), (4, 5), (6, 7)]
+
+
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs whose cosine is just above the threshold, with the default recall."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(1500):
+        x, y = rng.standard_normal((2, 64))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (0.901 * x + math.sqrt(1 - 0.901**2) * y / np.linalg.norm(y)).tolist())]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("n_links > 0").count()
+    print(f"recall at the threshold: {got / 3000:.4f}")
+    assert got >= 0.97 * 3000
+
+
 def test_components(spark, hot):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000, k) for k in range(1001, 1400)] + [(k, k + 1) for k in range(2000, 2100)] + [(5, 5)]
