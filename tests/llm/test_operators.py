@@ -217,6 +217,40 @@ def test_jaccard(spark, odd, hot):
     assert jaccard_join.similar_documents(odd).count() == 14 and jaccard_join.similar_documents(odd.limit(0)).count() == 0
 
 
+def test_jaccard_null_ids_and_ids_of_several_texts(spark):
+    w = [f"w{k}" for k in range(60)]
+    near = " ".join([*w[:-1], "x"])
+    other = " ".join(f"v{k}" for k in range(30))
+    rows = [(1, " ".join(w)), (None, near), (None, near), (None, other), (None, other + " "), (5, other + " y"), (5, "something else"), (5, "something else"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    got = sorted(((r["doc_id"] or 0), r["class_id"] or 0, r["n_links"], r["kept"]) for r in jaccard_join.similar_documents(docs).collect())
+    assert got == sorted([(1, 1, 2, True), (0, 1, 2, False), (0, 1, 2, False), (0, 5, 2, False), (0, 5, 2, False), (5, 5, 2, True), (5, 5, 1, True), (5, 5, 1, True), (0, 0, 0, False), (0, 0, 0, False)])
+    kept = sorted(map(str, (tuple(r)[:2] for r in jaccard_join.keep_one(docs).collect())))
+    assert kept == sorted(map(str, [(1, rows[0][1]), (5, rows[5][1]), (5, "something else"), (None, None), (None, "")]))
+
+
+def test_jaccard_recall_at_the_threshold_and_large_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(300):  # 92 n-grams, of which 10 change: J = 82 / 102 = 0.804
+        w = [f"p{k}w{i}" for i in range(96)]
+        texts += [" ".join(w), " ".join([*w[:86], *(f"q{k}w{i}" for i in range(10))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.similar_documents(docs).where("n_links = 1").count()
+    print(f"recall at J = 0.804: {got / 600:.4f}")
+    assert got >= 0.97 * 600
+    chain = [f"c{i}" for i in range(500)]  # each is near the next few only, all in one part
+    docs = spark.createDataFrame([(k, " ".join(chain[k : k + 100])) for k in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "WIDE", 50)
+    monkeypatch.setattr(jaccard_join, "EXACT_BLOCK", 20)
+    links = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard_join.similar_documents(docs).collect()}
+    reach = 10  # 96 n-grams, shifted by s: (96 - s) / (96 + s) >= 0.8
+    want = {k: (min(k, reach) + min(399 - k, reach), 0) for k in range(400)}
+    found = sum(x[0] for x in links.values()) / sum(x[0] for x in want.values())
+    print(f"links of a chain: {found:.4f}")
+    assert 0.97 <= found <= 1 and {x[1] for x in links.values()} == {0} and all(links[k][0] <= want[k][0] for k in want)
+
+
 def _embeddings(spark, hot=None):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal(16)
