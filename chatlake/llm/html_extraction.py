@@ -1,31 +1,34 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
-Pages are dealt by host, a host with many pages over several salts. Within a salt they stream in a fixed order, in
-blocks of BLOCK pages, the last two of even size. In a block the DOM trees are aligned with those of a few reference pages by simple tree
-matching (Yang, 1991). A node whose text is the same on most different pages of the block is constant, so it belongs to
-the template; what varies is content. Regions that HTML itself marks as no part of the article (navigation, forms,
-adverts, comments, ...) are left out by tag, role and class before that, which also serves hosts of a single page.
+Pages are dealt by host, a host with many pages over several salts. Within a salt they stream in a fixed order, in blocks of BLOCK
+pages, the last two of even size. In a block the whole DOM trees are aligned with those of a few reference pages by simple tree
+matching (Yang, 1991), top-down: a node of a reference is a slot, and the subtrees that other pages have there are its fillings. A slot
+where most pages have a subtree that other pages have there as well, be it one or one of some variants, is constant, and what fills it is
+template; a slot whose fillings vary is content. Copies of a page count as one page. Only then, from what varies, regions that HTML
+itself marks as no part of the article (navigation, forms, adverts, comments, ...) are left out by tag, role and class, which also
+serves hosts of few pages.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that are aligned with each other at most.
-BLOCK = 64
-#: A text is constant at its slot if this share of the block's different pages has it, and at least CONSTANT_PAGES.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.7, 4
+#: Pages, and characters of pages, that are aligned with each other at most.
+BLOCK, BLOCK_CHARS = 256, 1 << 24
+#: A slot is constant if at least CONSTANT_PAGES different pages fill it, and PRESENT of all, and RECURS of them with a subtree that another one has there.
+CONSTANT_PAGES, PRESENT, RECURS = 4, 0.5, 0.75
 #: Pages of a block whose trees serve as references.
 REFERENCES = 3
-#: Elements nested deeper than this count as children of the last one above.
-MAX_DEPTH = 200
+#: Lists of children of up to so many pairs are matched by dynamic programming, longer ones in order between their equal subtrees.
+PAIRS = 2500
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes", "object", "canvas"}
 CHROME_TAGS = {"nav", "footer", "aside", "form", "head", "header", "select", "button", "dialog", "menu", "fieldset", "option", "datalist"}
@@ -54,18 +57,19 @@ _CHROME_NAME = re.compile(
     r"|toolbar\w*|pagination|pager|login|complementary|contentinfo|search|dialog|tooltip|skip-?link)(?:$|[\s_-])",
     re.I,
 )
-_SPACE = re.compile(r"\s+")
+_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 
 
 class Node:
-    """An element, or a text block where text is not None."""
+    """An element, or a text block where text is not None. label is what nodes are matched by, digest stands for the whole subtree."""
 
-    __slots__ = ("tag", "text", "children", "chrome", "holds_main", "link_chars")
+    __slots__ = ("tag", "text", "children", "chrome", "holds_main", "link_chars", "label", "digest")
 
-    def __init__(self, tag: str, text: str | None = None):
+    def __init__(self, tag: str, text: str | None = None, names: str = ""):
         self.tag, self.text, self.children = tag, text, []
         self.chrome = self.holds_main = False
-        self.link_chars = 0
+        self.link_chars = self.digest = 0
+        self.label = f"#{tag}" if text is not None else f"{tag} {_DIGITS.sub('', names)}" if names else tag
 
 
 def parse(html: str | None) -> Node:
@@ -78,6 +82,7 @@ def parse(html: str | None) -> Node:
     if not html:
         return root
     stack, parts, linked, in_link, pos, n = [root], [], 0, 0, 0, len(html)
+    unclosed: Counter = Counter()  # elements on the stack by tag, so that stray end tags cost nothing
 
     def flush() -> None:
         nonlocal linked
@@ -93,6 +98,7 @@ def parse(html: str | None) -> Node:
     def pop_to(k: int) -> None:
         while len(stack) > k:
             top = stack.pop()
+            unclosed[top.tag] -= 1
             if top.holds_main or top.tag in MAIN:
                 stack[-1].holds_main = True
 
@@ -117,11 +123,11 @@ def parse(html: str | None) -> Node:
             if tag in INLINE:
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if unclosed[tag] else ():
                 if stack[k].tag == tag:
                     pop_to(k)
                     break
-                if tag == "p" and stack[k].tag not in ("p",):
+                if tag == "p":
                     break
             continue
         if tag in RAW:
@@ -148,182 +154,220 @@ def parse(html: str | None) -> Node:
                     break
         if tag in SIBLINGS:
             same, scope = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(unclosed[x] for x in same) else ():
                 if stack[k].tag in scope:
                     break
                 if stack[k].tag in same:
                     pop_to(k)
                     break
-        if tag in VOID or len(stack) >= MAX_DEPTH:
+        if tag in VOID:
             continue
-        node = Node(tag)
-        if tag in CHROME_TAGS or tag == "head":
-            node.chrome = True
+        names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attrs)) if attrs else ""
+        node = Node(tag, names=names)
+        node.chrome = tag in CHROME_TAGS
         if attrs and tag not in MAIN:
-            names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attrs))
             node.chrome |= bool(names and _CHROME_NAME.search(names)) or bool(_HIDDEN.search(attrs))
         stack[-1].children.append(node)
         stack.append(node)
+        unclosed[tag] += 1
     flush()
     pop_to(1)
     return root
 
 
-def _body(node: Node, within_main: bool = False) -> Node | None:
-    """The tree without chrome. A header within the article stays, and so does whatever holds the article."""
-    if node.text is not None:
-        return node
-    within_main |= node.tag in MAIN
-    if node.chrome and not node.holds_main and not (within_main and node.tag == "header" or node.tag == "menu" and within_main):
-        return None
-    node.children = [y for x in node.children if (y := _body(x, within_main)) is not None]
-    return node if node.children else None
-
-
-def _leaves(node: Node, out: list[Node], stop: frozenset = frozenset()) -> list[Node]:
-    todo = [node]
+def _preorder(tree: Node) -> list[Node]:
+    out, todo = [], [tree]
     while todo:
         x = todo.pop()
-        if x.text is not None:
-            out.append(x)
-        elif x.tag not in stop:
-            todo.extend(reversed(x.children))
+        out.append(x)
+        todo.extend(reversed(x.children))
     return out
 
 
-def _regions(node: Node, tags: set[str]) -> list[Node]:
-    """The outermost elements with one of these tags."""
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if x.text is None and x.tag in tags:
-            out.append(x)
-        else:
-            todo.extend(reversed(x.children))
-    return out
+def _digested(tree: Node) -> list[str]:
+    """Give each node its digest; the texts of the tree's blocks."""
+    nodes = _preorder(tree)
+    for x in reversed(nodes):
+        x.digest = hash((x.tag, x.text)) if x.text is not None else hash((x.label, *(y.digest for y in x.children)))
+    return [x.text for x in nodes if x.text is not None]
 
 
-def _chars(leaves: list[Node]) -> int:
-    return sum(len(x.text) for x in leaves)
+def _kept(tree: Node, fixed: set[int], lists: bool) -> list[tuple[Node, bool, bool]]:
+    """(text block, within an article, within main) of a tree without template and, if lists, without chrome. A header within the article stays, and so does whatever holds the article."""
+    out, todo = [], [(tree, False, False)]
+    while todo:
+        x, article, main = todo.pop()
+        if id(x) in fixed:
+            continue
+        if x.text is not None:
+            out.append((x, article, main))
+            continue
+        article, main = article or x.tag == "article", main or x.tag == "main"
+        if lists and x.chrome and not x.holds_main and not ((article or main) and x.tag in ("header", "menu")):
+            continue
+        todo.extend((y, article, main) for y in reversed(x.children))
+    return out
 
 
-def _region(tree: Node) -> tuple[list[Node], bool]:
-    """The text blocks of the main region, and whether the page marks it: its articles, else its main element, else all."""
-    everything = _leaves(tree, [])
-    total = _chars(everything)
-    for tags, share in (({"article"}, 0.4), ({"main"}, 0.0)):
-        found = [y for x in _regions(tree, tags) for y in _leaves(x, [])]
-        if found and _chars(found) >= share * total:
+def _region(blocks: list[tuple[Node, bool, bool]]) -> tuple[list[Node], bool]:
+    """The blocks of the main region, and whether the page marks it: its articles, else its main element, else all."""
+    total = sum(len(x.text) for x, _, _ in blocks)
+    for k, share in ((1, 0.4), (2, 0.0)):
+        found = [x[0] for x in blocks if x[k]]
+        if found and sum(len(x.text) for x in found) >= share * total:
             return found, True
-    return everything, False
+    return [x for x, _, _ in blocks], False
 
 
-def match(a: Node, b: Node, score: dict) -> int:
-    """Simple tree matching: the most pairs of nodes of two ordered trees that keep labels, order and ancestry.
-
-    Two text blocks of equal text count twice, so that constant nodes find each other among varying ones. score gets the
-    matrix of each pair of elements that was compared, for aligned().
-    """
-    if a.tag != b.tag or (a.text is None) != (b.text is None):
-        return 0
-    if a.text is not None:
-        return 2 if a.text == b.text else 1
-    xs, ys = a.children, b.children
+def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of equal labels of two lists in order, of the most weight: an equal subtree counts twice, so that constant nodes find each other among varying ones."""
+    if len(xs) * len(ys) > PAIRS:
+        # Each of one list with the next of its label in the other: linear, and no node is lost, as unmatched ones count as varying.
+        places: dict[str, list[int]] = defaultdict(list)
+        for j, y in enumerate(ys):
+            places[y.label].append(j)
+        out, last = [], -1
+        for x in xs:
+            at = places.get(x.label, ())
+            k = bisect_right(at, last)
+            if k < len(at):
+                last = at[k]
+                out.append((x, ys[last]))
+        return out
     rows = [[0] * (len(ys) + 1)]
     for x in xs:
         above, row = rows[-1], [0]
         for j, y in enumerate(ys):
             best = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if x.tag == y.tag:
-                s = above[j] + ((2 if x.text == y.text else 1) if x.text is not None and y.text is not None else match(x, y, score))
-                if s > best:
-                    best = s
+            if x.label == y.label and (s := above[j] + (2 if x.digest == y.digest else 1)) > best:
+                best = s
             row.append(best)
         rows.append(row)
-    score[id(a), id(b)] = rows
-    return 1 + rows[-1][-1]
+    out, i, j = [], len(xs), len(ys)
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
+    return out
+
+
+def match_children(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of two lists of children that keep labels and order.
 
+    In long lists, subtrees that both have, once each, are matched first, in the longest run that keeps order; what lies between is matched by _in_order().
+    """
+    if len(xs) * len(ys) <= PAIRS:
+        return _in_order(xs, ys)
+    once = Counter(x.digest for x in xs)
+    place = {y.digest: j for j, y in enumerate(ys)}
+    twice = {d for d, c in Counter(y.digest for y in ys).items() if c > 1}
+    common = [(i, place[x.digest]) for i, x in enumerate(xs) if once[x.digest] == 1 and x.digest in place and x.digest not in twice]
+    tops: list[int] = []
+    of_top: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(common):
+        at = bisect_left(tops, j)
+        before.append(of_top[at - 1] if at else -1)
+        tops[at : at + 1] = [j]
+        of_top[at : at + 1] = [k]
+    chain, k = [], of_top[-1] if of_top else -1
+    while k >= 0:
+        chain.append(common[k])
+        k = before[k]
+    out, i, j = [], 0, 0
+    for a, b in [*reversed(chain), (len(xs), len(ys))]:
+        out += _in_order(xs[i:a], ys[j:b])
+        if a < len(xs):
+            out.append((xs[a], ys[b]))
+        i, j = a + 1, b + 1
+    return out
 
-def aligned(a: Node, b: Node, score: dict) -> list[tuple[Node, Node]]:
-    """The pairs of text blocks with equal text in a best alignment of two trees that match() has compared."""
-    out, todo = [], [(a, b)]
+
+def aligned(a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+    """The pairs of nodes of an alignment of two trees, roots first: labels, order and ancestry are kept."""
+    todo = [(a, b)]
     while todo:
         a, b = todo.pop()
-        if a.text is not None:
-            if a.text == b.text:
-                out.append((a, b))
-            continue
-        rows, i, j = score[id(a), id(b)], len(a.children), len(b.children)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((a.children[i], b.children[j]))
-    return out
+        yield a, b
+        if a.children and b.children:
+            todo.extend(zip(a.children, b.children, strict=True) if a.digest == b.digest else match_children(a.children, b.children))
 
 
-def induce(trees: list[Node]) -> list[set[int]]:
-    """For each tree of one host, the ids of its text blocks that belong to the host's template.
+def copies(texts: list[list[str]]) -> list[int]:
+    """For each page a number that copies share: pages of equal texts, or of which one shares over half of its characters with the other.
 
-    Copies of one article count as one page, else a much copied text would look like a template: pages that share over
-    half of their characters form a group, and a slot's text must recur over groups.
+    Texts that half of the pages have are left out of account, lest a template make copies of all pages.
     """
-    leaves = [_leaves(t, []) for t in trees]
-    texts = [{x.text for x in ls} for ls in leaves]
-    of_text: dict[str, list[int]] = defaultdict(list)  # text: the groups' first pages that have it
-    group, first = [], []
-    for i, ts in enumerate(texts):
+    n, sets = len(texts), [set(x) for x in texts]
+    pages = Counter(t for ts in sets for t in ts)
+    of_text: dict[str, list[int]] = defaultdict(list)
+    equal: dict[tuple, int] = {}
+    group: list[int] = []
+    for ts, whole in zip(sets, texts, strict=True):
+        if (same := equal.get(tuple(whole))) is not None:
+            group.append(same)
+            continue
         shared: dict[int, int] = defaultdict(int)
+        mine = 0
         for t in ts:
-            for g in of_text.get(t, ()):
-                shared[g] += len(t)
-        mine = sum(map(len, ts))
+            if 2 * pages[t] < n or n < CONSTANT_PAGES:
+                mine += len(t)
+                for g in of_text[t]:
+                    shared[g] += len(t)
         g = max(shared, key=lambda k: (shared[k], -k), default=-1)
-        if g >= 0 and shared[g] * 2 > mine:
-            group.append(g)
-            continue
-        group.append(len(first))
-        first.append(i)
-        for t in ts:
-            of_text[t].append(len(first) - 1)
-    need = max(CONSTANT_PAGES, CONSTANT_SHARE * len(first))
+        if g < 0 or shared[g] * 2 <= mine:
+            g = len(equal)
+            for t in ts:
+                of_text[t].append(g)
+        equal[tuple(whole)] = g
+        group.append(g)
+    return group
+
+
+def induce(trees: list[Node]) -> list[set[int]]:
+    """For each tree of one host, the ids of the nodes that fill constant slots: the host's template."""
+    texts = [_digested(t) for t in trees]
+    group = copies(texts)
+    first = list({g: i for i, g in reversed(list(enumerate(group)))}.values())
     constant: list[set[int]] = [set() for _ in trees]
+    need = max(CONSTANT_PAGES, PRESENT * len(first))
     if len(first) < CONSTANT_PAGES:
         return constant
-    by_size = sorted(first, key=lambda i: (len(leaves[i]), i))
+    by_size = sorted(first, key=lambda i: (len(texts[i]), i))
     middle = len(by_size) // 2
     for r in by_size[max(0, middle - REFERENCES // 2) :][:REFERENCES]:
-        slots: dict[int, set[int]] = defaultdict(set)
-        pairs: list[list[tuple[Node, Node]]] = []
+        slots: dict[int, dict[int, int]] = defaultdict(dict)  # of each slot, the digest with which each group fills it
+        fillings: dict[int, list[tuple[int, Node]]] = defaultdict(list)
         for i, t in enumerate(trees):
-            # Only equal texts make a node constant; without one, there is nothing to find by aligning.
-            if i == r or texts[i].isdisjoint(texts[r]):
-                pairs.append([])
-                continue
-            score: dict = {}
-            match(t, trees[r], score)
-            pairs.append(aligned(t, trees[r], score) if score else [])
-            for _, y in pairs[-1]:
-                slots[id(y)].add(group[i])
-        fixed = {k for k, groups in slots.items() if len(groups | {group[r]}) >= need}
-        for i, found in enumerate(pairs):
-            constant[i] |= {id(x) for x, y in found if id(y) in fixed}
-        constant[r] |= fixed
+            for x, y in aligned(t, trees[r]):
+                slots[id(y)].setdefault(group[i], x.digest)
+                fillings[id(y)].append((i, x))
+        for slot, of_group in slots.items():
+            if len(of_group) >= need and sum(c for c in Counter(of_group.values()).values() if c > 1) >= RECURS * len(of_group):
+                for i, x in fillings[slot]:
+                    constant[i].add(id(x))
+    for t, fixed in zip(trees, constant, strict=True):
+        fixed.discard(id(t))
     return constant
 
 
-def extract(pages: list[str | None]) -> list[list[str]]:
-    """The blocks of main text of each of these pages, which are of one host."""
-    trees = [_body(parse(x)) or Node("body") for x in pages]
-    constant = induce(trees) if len(trees) >= CONSTANT_PAGES else [set()] * len(trees)
+def extract(pages: list[str | None], lists: bool = True, induction: bool = True) -> list[tuple[list[str], int]]:
+    """(blocks of main text, number of text blocks that induction found to be template) of each of these pages, which are of one host.
+
+    lists: leave out what tags, roles and classes mark, and take the element that the page marks as its main region.
+    """
+    trees = [parse(x) for x in pages]
+    constant = induce(trees) if induction and len(trees) >= CONSTANT_PAGES else [set()] * len(trees)
     out = []
     for tree, fixed in zip(trees, constant, strict=True):
-        blocks, marked = _region(tree)
-        kept = [x.text for x in blocks if id(x) not in fixed and (marked or not (x.tag in ("li", "td", "dd") and x.link_chars * 5 >= 4 * len(x.text)))]
-        out.append(kept)
+        left = _kept(tree, fixed, lists)
+        template = len(_kept(tree, set(), False)) - len(_kept(tree, fixed, False)) if fixed else 0
+        blocks, marked = _region(left) if lists else ([x for x, _, _ in left], True)
+        out.append(([x.text for x in blocks if marked or not (x.tag in ("li", "td", "dd") and x.link_chars * 5 >= 4 * len(x.text))], template))
     return out
 
 
@@ -333,7 +377,7 @@ def host_of(url) -> "F.Column":
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", busy_share: float = 1e-4) -> DataFrame:
-    """Rows (id, url, text, blocks array, n_chars), one for each row of pages, with the page's main text.
+    """Rows (id, url, text, blocks array, n_chars, n_template), one for each row of pages, with the page's main text; n_template counts the text blocks that induction took for template.
 
     text joins the blocks with a blank line; each block is trimmed and has single spaces. A page with null or empty html, or
     without any text, has text '' and no blocks. Null urls form one host. Repeated rows and ids are kept as they are; pages with the
@@ -355,14 +399,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     kind = dict(pages.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        key, held, chars = None, [], 0
 
         def done(n: int) -> pd.DataFrame:
+            nonlocal chars
             pages = held[:n]
             del held[:n]
-            blocks = extract([x[2] for x in pages])
+            chars = sum(len(x[2] or "") for x in held)
+            found = extract([x[2] for x in pages])
+            blocks = [x for x, _ in found]
             texts = ["\n\n".join(x) for x in blocks]
-            return pd.DataFrame({id_col: pd.Series([x[0] for x in pages], dtype=object), url_col: [x[1] for x in pages], "text": texts, "blocks": blocks, "n_chars": [len(x) for x in texts]})
+            return pd.DataFrame({id_col: pd.Series([x[0] for x in pages], dtype=object), url_col: [x[1] for x in pages], "text": texts, "blocks": blocks, "n_chars": [len(x) for x in texts], "n_template": [n for _, n in found]})
 
         def rest() -> Iterator[pd.DataFrame]:
             # A short remainder would have too few pages to induce from, so what is left over one block is halved.
@@ -378,10 +425,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                     out.extend(rest())
                 elif len(held) >= 2 * BLOCK:
                     out.append(done(BLOCK))
+                elif chars >= BLOCK_CHARS:
+                    out.append(done(len(held)))
                 key = row[:2]
                 held.append([None if x is None or x != x else x for x in row[2:]])
+                chars += len(held[-1][2] or "")
             if out:
                 yield pd.concat(out, ignore_index=True)
         yield from rest()
 
-    return dealt.repartition(n, "_host", "_salt").sortWithinPartitions("_host", "_salt", "_order", "_id", "_html").mapInPandas(run, f"`{id_col}` {kind[id_col]}, `{url_col}` string, text string, blocks array<string>, n_chars long")
+    return dealt.repartition(n, "_host", "_salt").sortWithinPartitions("_host", "_salt", "_order", "_id", "_html").mapInPandas(run, f"`{id_col}` {kind[id_col]}, `{url_col}` string, text string, blocks array<string>, n_chars long, n_template long")

@@ -5,10 +5,12 @@ import html as html_lib
 import json
 import math
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -48,25 +50,57 @@ def test_query_equals_sql(spark, name):
     same(spark, SF, queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_html(spark):
-    pages = _texts(spark, "pages", "html", "page_id")
+def _article(page):
+    body = re.sub(r"<[a-z/][^>]*$", "", re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1])
+    blocks = (" ".join(html_lib.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", body))
+    return "\n\n".join(x for x in blocks if x)
+
 
-    def article(page):
-        body = re.sub(r"<[a-z/][^>]*$", "", re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1])
-        blocks = (" ".join(html_lib.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", body))
-        return "\n\n".join(x for x in blocks if x)
+def _blocks(pages, **options):
+    return [x for x, _ in html_extraction.extract(pages, **options)]
 
+
+def test_html(spark):
+    pages = _texts(spark, "pages", "html", "page_id")
     for r in queries.op1_html_extraction(spark, SF).collect():
-        assert r["text"] == article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+        assert r["text"] == _article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
     shell = "<body><div>Site name</div><div class=x><p>{}</p><p>Follow our letters every week</p><ul><li>one &lt; two</ul></div><div class='cookie-notice'>ok</div><div id=comments>me</div><form>f</form></body>"
-    found = html_extraction.extract([shell.format(f"Body number {k} " + f"w{k}" * 40) for k in range(9)])
+    found = _blocks([shell.format(f"Body number {k} " + f"w{k}" * 40) for k in range(9)])
     assert found[3] == ["Body number 3 " + "w3" * 40]  # what all pages have is template
-    copies = html_extraction.extract([shell.format("The same body of a copied page, long enough to be most of the page's own text, and longer still")] * 9)
+    copies = _blocks([shell.format("The same body of a copied page, long enough to be most of the page's own text, and longer still")] * 9)
     assert "The same body" in " ".join(copies[0])
-    empty = html_extraction.extract_main_text(spark.createDataFrame([(1, None, None, "x"), (None, "http://a/b", "", "x"), (1, None, "<p>a<p>b", "x"), (2, "q", "<" * 50, "x")], "page_id long, url string, html string, _host string"))
-    assert sorted(r["text"] for r in empty.collect()) == ["", "", "<" * 50, "a\n\nb"] or empty.count() == 4
-    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
-    assert html_extraction.extract([deep]) == [["deep"]]
+    rows = [(1, None, None, "x"), (None, "http://a/b", "", "x"), (1, None, "<p>a<p>b", "x"), (2, "q", "<" * 50, "x"), (2, "q", "<" * 50, "x")]
+    empty = spark.createDataFrame(rows, "page_id long, url string, html string, _host string").withColumn("text", F.lit("z"))
+    assert sorted(r["text"] for r in html_extraction.extract_main_text(empty).collect()) == ["", "", "<" * 50, "<" * 50, "a\n\nb"]
+    assert html_extraction.extract_main_text(empty.limit(0)).count() == 0
+    deep = "<div>" * 5000 + "deep<nav>menu</nav>" + "</div>" * 5000 + "</p></li>" * 5000
+    assert _blocks([deep]) == [["deep"]]
+
+
+def test_html_induction_decides():
+    pages = pd.read_parquet("/root/testdata/sf0.1/pages.parquet")
+    by_host = pages.groupby(pages["url"].str.extract(r"://([^/?#]*)")[0].str.lower())["html"]
+    large = [list(x)[: html_extraction.BLOCK] for _, x in by_host if len(x) >= 90]
+    assert sum(map(len, large)) > 400
+    for block in large:
+        # Without tags, classes and marked regions, the pages' own menus, adverts and footers go by alignment alone, and all of the article stays.
+        assert ["\n\n".join(x) for x in _blocks(block, lists=False)] == list(map(_article, block))
+        assert all(len(x) > len(y) for x, y in zip(_blocks(block, lists=False, induction=False), _blocks(block, lists=False), strict=True))
+    menus, notes = [f"Menu of kind {k}" for k in range(5)], [f"Please note number {k} of our house rules" for k in range(3)]
+    made = [f"<div><div>{menus[k % 5]}</div><div><p>{'own ' * 5}{k} {f'word{k} ' * 9}</p>{'<p>A passage that a third of the pages quote</p>' * (k % 3 == 0)}<p>{f'more{k} ' * 9}</p></div><div>{notes[k % 3]}</div></div>" for k in range(60)]
+    assert [len(x) for x in _blocks(made)] == [2 + (k % 3 == 0) for k in range(60)]  # the quoted passage is no template
+    assert [len(x) for x in _blocks(made, induction=False)] == [4 + (k % 3 == 0) for k in range(60)]
+    copied = [x.replace("word1 ", "other ") if k % 2 else x for k, x in enumerate([*made[:20], *([made[1]] * 40)])]
+    assert len(_blocks(copied)[30]) == 2  # copies, more than half of the block, are no template either
+
+
+def test_html_long_pages():
+    pages = ["<body><nav>Menu</nav>" + "".join(f"<p>text {k if i % 3 else ''} {i}</p>" for i in range(20_000)) + "<p>Same end</p></body>" for k in range(8)]
+    start = time.time()
+    found = _blocks(pages)
+    assert time.time() - start < 60 and all(len(x) >= 13_333 and "Same end" not in x for x in found)
+    bodies = _blocks(["<body>" + "".join(f"<p>{i} of {k}</p><h2>{k}-{i}</h2>" for i in range(10_000)) + "</body>" for k in range(5)])
+    assert all(len(x) == 20_000 for x in bodies)
 
 
 def test_token_counts(spark, odd):
