@@ -23,20 +23,22 @@ from pyspark.sql import functions as F
 #: The pre-token pattern of byte-level BPE vocabularies of this kind. A fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 256
-#: Entries that a worker's cache holds before it starts anew.
-CACHE = 600_000
+#: Entries that a worker's cache holds before it starts anew, and characters of the longest key that it keeps, so that its bytes are bounded too.
+CACHE, LONGEST_KEY = 600_000, 100
 NEVER = 1 << 60
 #: A space next to other white space, where a text can't be taken apart at its spaces.
 _ODD = re.compile(r" \s|[^\S ] ")
 
 
 class Cache(dict):
-    """Memo of a function of one string, emptied when it holds `limit` entries."""
+    """Memo of a function of one string, emptied when it holds `limit` entries; strings of over LONGEST_KEY characters are not kept."""
 
     def __init__(self, fn: Callable[[str], object], limit: int = CACHE):
         self.fn, self.limit = fn, limit
 
     def __missing__(self, key: str):
+        if len(key) > LONGEST_KEY:
+            return self.fn(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.fn(key)

@@ -3,6 +3,7 @@ back to progressively shorter character n-grams."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,14 +15,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import bound_batches, cut
+from chatlake.llm.common import bound_batches
 
 UNKNOWN = "und"
-#: Bounds of a model, and of the labelled rows that it is fitted on.
-MAX_WORDS, MAX_GRAMS, MAX_ROWS = 120_000, 120_000, 20_000
+#: Labelled rows that a model is fitted on, of all languages together.
+MAX_ROWS = 20_000
 LONGEST = 4
-#: Rows of word scores that a worker keeps beyond the model's own.
-CACHE = 400_000
+#: Bytes of scores of unseen words that a worker keeps.
+CACHE_BYTES = 32 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,35 +40,43 @@ def grams(word: str) -> Iterator[tuple[int, int, str]]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies by language: of words, and of n-grams. `languages` are the labels learned, sorted."""
+    """Log frequencies by language: the rows of words and of n-grams in their tables. `languages` are the labels learned, sorted."""
 
     languages: list[str]
-    words: dict[str, list[float]]
-    grams: dict[str, list[float]]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
 
     def unseen(self, word: str) -> np.ndarray:
         """Scores of a word that is not known: at each position the longest known n-gram that starts there."""
-        marked, total, known = f"^{word}$", np.zeros(len(self.languages)), self.grams
+        marked, known, found = f"^{word}$", self.grams, []
         for at in range(len(marked)):
-            for n in range(LONGEST, 0, -1):
-                found = known.get(marked[at : at + n]) if at + n <= len(marked) else None
-                if found is not None:
-                    total += found
+            for n in range(min(LONGEST, len(marked) - at), 0, -1):
+                row = known.get(marked[at : at + n])
+                if row is not None:
+                    found.append(row)
                     break
-        return total / 3
+        return self.gram_rows[found].sum(0, dtype=np.float64) / 3
 
 
-def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Learn from rows with text and a label: all of them, or about max_rows of them chosen by a hash of order_col.
+def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", max_rows: int = MAX_ROWS) -> LanguageModel:
+    """Learn from rows with text and a label: all of them, or about max_rows of them chosen by a hash of order_col, an equal number of each language
+    as far as it has them, so that no language crowds out another.
 
-    The words and n-grams kept are the most frequent, max_words and max_grams of (language, string) in all, so what reaches
-    the driver is bounded. No usable rows give a model without languages, which calls everything unknown.
+    A word is known if it occurs twice or more in a language's rows; all n-grams are. Nothing else is left out, so the bound on rows is
+    what bounds the model on the driver. No usable rows give a model without languages, which calls everything unknown.
     """
     bound_batches(documents.sparkSession)
     usable = documents.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("_o")).where("text is not null and lang is not null")
-    total = usable.count()
-    if total > max_rows:
-        usable = usable.where(F.pmod(F.xxhash64("_o", F.lit(5)), F.lit(1 << 24)) < int(max_rows / total * (1 << 24)))
+    rows_of = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row for each label
+    if sum(rows_of.values()) > max_rows:
+        left, shares = max_rows, {}
+        for k, (lang, n) in enumerate(sorted(rows_of.items(), key=lambda x: (x[1], x[0]))):
+            shares[lang] = min(n, left // (len(rows_of) - k))
+            left -= shares[lang]
+        bound = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, math.ceil(shares[lang] / n * (1 << 24)))])
+        usable = usable.where(F.pmod(F.xxhash64("_o", F.lit(5)), F.lit(1 << 24)) < bound[F.col("lang")])
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, Counter] = {}
@@ -85,55 +94,53 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", or
                     yield pd.DataFrame({"lang": lang, "kind": kind, "key": keys, "n": [counts[k] for k in keys]})
 
     counts = usable.select("lang", "text").mapInPandas(tally, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where("n > 1 or kind = 'g'")
-    counts = cut(counts)  # two tables are taken of them
-    kept: dict[str, dict[str, Counter]] = {}
-    for kind, most in (("w", max_words), ("g", max_grams)):
-        kept[kind] = {}
-        for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "lang", "key").limit(most).collect():
-            kept[kind].setdefault(r["lang"], Counter())[r["key"]] = r["n"]
+    kept: dict[str, dict[str, dict[str, int]]] = {"w": {}, "g": {}}
+    for lang, kind, key, n in counts.toLocalIterator():
+        kept[kind].setdefault(lang, {})[key] = n
     languages = sorted(set(kept["w"]) | set(kept["g"]))
 
-    def table(by_lang: dict[str, Counter]) -> dict[str, list[float]]:
-        keys = sorted({k for c in by_lang.values() for k in c})
-        lots = np.array([[by_lang.get(x, {}).get(k, 0) for x in languages] for k in keys], float).reshape(len(keys), len(languages))
-        logs = np.log((lots + 0.5) / (lots.sum(0) + 0.5 * max(len(keys), 1)))
-        return dict(zip(keys, (logs - logs.mean(1, keepdims=True)).tolist(), strict=True))
+    def table(by_lang: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        keys = {k: i for i, k in enumerate(sorted({k for c in by_lang.values() for k in c}))}
+        lots = np.full((len(keys), len(languages)), 0.5)
+        for at, lang in enumerate(languages):
+            mine = by_lang.get(lang, {})
+            lots[[keys[k] for k in mine], at] += list(mine.values())
+        logs = np.log(lots / np.maximum(lots.sum(0), 1e-9))
+        return keys, (logs - logs.mean(1, keepdims=True) if len(languages) else logs).astype(np.float32)
 
-    return LanguageModel(languages, table(kept["w"]), table(kept["g"]))
+    return LanguageModel(languages, *table(kept["w"]), *table(kept["g"]))
 
 
 class Scorer:
-    """Scores of texts by a model; a word's row is worked out once and kept up to a bound."""
+    """Scores of texts by a model; the row of an unseen word is worked out once and kept, up to CACHE_BYTES in all."""
 
-    def __init__(self, model: LanguageModel, limit: int = CACHE):
-        self.model, self.known, n = model, len(model.words), len(model.languages)
-        self.rows = np.zeros((self.known + limit, n))
-        self.rows[: self.known] = np.array(list(model.words.values())).reshape(self.known, n)
-        self.index = self._fresh()
-
-    def _fresh(self) -> _Index:
-        return _Index({w: i for i, w in enumerate(self.model.words)}, self)
+    def __init__(self, model: LanguageModel, limit: int = CACHE_BYTES):
+        self.model, self.known, n = model, len(model.words), max(1, len(model.languages))
+        self.most = max(1000, limit // (4 * n + 100))
+        self.rows = np.zeros((self.most, len(model.languages)), np.float32)
+        self.index = _Index(self)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the posterior; (UNKNOWN, 0) for null, a text without letters, or a model without languages."""
+        """The language and its share of the posterior, of equal ones the first by name; (UNKNOWN, 0) for null, a text without letters, or a model without languages."""
         found = _words(text) if text else []
         if not found or not self.model.languages or not any(x.isalpha() for x in found):
             return UNKNOWN, 0.0
-        if len(self.index) + len(found) > len(self.rows):
-            self.index = self._fresh()
-        total = np.zeros(len(self.model.languages))
-        for at in range(0, len(found), 100_000):  # so long a text can't outgrow the rows
-            some = found[at : at + 100_000]
-            if len(self.index) + len(some) > len(self.rows):
-                self.index = self._fresh()
-            total += self.rows[np.fromiter(map(self.index.__getitem__, some), np.int64, len(some))].sum(0)
+        total, known, step = np.zeros(len(self.model.languages)), self.model.words, min(self.most, 100_000)
+        for at in range(0, len(found), step):  # so long a text can't outgrow the rows
+            some = found[at : at + step]
+            seen = [k for w in some if (k := known.get(w)) is not None]
+            total += self.model.word_rows[seen].sum(0, dtype=np.float64)
+            if len(seen) < len(some):
+                others = [w for w in some if w not in known]
+                if len(self.index) + len(others) > self.most:
+                    self.index = _Index(self)
+                total += self.rows[[self.index[w] for w in others]].sum(0, dtype=np.float64)
         best = int(total.argmax())
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
 class _Index(dict):
-    def __init__(self, known: dict[str, int], scorer: Scorer):
-        super().__init__(known)
+    def __init__(self, scorer: Scorer):
         self.scorer = scorer
 
     def __missing__(self, word: str) -> int:

@@ -27,6 +27,10 @@ SYMBOL_RATE, SEPARATOR_RATE, CAPITAL_SHARE, CAPITAL_LETTERS = 0.5, 0.3, 0.6, 8
 STUTTER_SHARE, STUTTER_WORDS = 0.5, 8
 #: Phrases count in lines of fewer words than this.
 SHORT_LINE = 25
+#: Navigation by shape: a run of at least MENU_LINES lines with words, each of at most MENU_WORDS of them and without punctuation at its end.
+MENU_LINES, MENU_WORDS = 4, 4
+#: What a sentence, a heading with a colon, or a quotation ends with.
+ENDS = ".!?:;,…。！？\"'”’»)]"
 #: A document is rejected if less than this share of its words is left.
 KEPT_SHARE = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -57,7 +61,7 @@ def repeat_words(found: list[str], window: int = WINDOW) -> int:
 
 
 def line_fails(line: str, mine: list[str]) -> bool:
-    """Whether a line of these words breaks a rule: symbols for punctuation, shouting, stock phrases, stuttering, or a menu's separators."""
+    """Whether a line of these words breaks a rule: symbols for punctuation, shouting, stock phrases, stuttering, or a menu's separators; what a single line can't show is left to judge()."""
     n_words = len(mine)
     if sum(map(line.count, SYMBOLS)) >= SYMBOL_RATE * n_words:
         return True
@@ -73,10 +77,22 @@ def line_fails(line: str, mine: list[str]) -> bool:
     return not SEPARATORS.isdisjoint(mine) and sum(w in SEPARATORS for w in mine) >= SEPARATOR_RATE * n_words
 
 
+def menu_lines(shapes: list[tuple[int, bool]]) -> list[bool]:
+    """For each line with words, given as (words, whether it ends with punctuation), whether it lies in a run that has the shape of a menu."""
+    out, start = [False] * len(shapes), 0
+    for k in range(len(shapes) + 1):
+        if k < len(shapes) and shapes[k][0] <= MENU_WORDS and not shapes[k][1]:
+            continue
+        if k - start >= MENU_LINES:
+            out[start:k] = [True] * (k - start)
+        start = k + 1
+    return out
+
+
 def judge(text: str | None) -> tuple[int, int, int, int, int, bool, bool, int, str]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_words, cleaned text) of a text.
 
-    Lines end at \\n. A line equal to an earlier one fails as well; lines without a word have no say and stay.
+    Lines end at \\n. A line equal to an earlier one fails as well, and so do the lines of a menu; lines without a word have no say and stay.
     """
     text = text or ""
     found = words(text)
@@ -84,15 +100,16 @@ def judge(text: str | None) -> tuple[int, int, int, int, int, bool, bool, int, s
     seen: set[str] = set()
     dup = left = 0
     lines = []
-    for line in text.split("\n"):
-        mine = words(line)
+    split = [(line, words(line)) for line in text.split("\n")]
+    menu = iter(menu_lines([(len(mine), mine[-1][-1] in ENDS) for _, mine in split if mine]))
+    for line, mine in split:
         if not mine:
             lines.append(line)
             continue
         repeated = line in seen
         dup += repeated
         seen.add(line)
-        if not repeated and not line_fails(line, mine):
+        if not next(menu) and not repeated and not line_fails(line, mine):
             left += len(mine)
             lines.append(line)
     repeats = repeat_words(found)

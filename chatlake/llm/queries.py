@@ -35,6 +35,14 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_filters_with_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 where each page redirects to the one of the same seven with the least id, as the pages themselves hold no links."""
+    pages = _table(spark, sf_dir, "pages")
+    to = pages.select((F.col("page_id")).alias("_first"), F.col("url").alias("to_url"))
+    redirects = pages.select(F.col("url").alias("from_url"), (F.col("page_id") - F.col("page_id") % 7).alias("_first")).join(to.hint("merge"), "_first")
+    return url_filters.filter_urls(pages, URL_RULES, redirects=redirects)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -70,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_extraction, op2_token_counts, op3_packing, op4_url_filters, op5_language_id, op6_quality_rules, op7_jaccard_join, op8_bpe, op9_embedding_dedup, op10_warc, pipeline)
+    own = (op1_html_extraction, op2_token_counts, op3_packing, op4_url_filters, op5_language_id, op6_quality_rules, op7_jaccard_join, op8_bpe, op9_embedding_dedup, op10_warc, url_filters_with_redirects, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -78,7 +86,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _url_sql() -> str:
+def _url_sql(more: str = "") -> str:
     ordered = sorted(URL_RULES, key=lambda r: -len(r[0]))
 
     def rule(host: str, path: str) -> str:
@@ -101,7 +109,7 @@ def _url_sql() -> str:
       SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t WHEN starts_with(t, '/') THEN 'x://' || host || t
         ELSE 'x://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t END AS u FROM named WHERE t <> ''
     ), edges AS (
-      SELECT a, {host.format('u')} || {node.format('u')} AS b FROM urls WHERE {host.format('u')} <> ''
+      SELECT a, {host.format('u')} || {node.format('u')} AS b FROM urls WHERE {host.format('u')} <> '' {more}
     ), sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
     reach(a, b) AS (SELECT a, a FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
     acts AS (
@@ -129,14 +137,17 @@ def _quality_sql() -> str:
     ), repeats AS (SELECT doc_id, count(*) FILTER (hit) AS n_repeat_words FROM marks GROUP BY doc_id),
     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
     worded AS (SELECT doc_id, line, k, regexp_extract_all(line, {word}) AS w, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS dup FROM lines WHERE regexp_matches(line, {word})),
+    shaped AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos, len(w) <= {q.MENU_WORDS} AND NOT contains({_quoted(q.ENDS)}, right(w[-1], 1)) AS short FROM worded),
+    islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, short ORDER BY k) AS island FROM shaped),
+    menus AS (SELECT *, short AND count(*) OVER (PARTITION BY doc_id, short, island) >= {q.MENU_LINES} AS menu FROM islands),
     judged AS (
-      SELECT doc_id, len(w) AS n, dup, dup
+      SELECT doc_id, len(w) AS n, dup, dup OR menu
         OR len(regexp_extract_all(line, {symbol})) >= {q.SYMBOL_RATE} * len(w)
         OR (len(regexp_extract_all(line, '[A-ZÀ-ÖØ-Þ]')) >= {q.CAPITAL_LETTERS} AND len(regexp_extract_all(line, '[A-ZÀ-ÖØ-Þ]')) >= {q.CAPITAL_SHARE} * len(regexp_extract_all(line, '[A-ZÀ-ÖØ-Þa-zß-öø-ÿ]')))
         OR (len(w) < {q.SHORT_LINE} AND ({phrases}))
         OR (len(w) >= {q.STUTTER_WORDS} AND len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) >= {q.STUTTER_SHARE} * len(w))
         OR (len(list_filter(w, lambda x: list_contains([{separators}], x))) > 0 AND len(list_filter(w, lambda x: list_contains([{separators}], x))) >= {q.SEPARATOR_RATE} * len(w)) AS fails
-      FROM worded
+      FROM menus
     ), by_doc AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(n) FILTER (NOT fails), 0) AS kept_words FROM judged GROUP BY doc_id),
     base AS (
       SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, {symbol})) AS BIGINT) AS n_symbols,
@@ -174,4 +185,5 @@ EMBEDDING_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _url_sql(), "op6_quality_rules": _quality_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
+    redirects = "UNION SELECT x.host || x.rest, y.host || y.rest FROM p x JOIN p y ON y.page_id = x.page_id - x.page_id % 7 WHERE x.host <> '' AND y.host <> ''"
+    return {"op4_url_filters": _url_sql(), "url_filters_with_redirects": _url_sql(redirects), "op6_quality_rules": _quality_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}

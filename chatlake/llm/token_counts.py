@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Bounds of tier one and of the sample that fills it, and entries of a worker's cache before it starts anew.
-TABLE_ROWS, SAMPLE_ROWS, SAMPLE_CHARS, CACHE = 65_536, 2_000, 20_000, 600_000
+#: Bounds of tier one and of the sample that fills it, entries of a worker's cache before it starts anew, and characters of the longest key that it keeps.
+TABLE_ROWS, SAMPLE_ROWS, SAMPLE_CHARS, CACHE, LONGEST_KEY = 65_536, 2_000, 20_000, 600_000, 100
 #: A pre-token without the space before it: what follows a single space, or the further spaces and what follows them.
 _PRETOKEN = re.compile(r"(?:^| )( *[^ ]+)")
 
@@ -46,6 +46,8 @@ class Counts(dict):
         self.whole = not splits_at_spaces(path)
 
     def __missing__(self, key: str) -> int:
+        if len(key) > LONGEST_KEY:
+            return len(self.encode(key))
         if len(self) >= self.limit:
             self.clear()
             self.update(self.table)

@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import cut, join_hot
+from chatlake.llm.common import LARGE, cut, join_hot
 from chatlake.llm.components import connected_components
 
-#: Rules that the expression form takes at most; it tries each of them on each url.
-MAX_RULES = 1000
+#: Rules that are tried one by one on each url; a longer list, or a table of rules, is joined.
+MAX_RULES = 100
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,8 +36,6 @@ def node_of(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest rule 'host/path' that fits, null if none: its host or a subdomain, and a path that begins with its path."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     found = F.lit(None).cast("string")
     for rule, _ in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         top, _, rest = rule.partition("/")
@@ -46,6 +44,30 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return found
 
 
+def ruled(urls: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """urls, which have host and path, with rule and action of the longest rule that fits, null if none does. rules are pairs, or a table (rule, action) of any length.
+
+    The join form takes the distinct (host, path): each host gives itself and the domains above it, each of those the lengths that
+    its rules' paths have, and (domain, beginning of the path) meets its rule by equality, however many rules there are.
+    """
+    if not isinstance(rules, DataFrame) and len(rules) <= MAX_RULES:
+        found = urls.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+        return found.withColumn("action", action_of(F.col("rule"), rules))
+    table = rules if isinstance(rules, DataFrame) else urls.sparkSession.createDataFrame(list(rules), "rule string, action string")
+    named = cut(table.where("rule is not null").groupBy("rule").agg(F.min("action").alias("action")).select(
+        "rule", "action", F.substring_index("rule", "/", 1).alias("_top"), F.concat(F.lit("/"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 2)")).alias("_start")
+    ))
+    few = named.count() <= LARGE
+    lengths = named.groupBy("_top").agg(F.collect_set(F.length("_start")).alias("_lengths"))
+    parts, whole = F.split("host", r"\."), urls.select("host", "path").where("host <> ''").distinct()
+    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    tops = whole.select("host", "path", F.explode(domains).alias("_top")).join(F.broadcast(lengths) if few else lengths.hint("merge"), "_top")
+    starts = tops.select("host", "path", "_top", F.explode("_lengths").alias("_l")).where(F.col("_l") <= F.length("path")).withColumn("_start", F.expr("substring(path, 1, _l)"))
+    met = starts.join(F.broadcast(named) if few else named.hint("merge"), ["_top", "_start"])
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    return urls.join(cut(best.select("host", "path", "_r.rule", "_r.action")).hint("merge"), ["host", "path"], "left")
+
+
 def action_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """allow or block of a rule's name; null for null."""
     out = F.lit(None).cast("string")
@@ -76,30 +98,29 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def filter_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None
+    pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None
 ) -> DataFrame:
     """Rows (id, host, path, rule, verdict), one for each row of pages.
 
-    rules are pairs of 'host/path' and allow or block. Where a rule fits, the longest decides. Other urls take their aliases'
-    decision and are allowed by default; an explicit allow of an alias outweighs any block. Aliases come from html_col, unless
+    rules are pairs of 'host/path' and allow or block, or a table (rule, action). Where a rule fits, the longest decides. Other urls take
+    their aliases' decision and are allowed by default; an explicit allow of an alias outweighs any block. Aliases come from html_col, unless
     that is None, and from redirects, rows (from_url, to_url). Null urls, and urls without ://, have empty host and path, fit no rule and
     have no aliases, so they are allowed. Repeated rows stay; other columns are not read; an empty table gives no rows.
     """
     url = F.col(url_col)
-    judged = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("_node")).withColumn(
-        "rule", rule_for(F.col("host"), F.col("path"), rules)
-    )
+    judged = ruled(pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("_node")), rules)
     edges = alias_edges(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         given = redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).where("a is not null and b is not null")
         edges = given if edges is None else edges.unionByName(given)
-    verdict = F.coalesce(action_of(F.col("rule"), rules), F.lit("allow"))
-    if edges is not None:
-        members = connected_components(edges)
-        as_url = F.concat(F.lit("x://"), F.col("node"))
-        ruled = members.select("component", host_of(as_url).alias("_h"), path_of(as_url).alias("_p")).withColumn("_rule", rule_for(F.col("_h"), F.col("_p"), rules))
-        groups = ruled.withColumn("_action", action_of(F.col("_rule"), rules)).groupBy("component").agg(F.max(F.col("_action") == "block").alias("_block"), F.max(F.col("_action") == "allow").alias("_allow"), F.count(F.lit(1)).alias("_n"))
-        blocked = join_hot(members, groups.where("_block and not coalesce(_allow, false)"), "component").select(F.col("node").alias("_node"), F.lit("block").alias("_alias"))
-        judged = judged.join(blocked.hint("merge"), "_node", "left")
-        verdict = F.coalesce(action_of(F.col("rule"), rules), F.col("_alias"), F.lit("allow"))
-    return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
+    if edges is None:
+        return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))
+    members = connected_components(edges)
+    as_url = F.concat(F.lit("x://"), F.col("node"))
+    acts = ruled(members.select("component", host_of(as_url).alias("host"), path_of(as_url).alias("path")), rules)
+    groups = acts.groupBy("component").agg(F.max(F.col("action") == "block").alias("_block"), F.max(F.col("action") == "allow").alias("_allow"), F.count(F.lit(1)).alias("_n"))
+    blocked = join_hot(members, groups.where("_block and not coalesce(_allow, false)"), "component").select(F.col("node").alias("_node"), F.lit("block").alias("_alias"))
+    # Rows without a host would meet in one task.
+    named = judged.where("_node is not null").join(blocked.hint("merge"), "_node", "left")
+    out = named.unionByName(judged.where("_node is null").withColumn("_alias", F.lit(None).cast("string")))
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("action", "_alias", F.lit("allow")).alias("verdict"))

@@ -121,7 +121,8 @@ def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
 
     responses has source_id, target_uri, date, body (binary) and http_fields (array of name and value), or in their place payload (text) and
     http_headers (map). Where it has them, record_id, payload_digest and warc_fields are the source's own and are kept; a missing digest is
-    worked out from the body's bytes. The source's WARC headers go into the metadata record as lines of the field sourceHeader.
+    worked out from the body's bytes. The source's WARC headers go into the metadata record as lines of the field sourceHeader, its HTTP status line
+(http_status) as sourceStatus.
 
     Columns: source_id, record_type, record_id, refers_to, target_uri, date, content_type, payload_digest (of the source), block_digest, content_length,
     text (of a conversion), and record, the bytes of the WARC record, if with_record. record_id of the source, if responses has no such column, is
@@ -134,7 +135,7 @@ def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
     entries = F.col("http_fields") if "http_fields" in given else F.transform(F.map_entries("http_headers"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
     rows = responses.select(
         "source_id", *[(F.col(c) if c in given else none).alias(f"_{c}") for c in ("record_id", "payload_digest")], "target_uri", "date", _lines(entries).alias("_http"),
-        (_lines(F.col("warc_fields"), "sourceHeader: ") if "warc_fields" in given else none).alias("_warc"), F.col("body" if "body" in given else "payload").cast("binary").alias("_body"),
+        F.concat_ws("\r\n", _lines(F.col("warc_fields"), "sourceHeader: ") if "warc_fields" in given else none, F.concat(F.lit("sourceStatus: "), F.col("http_status")) if "http_status" in given else none).alias("_warc"), F.col("body" if "body" in given else "payload").cast("binary").alias("_body"),
     )
     schema = (
         f"source_id {kind}, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string,"
@@ -168,15 +169,25 @@ def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """The contents of a file that is plain, or a chain of gzip members."""
+def _members(data: bytes) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, content) of a file that is plain, or a chain of gzip members; None for a member that can't be read, after which the next one's mark is looked for."""
     if data[:2] != b"\x1f\x8b":
-        yield data
+        yield 0, data
         return
-    while data[:2] == b"\x1f\x8b":
+    at = 0
+    while data[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+        try:
+            content = z.decompress(data[at:]) + z.flush()
+            if not z.eof:
+                raise zlib.error("cut off")
+            yield at, content
+            at = len(data) - len(z.unused_data)
+        except zlib.error:
+            yield at, None
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                return
 
 
 def _fields(lines: list[str]) -> list[tuple[str, str]]:
@@ -191,18 +202,49 @@ def _fields(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def parse_fields(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers as a list of name and value, block) of the records of a WARC file; what is cut off at its end is left out."""
-    for member in _members(data):
-        at = 0
-        while (start := member.find(b"WARC/1.", at)) >= 0 and (end := member.find(b"\r\n\r\n", start)) >= 0:
+def scan(data: bytes) -> Iterator[tuple[int, list[tuple[str, str]], bytes, str | None]]:
+    """(offset of the gzip member or record, headers as a list of name and value, block, reason) of the records of a WARC file; reason, null for a good record, says why one is set aside."""
+    for offset, member in _members(data):
+        if member is None:
+            yield offset, [], b"", "damaged gzip member"
+            continue
+        at, plain = 0, member is data
+        while (start := member.find(b"WARC/1.", at)) >= 0:
+            here = start if plain else offset
+            if (end := member.find(b"\r\n\r\n", start)) < 0:
+                yield here, [], b"", "headers are cut off"
+                break
             fields = _fields(member[start:end].decode("utf-8", "replace").split("\r\n")[1:])
-            n = int(next((v for k, v in reversed(fields) if k.lower() == "content-length"), "0"))
-            block = member[end + 4 : end + 4 + n]
-            if len(block) < n:
-                return
+            size = next((v for k, v in reversed(fields) if k.lower() == "content-length"), "")
+            if not (size.isascii() and size.isdigit()):
+                yield here, fields, b"", "Content-Length is no number"
+                at = end + 4
+                continue
+            block = member[end + 4 : end + 4 + int(size)]
+            if len(block) < int(size):
+                yield here, fields, b"", "block is cut off"
+                break
+            yield here, fields, block, None
+            at = end + 4 + int(size)
+
+
+def parse_fields(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers as a list of name and value, block) of the good records of a WARC file."""
+    for _, fields, block, reason in scan(data):
+        if reason is None:
             yield fields, block
-            at = end + 4 + n
+
+
+def rejected_records(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows (path, position, reason) of what read_responses() sets aside: damaged gzip members, and records cut off or without a length."""
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(path, at, reason) for path, content in batch.itertuples(index=False, name=None) for at, _, _, reason in scan(bytes(content)) if reason]
+            yield pd.DataFrame(found, columns=["path", "position", "reason"])
+
+    return files.mapInPandas(run, "path string, position long, reason string")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -214,7 +256,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_responses(spark: SparkSession, *paths: str) -> DataFrame:
     """Response rows, as derive() takes them, of WARC files, plain or gzipped; source_id is the record id.
 
-    body has the payload's bytes and payload_digest the source's own digest (null if it gives none); warc_fields and http_fields have all headers
+    Records that can't be read are left out; rejected_records() names them. body has the payload's bytes and payload_digest the source's own digest (null if it gives none); warc_fields and http_fields have all headers
     in order, repeated ones too. payload (the body as UTF-8) and http_headers (a map, of a repeated header the last) are worked out only if read.
     A file is one row of Spark's binaryFile source, so it must be smaller than 2 GB; files are read in parallel.
     """
@@ -229,17 +271,18 @@ def read_responses(spark: SparkSession, *paths: str) -> DataFrame:
                     if headers.get("warc-type") != "response":
                         continue
                     head, _, body = block.partition(b"\r\n\r\n")
-                    http = _fields(head.decode("latin-1").split("\r\n")[1:])
+                    status, *lines = head.decode("latin-1").split("\r\n")
+                    http = _fields(lines)
                     named = ([{"name": k, "value": v} for k, v in x] for x in (fields, http))
-                    out.append((*(headers.get(k) for k in ("warc-record-id", "warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest")), *named, body))
+                    out.append((*(headers.get(k) for k in ("warc-record-id", "warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest")), *named, status, body))
                     if len(out) >= 500:
                         yield pd.DataFrame(out, columns=names)
                         out = []
                 if out:
                     yield pd.DataFrame(out, columns=names)
 
-    names = ["source_id", "record_id", "target_uri", "date", "payload_digest", "warc_fields", "http_fields", "body"]
-    rows = files.mapInPandas(run, f"source_id string, record_id string, target_uri string, date string, payload_digest string, warc_fields {FIELDS}, http_fields {FIELDS}, body binary")
+    names = ["source_id", "record_id", "target_uri", "date", "payload_digest", "warc_fields", "http_fields", "http_status", "body"]
+    rows = files.mapInPandas(run, f"source_id string, record_id string, target_uri string, date string, payload_digest string, warc_fields {FIELDS}, http_fields {FIELDS}, http_status string, body binary")
     http = F.col("http_fields")
     last = F.filter(http, lambda e, k: ~F.exists(F.slice(http, k + 2, F.size(http)), lambda x: x["name"] == e["name"]))
     return rows.withColumn("payload", F.make_valid_utf8(F.col("body").cast("string"))).withColumn("http_headers", F.map_from_entries(last))

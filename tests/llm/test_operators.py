@@ -178,6 +178,50 @@ def test_url_filters(spark, hot):
     assert url_filters.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_by_join(spark, monkeypatch):
+    rules = [*queries.URL_RULES, *((f"r{k}.example.com/p{k}/", "block") for k in range(200)), ("r7.example.com/p7/x/", "allow"), ("r7.example.com/", "block"), ("com/en", "block")]
+    urls = [None, "q", "http://R7.example.com/p7/x/y", "http://r7.example.com/p7/", "http://a.r7.example.com/q", "http://r8.example.com/p8", "http://r8.example.com/p8/z", "http://x.net/es/", "http://x.net/es", "http://b.com/en", "http://b.com/entry", "http:///", "http://com", *[f"http://r{k}.example.com/p{k}/1?x" for k in range(60)]]
+    pages = spark.createDataFrame(list(enumerate(urls + urls)), "page_id long, url string").withColumn("action", F.lit("x"))
+    by_join = sorted(map(str, url_filters.filter_urls(pages, rules, html_col=None).collect()))
+    table = spark.createDataFrame(rules, "rule string, action string")
+    assert by_join == sorted(map(str, url_filters.filter_urls(pages, table, html_col=None).collect()))
+    monkeypatch.setattr(url_filters, "MAX_RULES", 10**6)
+    assert by_join == sorted(map(str, url_filters.filter_urls(pages, rules, html_col=None).collect())) and len(by_join) == 2 * len(urls)
+
+
+def _slow_language(model, text):
+    """The score of a text word by word, by the definition."""
+    total = np.zeros(len(model.languages))
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        if w in model.words:
+            total += model.word_rows[model.words[w]].astype(float)
+            continue
+        marked = f"^{w}$"
+        for at in range(len(marked)):
+            known = [marked[at : at + n] for n in (4, 3, 2, 1) if at + n <= len(marked) and marked[at : at + n] in model.grams]
+            if known:
+                total += model.gram_rows[model.grams[known[0]]].astype(float) / 3
+    return total
+
+
+def test_language_equals_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    texts = _texts(spark)
+    for r in queries.op5_language_id(spark, SF).collect():
+        total = _slow_language(model, texts[r["doc_id"]])
+        if r["lang_pred"] == "und":
+            assert not re.search(r"[^\W\d_]", texts[r["doc_id"]] or "") and r["score"] == 0
+            continue
+        assert total[model.languages.index(r["lang_pred"])] >= total.max() - 1e-6 * (1 + abs(total.max()))
+        assert r["score"] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
+    tied = language_id.LanguageModel(["a", "b"], {}, np.zeros((0, 2), np.float32), {}, np.zeros((0, 2), np.float32))
+    scorer = language_id.Scorer(tied)
+    assert scorer.predict("word") == ("a", 0.5) and scorer.predict(None) == ("und", 0.0)
+    few = spark.createDataFrame([(k, "rare words here " * 3 if k % 100 == 0 else f"common text {k}", "xx" if k % 100 == 0 else "en") for k in range(2000)], "doc_id long, text string, lang string")
+    assert language_id.fit(few, max_rows=100).languages == ["en", "xx"]
+
+
 def test_language(spark, odd):
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
@@ -207,6 +251,10 @@ def test_quality(spark, odd):
     assert out[6] and out[3] == 1 and out[8] == f"{good}\nThere is {more}."
     assert not quality_rules.judge("a | b | c | " * 20)[6] and not quality_rules.judge(None)[6]
     assert quality_rules.clean_documents(odd).columns == odd.columns
+    menu = "Home\nOur products\n\nLatest news\nContact\n"
+    out = quality_rules.judge(menu + f"{good}\n" + "A heading\n" + f"There is {more}.\nThe end")
+    assert out[6] and out[8].split("\n") == ["", good, "A heading", f"There is {more}.", "The end"]
+    assert quality_rules.quality_report(odd.limit(0)).count() == 0
 
 
 def _sets(text):
@@ -404,6 +452,22 @@ def test_warc_keeps_the_source(spark, tmp_path):
         assert name == "<urn:c>" or text["text"] == "caf\u00e9 one"
 
 
+def test_warc_sets_bad_records_aside(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi"
+    good = warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-Target-URI": "http://q", "WARC-Date": "d"}, block)
+    member = zlib.compress(good, wbits=31)
+    damaged = member[:30] + b"\x00\x01\x02\x03\x04" + member[35:]
+    (tmp_path / "a.warc.gz").write_bytes(member + damaged + member)
+    (tmp_path / "b.warc").write_bytes(good.replace(b"Content-Length: ", b"Content-Length: x") + good + good[:-20])
+    (tmp_path / "c.warc").write_bytes(b"")
+    read = warc.read_responses(spark, str(tmp_path))
+    assert read.count() == 3 and {r["http_status"] for r in read.collect()} == {"HTTP/1.1 200 OK"}
+    made = warc.derive(read).where("record_type = 'metadata'").collect()
+    assert len(made) == 3 and all(b"sourceStatus: HTTP/1.1 200 OK\r\n" in bytes(r["record"]) for r in made)
+    assert sorted(r["reason"] for r in warc.rejected_records(spark, str(tmp_path)).collect()) == ["Content-Length is no number", "block is cut off", "damaged gzip member"]
+    assert warc.derive(read.limit(0)).count() == 0
+
+
 def test_op10_makes_records(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {(r["source_id"], r["record_type"]): bytes(r["record"]) for r in warc.derive(warc.responses_of_pages(pages)).collect()}
