@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+# The patterns of the next function and their order, on which its results depend.
 def slug(text: Column, most: int = 60) -> Column:
     """A file-name slug: lower case, words joined by single hyphens, at most `most` characters; 'untitled' if nothing is left. [TXT-1]"""
     low = F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", "")
@@ -67,17 +69,38 @@ def safe_upload_name(name: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """Text as a quoted literal: single quotes unless it has those and no double ones; backslashes and controls escaped; None for null. [TXT-4]"""
+    """Text as a quoted literal: single quotes unless it has those and no double ones; backslashes, controls and what does not print escaped; None for null. [TXT-4]"""
     body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(raw), F.lit(shown))
+    hidden = r"[\p{C}\p{Z}&&[^ ]]"
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        digits = F.lower(F.hex(code))
+        wide = F.when(code < 0x100, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0"))).when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+        return F.when(c.rlike(hidden), wide).otherwise(c)
+
+    body = F.when(body.rlike(hidden), F.array_join(F.transform(F.split(body, ""), escaped), "")).otherwise(body)
     double = text.contains("'") & ~text.contains('"')
     return F.when(text.isNull(), F.lit("None")).when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
+def composed(text: Column) -> Column:
+    """Text in Unicode's composed form (NFC), which Spark has no function for."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return run(text)
+
+
+# The patterns of the next function and their order, on which its results depend.
 def highlight_terms(query: Column) -> Column:
     """The distinct terms to highlight, longest first: quoted strings or words, without punctuation at their ends. [SEA-7, SET-3]"""
-    raw = F.regexp_extract_all(query, F.lit(r"""(?U)("[^"]+"|'[^']+'|[^\s]+)"""), 1)
+    # Composing what stands between marks composes each term, as marks combine with nothing.
+    raw = F.regexp_extract_all(composed(query), F.lit(r"""(?U)("[^"]+"|'[^']+'|[^\s]+)"""), 1)
     bare = F.transform(raw, lambda t: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(t, r"""^["']|["']$""", "")), r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+$", ""))
     terms = F.array_distinct(F.filter(bare, lambda t: t != ""))
     ranked = F.array_sort(F.transform(terms, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t"))))
@@ -86,11 +109,12 @@ def highlight_terms(query: Column) -> Column:
 
 def mark_terms(text: Column, terms: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
     """Text with all hits of any term marked, whatever their case: the earliest first, then the longest. Terms are literal. [SEA-8]"""
-    literal = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E")))
+    literal = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = F.concat(F.lit("(?iu)("), F.array_join(literal, "|"), F.lit(")"))
     return F.when(F.size(terms) > 0, F.regexp_replace(text, pattern, F.lit(f"{before}$1{after}"))).otherwise(text)
 
 
+# The patterns of the next function and their order, on which its results depend.
 def compact_markdown(text: Column) -> Column:
     """An excerpt without markup that a cut would leave half open. [SEA-9]"""
     out = F.regexp_replace(text, "\uE200[^\uE201]*\uE201", "")
@@ -111,8 +135,14 @@ def citations(markdown: Column) -> Column:
 
 
 def link_citations(markdown: Column) -> Column:
-    """Citations as Markdown links to #source:id:N. The characters of an id need no escape but for ':'. [INS-10]"""
-    return F.regexp_replace(markdown, CITATION, "[$1 #$2](#source:$1:$2)")
+    """Citations as Markdown links to #source:id:N, the id percent-encoded: of the characters that it may have, that is ':' alone. [INS-10]"""
+    # The text between citations, and each citation, in turn.
+    between = F.split(markdown, CITATION)
+    linked = F.zip_with(
+        F.regexp_extract_all(markdown, F.lit(CITATION), 1), F.regexp_extract_all(markdown, F.lit(CITATION), 2),
+        lambda i, k: F.concat(F.lit("["), i, F.lit(" #"), k, F.lit("](#source:"), F.replace(i, F.lit(":"), F.lit("%3A")), F.lit(":"), k, F.lit(")")),
+    )
+    return F.array_join(F.zip_with(between, linked, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
 
 
 def safe_link(url: Column) -> Column:
@@ -121,6 +151,7 @@ def safe_link(url: Column) -> Column:
     return F.when(bare.rlike(r"^(#|/(?!/)|https?://|mailto:)"), bare).otherwise("")
 
 
+# The patterns of the next function and their order, on which its results depend.
 def strip_inline_markdown(text: Column) -> Column:
     """Text of a heading: link texts, without escapes and emphasis marks."""
     out = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1")
@@ -128,7 +159,8 @@ def strip_inline_markdown(text: Column) -> Column:
     return collapse_spaces(F.regexp_replace(out, r"[`*_~]", ""))
 
 
+# The patterns of the next function and their order, on which its results depend.
 def heading_slug(text: Column) -> Column:
     """The id of a heading before duplicates are numbered; 'section' if nothing is left."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), r"^-|-$", "")
+    out = F.regexp_replace(F.regexp_replace(F.lower(composed(text)), r"[^\p{L}\p{N}]+", "-"), r"^-|-$", "")
     return F.when(out == "", F.lit("section")).otherwise(out)

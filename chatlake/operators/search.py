@@ -5,6 +5,8 @@ Many queries run as one job: a query is a row. Statistics are of the whole corpu
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,45 +21,88 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Tokens of an excerpt.
 WINDOW = 24
-#: Phrase terms that are broadcast at most; beyond, the join shuffles.
-BROADCAST_TERMS = 50_000
+#: Phrase terms, limited hits and allowed conversations that are broadcast at most; beyond, the join shuffles.
+BROADCAST_TERMS, BROADCAST_HITS, BROADCAST_IDS = 50_000, 20_000, 200_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, message_id, conversation_id, col, positions) and doc_lengths (message_id, dl); col 0 is the title, 1 the content."""
+    """postings (term, message_id, conversation_id, col, positions, dl) and stats (n_docs, sum_dl), of which there is a row for each append; col 0 is the title, 1 the content, dl the terms of both."""
 
     postings: DataFrame
-    doc_lengths: DataFrame
+    stats: DataFrame
 
 
 def build(conversations: DataFrame, messages: DataFrame) -> Index:
     """Index messages by the terms of their content and of their conversation's title, which counts in every row."""
     titled = messages.join(conversations.select(F.col("id").alias("conversation_id"), "title").hint("merge"), "conversation_id")
     terms = titled.select(F.col("id").alias("message_id"), "conversation_id", T.tokens(F.col("title")).alias("t0"), T.tokens(F.col("content")).alias("t1"))
-    lengths = terms.select("message_id", (F.size("t0") + F.size("t1")).alias("dl"))
-    spots = terms.select("message_id", "conversation_id", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("col"), F.col("t1").alias("t")))).alias("f"))
-    each = spots.select("message_id", "conversation_id", F.col("f.col").alias("col"), F.posexplode("f.t").alias("pos", "term"))
+    sized = terms.withColumn("dl", F.size("t0") + F.size("t1"))
+    spots = sized.select("message_id", "conversation_id", "dl", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("col"), F.col("t1").alias("t")))).alias("f"))
+    each = spots.select("message_id", "conversation_id", "dl", F.col("f.col").alias("col"), F.posexplode("f.t").alias("pos", "term"))
     # A message's tokens are in one task, so this aggregate combines before it shuffles.
-    postings = each.groupBy("term", "message_id", "conversation_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, lengths)
+    postings = each.groupBy("term", "message_id", "conversation_id", "col", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return Index(postings, sized.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl")))
 
 
-def save(index: Index, root: str, mode: str = "overwrite", buckets: int = 64) -> None:
-    """Write the index: postings by bucket of the term, sorted, so that a query reads its terms' buckets and row groups. mode append adds new messages. [SNK-2]"""
-    bucketed = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    bucketed.repartition("bucket", F.pmod(F.xxhash64("message_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{root}/postings")
-    index.doc_lengths.write.mode(mode).parquet(f"{root}/doc_lengths")
+def save(conversations: DataFrame, messages: DataFrame, root: str, mode: str = "overwrite", buckets: int = 64) -> None:
+    """Index messages in the index at root: postings by bucket of the term, sorted, so that a query reads its terms' buckets and row groups. [SNK-2]
+
+    mode append adds the messages that the index does not have, by their ids, so that a repeated import changes nothing. Ids are written
+    last: an append that was broken off is repeated whole, and its postings, which name their run, are read only once their ids are there.
+    """
+    spark = messages.sparkSession
+    if mode == "append" and _exists(spark, f"{root}/ids"):
+        messages = messages.join(_saved(spark, root, "ids").select(F.col("message_id").alias("id")).hint("merge"), "id", "left_anti")
+    elif mode != "append":
+        _delete(spark, root)
+    run = uuid.uuid4().hex
+    once = messages.dropDuplicates(["id"])
+    index = build(conversations, once)
+    bucketed = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("run", F.lit(run))
+    bucketed.repartition("bucket", F.pmod(F.xxhash64("message_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("run", "bucket").parquet(f"{root}/postings")
+    index.stats.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{root}/stats")
+    # The ids of what the postings' run holds, also of messages without a term.
+    joined = once.join(conversations.select(F.col("id").alias("conversation_id")).hint("merge"), "conversation_id")
+    joined.select(F.col("id").alias("message_id"), F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(f"{root}/ids")
+
+
+SCHEMAS = {
+    "postings": "term string, message_id string, conversation_id string, col int, dl int, positions array<int>, run string, bucket int",
+    "stats": "n_docs long, sum_dl long, run string",
+    "ids": "message_id string, run string",
+}
+
+
+def _saved(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, files = _store(spark, path)
+    return files.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, files = _store(spark, path)
+    files.delete(at, True)
 
 
 def load(spark: SparkSession, root: str, query: str | None = None, buckets: int = 64) -> Index:
     """Read a saved index; with a query, only the buckets of its terms."""
-    postings = spark.read.parquet(f"{root}/postings")
+    at, files = _store(spark, f"{root}/ids")
+    runs = [x.getPath().getName().partition("=")[2] for x in files.listStatus(at) if x.isDirectory()]  # one for each append
+    postings = _saved(spark, root, "postings").where(F.col("run").isin(runs))
     if query is not None:
         terms = query_terms(spark.createDataFrame([("q", query)], "query_id string, query string"))
         hit = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
         postings = postings.where(F.col("bucket").isin(hit)) if hit else postings.where("false")
-    return Index(postings.drop("bucket"), spark.read.parquet(f"{root}/doc_lengths"))
+    return Index(postings.drop("bucket", "run"), _saved(spark, root, "stats").where(F.col("run").isin(runs)))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -68,23 +113,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def rank(queries: DataFrame, index: Index) -> DataFrame:
-    """Rows (query_id, message_id, conversation_id, score) of the messages that hold all phrases of a query; lower scores are better. [SEA-2, SEA-3, FLT-5, AGG-9]"""
+    """Rows (query_id, message_id, conversation_id, score) of the messages that hold all phrases of a query; lower scores are better. [SEA-2, SEA-3, FLT-5, AGG-9]
+
+    All postings of a query's terms in a message are brought together once; both aggregates below use that.
+    """
     terms = query_terms(queries)
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hits = index.postings.join(F.broadcast(terms) if few else terms.hint("merge"), "term")
-    key = ["query_id", "k", "phrase", "message_id", "conversation_id"]
+    hits = index.postings.join(F.broadcast(terms) if few else terms.hint("merge"), "term").select("query_id", "message_id", "conversation_id", "dl", "k", "phrase", "m", "col", "offset", "positions")
+    hits = hits.repartition("query_id", "message_id")
+    key = ["query_id", "message_id", "conversation_id", "dl", "k", "phrase"]
+    starts = F.explode(F.transform("positions", lambda p: p - F.col("offset")))
     single = hits.where("m = 1").groupBy(*key).agg(F.sum(F.size("positions")).alias("f"))
-    starts = hits.where("m > 1").select(*key, "m", "col", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
-    longer = starts.groupBy(*key, "m", "col", "start").agg(F.count(F.lit(1)).alias("c")).where("c = m").groupBy(*key).agg(F.count(F.lit(1)).alias("f"))
+    longer = hits.where("m > 1").select(*key, "m", "col", starts.alias("start")).groupBy(*key, "m", "col", "start").agg(F.count(F.lit(1)).alias("c")).where("c = m").groupBy(*key).agg(F.count(F.lit(1)).alias("f"))
     found = single.unionByName(longer)
     spread = found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
-    stats = index.doc_lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("dl").alias("avgdl"))
+    stats = index.stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("rows"), (F.sum("sum_dl") / F.sum("n_docs")).alias("avgdl"))
     # One row for each phrase: as few as the terms, and merging by phrase would bring all hits of a phrase to one task.
-    joined = found.join(F.broadcast(spread) if few else spread.hint("merge"), ["query_id", "phrase"]).join(index.doc_lengths.hint("merge"), "message_id").crossJoin(F.broadcast(stats))  # one row of statistics
+    joined = found.join(F.broadcast(spread) if few else spread.hint("merge"), ["query_id", "phrase"]).crossJoin(F.broadcast(stats))  # one row of statistics
     raw = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = joined.groupBy("query_id", "k", "message_id", "conversation_id").agg(F.count(F.lit(1)).alias("_p"), (-F.sum(part)).alias("score"))
+    scored = joined.groupBy("query_id", "message_id", "conversation_id", "k").agg(F.count(F.lit(1)).alias("_p"), (-F.sum(part)).alias("score"))
     return scored.where("_p = k").select("query_id", "message_id", "conversation_id", "score")
 
 
@@ -99,7 +148,7 @@ def filtered(conversations: DataFrame, provider: str | None = None, date_from: s
         seen = F.substring("created_at", 1, len(date_to)) if inclusive_day else F.col("created_at")
         out = out.where(seen <= date_to)
     if title:
-        out = out.where(F.col("title").ilike(f"%{title}%"))
+        out = out.where(F.col("title").ilike("%" + title.replace("\\", "\\\\") + "%"))  # a backslash is a character like others
     return out
 
 
@@ -108,16 +157,27 @@ def search_batch(queries: DataFrame, index: Index, conversations: DataFrame, mes
 
     Ties go by conversation id and message index. Excerpts are made of the rows that are left.
     """
-    allowed = filtered(conversations, **filters).select(F.col("id").alias("conversation_id"), "source", "title")
-    ranked = rank(queries, index).join(allowed.hint("merge"), "conversation_id").withColumn("message_index", F.element_at(F.split("message_id", ":"), -1).cast("int"))
+    limit = max(1, limit)
+    ranked = rank(queries, index).withColumn("message_index", F.element_at(F.split("message_id", ":"), -1).cast("int"))
+    if any(filters.values()):
+        allowed = filtered(conversations, **filters).select(F.col("id").alias("conversation_id"))
+        few = allowed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        ranked = ranked.join(F.broadcast(allowed) if few else allowed.hint("merge"), "conversation_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9), "conversation_id", "message_index")
-    top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, limit))
-    full = top.join(messages.select(F.col("id").alias("message_id"), "role", "timestamp", "content").hint("merge"), "message_id")
+    top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    # What the limit leaves is small, so it goes to the tables, and their titles and contents stay where they are.
+    few = queries.count() * limit <= BROADCAST_HITS
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df.hint("merge")
+
+    named = conversations.select(F.col("id").alias("conversation_id"), "source", "title").join(small(top), "conversation_id")
+    full = messages.select(F.col("id").alias("message_id"), "role", "timestamp", "content").join(small(named), "message_id")
     columns = ["query_id", "rank", "score", "conversation_id", "message_id", "message_index", "source", "title", "role", "timestamp"]
     if not with_excerpts:
         return full.select(*columns)
     terms = queries.select("query_id", F.filter(F.transform(T.phrases(F.col("query")), T.tokens), lambda t: F.size(t) > 0).alias("_ph"))
-    return full.join(terms.hint("merge"), "query_id").select(*columns, excerpt(F.col("content"), F.to_json("_ph")).alias("excerpt"))
+    return full.join(small(terms), "query_id").select(*columns, excerpt(F.col("content"), F.to_json("_ph")).alias("excerpt"))
 
 
 def search(spark: SparkSession, query: str, index: Index, conversations: DataFrame, messages: DataFrame, limit: int = 20, **filters) -> DataFrame:
@@ -138,7 +198,12 @@ def group_hits(hits: DataFrame, conversations: DataFrame, limit: int = 20, per_c
         F.min("rank").alias("_best"), F.count(F.lit(1)).alias("match_count"), F.array_sort(F.collect_list(F.when(F.col("_k") <= per_conversation, shown))).alias("excerpts")
     )
     placed = groups.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("_best"))).where(F.col("place") <= max(1, limit))
-    return placed.join(conversations.withColumnRenamed("id", "conversation_id").hint("merge"), "conversation_id").drop("_best")
+    return conversations.withColumnRenamed("id", "conversation_id").join(placed.hint("merge"), "conversation_id").drop("_best")
+
+
+def shown_excerpts(groups: DataFrame, n: int = 2) -> DataFrame:
+    """Groups with the first n of their excerpts, as a list of results shows them. [SEA-10]"""
+    return groups.withColumn("excerpts", F.slice("excerpts", 1, n))
 
 
 def search_conversations(queries: DataFrame, index: Index, conversations: DataFrame, messages: DataFrame, limit: int = 20, per_conversation: int = 3, **filters) -> DataFrame:
@@ -157,18 +222,20 @@ def best_window(content: str, phrases: list[list[str]], n: int = WINDOW) -> str:
     spans = [m.span() for m in _token.finditer(content)]
     folded = [content[a:b].lower().translate(_fold) for a, b in spans]
     total = len(spans)
-    hits = sorted((p, k) for k, terms in enumerate(phrases) for p in range(total - len(terms) + 1) if folded[p : p + len(terms)] == terms)
+    by_first: dict[str, list[int]] = {}
+    for k, terms in enumerate(phrases):
+        by_first.setdefault(terms[0], []).append(k)
+    hits = [(p, k) for p, word in enumerate(folded) for k in by_first.get(word, ()) if folded[p : p + len(phrases[k])] == phrases[k]]
+    at = [p for p, _ in hits]
 
     def worth(start: int) -> tuple[int, int, int]:
-        seen: set[int] = set()
-        score, first, last = 0, -1, -1
-        for p, k in hits:
-            if start <= p < start + n:
-                score += 1 if k in seen else 1000
-                seen.add(k)
-                first = p if first < 0 else first
-                last = max(last, p + len(phrases[k]))
-        return score, first, last
+        """Of the hits that begin in the window: 1000 for each phrase, 1 for each repeat; where the first begins and where the last ends."""
+        low, high = bisect_left(at, start), bisect_left(at, start + n)
+        if low == high:
+            return 0, -1, -1
+        inside = hits[low:high]  # at most one for each token and phrase
+        distinct = len({k for _, k in inside})
+        return 999 * distinct + len(inside), at[low], max(p + len(phrases[k]) for p, k in inside)
 
     opens = [i for i in range(total) if i == 0 or _sentence.search(content, spans[i - 1][1], spans[i][0]) or _sentence.search(content[spans[i - 1][1] : spans[i][0]])]
     best, start = 0, 0
@@ -178,7 +245,7 @@ def best_window(content: str, phrases: list[list[str]], n: int = WINDOW) -> str:
         if score > best:
             best, start = score, centred
         if total > n:
-            before = max((s for s in opens if s <= p), default=0)
+            before = opens[bisect_right(opens, p) - 1]
             if before < p:
                 score = worth(before)[0] + (120 if before == 0 else 100)
                 if score > best:

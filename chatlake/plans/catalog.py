@@ -41,16 +41,32 @@ def oracle_sql() -> dict[str, str]:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared one that the session names; in tests, where it names none, a temporary one."""
+    """A fresh folder in the shared one that spark.checkpoint.dir names; where that is unset, a temporary one on local masters, and RuntimeError on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chatlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/archive/{uuid.uuid4().hex}"
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str, table: str = "conversations") -> tuple[search.Index, DataFrame, DataFrame]:
+    """(saved index, conversations, messages) of a given table; an application saves a table's index once."""
+    c, m = archive(spark, sf_dir) if table == "conversations" else documents_archive(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _indexes:
+        root = work_dir(spark)
+        search.save(c, m, root)
+        _indexes[key] = root
+    return search.load(spark, _indexes[key]), c, m
+
+
 # Search
 
 
@@ -94,8 +110,8 @@ def _ask(spark: SparkSession, asked: dict[str, str]) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, asked: dict[str, str], limit: int = 20, **filters) -> DataFrame:
-    c, m = archive(spark, sf_dir)
-    return search.search_batch(_ask(spark, asked), search.build(c, m), c, m, limit, with_excerpts=False, **filters).drop("timestamp").withColumn("score", F.round("score", 6))
+    index, c, m = _indexed(spark, sf_dir)
+    return search.search_batch(_ask(spark, asked), index, c, m, limit, with_excerpts=False, **filters).drop("timestamp").withColumn("score", F.round("score", 6))
 
 
 @_query(f"WITH {_bm25_sql(WORDS)} SELECT {_HIT} FROM hits")
@@ -126,32 +142,32 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best) AS INTEGER) AS place, conversation_id, match_count, shown, source, title, raw_message_count FROM g JOIN c ON c.id = conversation_id QUALIFY place <= 20"""
 )
 def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, m = archive(spark, sf_dir)
-    groups = search.search_conversations(_ask(spark, WORDS), search.build(c, m), c, m)
+    index, c, m = _indexed(spark, sf_dir)
+    groups = search.search_conversations(_ask(spark, WORDS), index, c, m)
     return groups.select("query_id", "place", "conversation_id", "match_count", F.array_join(F.transform("excerpts", lambda e: e["message_id"]), ",").alias("shown"), "source", "title", "raw_message_count")
 
 
 @_query(f"WITH {_bm25_sql({'d': 'the', 'e': 'los', 'f': 'été'}, docs='documents')} SELECT {_HIT} FROM hits".replace("'été'", "'ete'"))
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, m = documents_archive(spark, sf_dir)
+    index, c, m = _indexed(spark, sf_dir, "documents")
     asked = _ask(spark, {"d": "the", "e": "los", "f": "été"})
-    return search.search_batch(asked, search.build(c, m), c, m, with_excerpts=False).drop("timestamp").withColumn("score", F.round("score", 6))
+    return search.search_batch(asked, index, c, m, with_excerpts=False).drop("timestamp").withColumn("score", F.round("score", 6))
 
 
 @_query(f"WITH {_bm25_sql(MANY, limit=10)} SELECT {_HIT} FROM hits")
 def search_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m = archive(spark, sf_dir)
     root = work_dir(spark)
-    search.save(search.build(c, m.where("message_index % 2 = 0")), root)
-    odd = search.build(c, m.where("message_index % 2 = 1"))
-    search.save(odd, root, "append")
+    search.save(c, m.where("message_index % 2 = 0"), root)
+    for _ in range(2):  # the second time appends nothing
+        search.save(c, m, root, "append")
     return search.search_batch(_ask(spark, MANY), search.load(spark, root), c, m, 10, with_excerpts=False).drop("timestamp").withColumn("score", F.round("score", 6))
 
 
 @_query()
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, m = archive(spark, sf_dir)
-    return search.search_batch(_ask(spark, WORDS | PHRASE), search.build(c, m), c, m).select("query_id", "rank", "message_id", "excerpt")
+    index, c, m = _indexed(spark, sf_dir)
+    return search.search_batch(_ask(spark, WORDS | PHRASE), index, c, m).select("query_id", "rank", "message_id", "excerpt")
 
 
 @_query(f"WITH {archive_sql()} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(title, '[^ ]+'), lambda t: regexp_replace(regexp_replace(t, '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '')), lambda t: t <> ''))), ' ') AS terms FROM c")
@@ -570,9 +586,9 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def export_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, m = archive(spark, sf_dir)
+    index, c, m = _indexed(spark, sf_dir)
     asked = _ask(spark, WORDS | PHRASE)
-    return export.search_dossier(asked, search.search_batch(asked, search.build(c, m), c, m, 50))
+    return export.search_dossier(asked, search.search_batch(asked, index, c, m, 50))
 
 
 __all__ = ["ingest_stream", "oracle_sql", "queries"]

@@ -34,14 +34,18 @@ def _one(spark, column, **values):
 
 def test_text_helpers(spark):
     md = T.compact_markdown(F.col("x"))
-    assert _one(spark, md, x="partial **bold marker --- ### heading...") == "partial bold marker · heading..."
-    assert _one(spark, md, x="complete **bold** marker") == "complete **bold** marker"
-    assert _one(spark, md, x="matched **[AI]** term") == "matched **\\[AI\\]** term"
-    assert [tuple(r) for r in _one(spark, T.citations(F.col("x")), x="Claim [conversation-1#m3] and [b#4].")] == [("conversation-1", 3), ("b", 4)]
-    assert _one(spark, T.safe_file_name(F.col("x")), x='Insights: AI / "careers"') == "Insights- AI - -careers-"
-    assert _one(spark, T.highlight_terms(F.col("x")), x="한국 ai \"two words\" ai!") == ["two words", "한국", "ai"]
-    assert _one(spark, T.mark_terms(F.col("x"), F.array(F.lit("ai"), F.lit("한국"))), x="AI 한국 x") == "<mark>AI</mark> <mark>한국</mark> x"
-    assert [_one(spark, T.safe_link(F.col("x")), x=u) for u in ("javascript:a", "//host", "https://a", "#s", "/p", "data:x")] == ["", "", "https://a", "#s", "/p", ""]
+    assert _one(spark, md, x="left **open here --- ## next part") == "left open here · next part"
+    assert _one(spark, md, x="both **ends** here and `code") == "both **ends** here and code"
+    assert _one(spark, md, x="a **[hit]** marked") == "a **\\[hit\\]** marked"
+    assert [tuple(r) for r in _one(spark, T.citations(F.col("x")), x="As [k:9.b#m12] and [z#0] say, [no] more.")] == [("k:9.b", 12), ("z", 0)]
+    assert _one(spark, T.link_citations(F.col("x")), x="As [k:9.b#m12] and [z#0] say, [no].") == "As [k:9.b #12](#source:k%3A9.b:12) and [z #0](#source:z:0) say, [no]."
+    assert _one(spark, T.safe_file_name(F.col("x")), x="What? <a|b>.. c") == "What- -a-b-.. c"
+    assert _one(spark, T.highlight_terms(F.col("x")), x="서울 go \"river bank\" go! cafe\u0301") == ["river bank", "caf\u00e9", "서울", "go"]
+    assert _one(spark, T.mark_terms(F.col("x"), F.array(F.lit("go"), F.lit("서울"))), x="서울 GO on") == "<mark>서울</mark> <mark>GO</mark> on"
+    assert _one(spark, T.mark_terms(F.col("x"), F.array(F.lit("a\\E(b"), F.lit("\\Q"))), x="x a\\E(b \\Q") == "x <mark>a\\E(b</mark> <mark>\\Q</mark>"
+    assert [_one(spark, T.safe_link(F.col("x")), x=u) for u in ("vbscript:q", "//other.org/x", "http://a.b/c", "#part", "/there", "mailto:a@b")] == ["", "", "http://a.b/c", "#part", "/there", "mailto:a@b"]
+    odd = "a\u00a0b\x01c\u200bd\u2028e\U000e0001f\x7f g's"
+    assert _one(spark, T.quoted(F.col("x")), x=odd) == repr(odd)
     assert _one(spark, T.slug(F.col("x")), x="  Héllo, Wörld_x -- y ") == "héllo-wörld-x-y"
     assert _one(spark, T.quoted(F.col("x")), x="it's") == '"it\'s"' and _one(spark, T.quoted(F.col("x")), x="a\nb'\"") == repr("a\nb'\"")
 
@@ -114,7 +118,7 @@ def test_search_equals_fts5(spark):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE t USING fts5(id UNINDEXED, title, content)")
     db.executemany("INSERT INTO t VALUES (?, ?, ?)", [tuple(r) for r in table])
-    index = search.build(c, m).__class__(*[x.cache() for x in (search.build(c, m).postings, search.build(c, m).doc_lengths)])
+    index = catalog._indexed(spark, SF)[0]
     asked = {"a": "the", "b": "that was", "c": "of-the", "d": "\"of the\" and --", "e": "zzz"}
     got = search.search_batch(catalog._ask(spark, asked), index, c, m, 1000).collect()
     for name, query in asked.items():
@@ -161,9 +165,28 @@ def test_sections_and_json(spark):
 
 
 def test_outline(spark):
-    md = "# Overview\n## 핵심 개념\n## Overview\n#### Hidden detail\ntext"
+    md = "# First part\n## 둘째 부분\n### First   *part* #\n##### Too deep\n## !!\ntext\n## cafe\u0301"
     got = reports.outline(spark.createDataFrame([("r", "T", md), ("s", "Bare", "x")], "id string, title string, markdown string")).orderBy("report_id", "line").collect()
-    assert [(r["heading_id"], r["level"]) for r in got] == [("overview", 1), ("핵심-개념", 2), ("overview-2", 2), ("report-top", 1)]
+    assert [(r["heading_id"], r["level"]) for r in got] == [("first-part", 1), ("둘째-부분", 2), ("first-part-2", 3), ("section", 2), ("caf\u00e9", 2), ("report-top", 1)]
+
+
+def test_saved_index_takes_each_message_once(spark, tmp_path):
+    c = spark.createDataFrame([("c", "chatgpt", "One\\two title", "2024")], "id string, source string, title string, created_at string")
+    m = spark.createDataFrame([(f"c:{k}", "c", k, "user", t, None) for k, t in enumerate(["river bank", "bank", "other"])], "id string, conversation_id string, message_index int, role string, content string, timestamp string")
+    asked = catalog._ask(spark, {"q": "bank"})
+    root = str(tmp_path / "index")
+    search.save(c, m.where("message_index < 2"), root)
+    first = search.search_batch(asked, search.load(spark, root), c, m).select("message_id", "score").collect()
+    for _ in range(2):
+        search.save(c, m.where("message_index < 2").unionByName(m.where("message_index < 2")), root, "append")
+    assert search.search_batch(asked, search.load(spark, root), c, m).select("message_id", "score").collect() == first and len(first) == 2
+    search.save(c, m, root, "append")
+    whole = search.search_batch(asked, search.build(c, m), c, m).select("message_id", "score").collect()
+    assert search.search_batch(asked, search.load(spark, root, "bank"), c, m, title="e\\tw").select("message_id", "score").collect() == whole
+    groups = search.search_conversations(asked, search.load(spark, root), c, m)
+    assert [len(r["excerpts"]) for r in search.shown_excerpts(groups, 1).collect()] == [1]
+    long = "word " * 30 + "hit " * 50_000
+    assert search.best_window(long, [["hit"]]).count("[hit]") > 0
 
 
 def test_whole_outline(spark):
