@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,10 +29,13 @@ def words(text: str | None) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it. Unset, RuntimeError: a folder of one machine would not do."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where that is unset, a temporary one on local masters, and RuntimeError on a cluster, where a folder of one machine would not do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="chatlake-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
