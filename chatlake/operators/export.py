@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,5 +66,21 @@ def report_files(reports: DataFrame) -> DataFrame:
 
 
 def write_files(documents: DataFrame, folder: str) -> None:
-    """Write (file_name, markdown) as text, one folder for each file name, in parallel."""
-    documents.select("markdown", "file_name").write.mode("overwrite").partitionBy("file_name").text(folder)
+    """Write each row (file_name, markdown) as one file of that name in folder, a path or URI of a store that all executors reach. [SNK-3, SNK-4, SNK-6]
+
+    Tasks write in parallel, each file under a name of its own first and then renamed, so that a task that runs twice leaves whole files. Of rows
+    of the same name one stays; a null text is an empty file. Names that would lead out of the folder raise ValueError.
+    """
+
+    def write(rows: Iterator) -> None:
+        store, base = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        for row in rows:
+            if "/" in row["file_name"] or row["file_name"] in ("", ".", ".."):
+                raise ValueError(f"no file name: {row['file_name']!r}")
+            part = f"{base}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write((row["markdown"] or "").encode("utf-8"))
+            store.move(part, f"{base}/{row['file_name']}")
+
+    documents.select("file_name", "markdown").where("file_name is not null").dropDuplicates(["file_name"]).foreachPartition(write)

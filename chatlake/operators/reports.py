@@ -76,20 +76,28 @@ def documents(rows: DataFrame) -> DataFrame:
 def next_fit(sizes: Column, most: int, extra: int = 0) -> Column:
     """The slot of each item of an array of sizes, packed in order: a slot takes items while they fit. An item over `most` has a slot, or as many as it takes, alone. [WIN-7]
 
-    The state is (slot, filled, open, slots so far): a fold over sizes, never over texts.
+    A loop over sizes, never over texts: each step depends on the one before, and a fold in columns would copy what it has so far at each.
     """
-    start = F.struct(F.lit(0).alias("slot"), F.lit(0).alias("filled"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, size: Column) -> Column:
-        cost, full = size + extra, s["open"] & (s["filled"] + size + extra > most)
-        after = s["slot"] + F.when(s["open"], 1).otherwise(0)
-        pieces = F.ceil(size / most).cast("int")
-        alone = F.struct((after + pieces).alias("slot"), F.lit(0).alias("filled"), F.lit(False).alias("open"), F.concat(s["out"], F.array(after)).alias("out"))
-        fresh = F.struct((s["slot"] + 1).alias("slot"), cost.alias("filled"), F.lit(True).alias("open"), F.concat(s["out"], F.array(s["slot"] + 1)).alias("out"))
-        joined = F.struct(s["slot"].alias("slot"), (s["filled"] + cost).alias("filled"), F.lit(True).alias("open"), F.concat(s["out"], F.array(s["slot"])).alias("out"))
-        return F.when(size > most, alone).when(full, fresh).otherwise(joined)
-
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    @F.pandas_udf("array<int>")
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            slots, slot, filled, is_open = [], 0, 0, False
+            for n in row.tolist():
+                if n > most:
+                    slot += is_open
+                    slots.append(slot)
+                    slot, filled, is_open = slot - (-n // most), 0, False
+                    continue
+                if is_open and filled + n + extra > most:
+                    slot, filled = slot + 1, 0
+                slots.append(slot)
+                filled, is_open = filled + n + extra, True
+            out.append(slots)
+        return pd.Series(out)
+
+    return run(sizes)
 
 
 def pack_chunks(docs: DataFrame, max_chars: int = 80_000) -> DataFrame:
@@ -193,6 +201,11 @@ def build_reports(selected: DataFrame, conversations: DataFrame, messages: DataF
     )
 
 
+def summaries(reports: DataFrame) -> DataFrame:
+    """Reports without their text, as a list of them shows. [PRJ-2]"""
+    return reports.drop("markdown")
+
+
 def measures(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """(report_id, source_count, chunk_count, source_chars, context_chars, calls) [AGG-7]"""
     sources = rows.groupBy("report_id").agg(F.countDistinct("ord").alias("source_count"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("source_chars"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from chatlake.operators.normalize import explode_messages, normalize
 SCHEMAS = {
     "conversations": "id string, source string, title string, created_at string, updated_at string, raw_message_count int, source_path string",
     "messages": "id string, conversation_id string, message_index int, role string, content string, timestamp string",
+    "bad_files": "source_path string, reason string",
     "insight_reports": "id string, title string, selected_conversation_ids array<string>, provider string, model string, markdown string, created_at string",
 }
 
@@ -49,42 +52,72 @@ def _names(table: str) -> list[str]:
     return [x.strip().split(" ")[0] for x in SCHEMAS[table].split(",")]
 
 
-def ingest(spark: SparkSession, root: str, files: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """Append the files' new conversations and messages to the archive at root.
+def ingest(spark: SparkSession, root: str, files: DataFrame, rejected: DataFrame | None = None, keep_staging: bool = True) -> DataFrame:
+    """Append the files' new conversations and messages to the archive at root, and the files set aside, with reasons, to its bad_files.
 
-    Gives one row (parsed, inserted_conversations, inserted_messages, skipped_files). The parsed rows are written to root/staging
-    first, so that the archive's own tables are read before they grow.
+    Gives one row (parsed, inserted_conversations, inserted_messages, skipped). What the run parsed and found new is written to root/staging
+    first; the row is worked out of that when it is read. keep_staging=False works it out at once and deletes the run's folder.
     """
     conversations, bad = normalize(files)
     if rejected is not None:
         bad = bad.unionByName(rejected)
-    run = f"{root}/staging/{spark.range(1).select(F.uuid()).first()[0]}"
-    conversations.write.parquet(f"{run}/parsed")
-    parsed = spark.read.schema(conversations.schema).parquet(f"{run}/parsed")
+    run = _run(spark, root)
+    parsed = _staged(conversations, run, "parsed")
     new_conversations, new_messages = merge(parsed, read(spark, root, "conversations"), read(spark, root, "messages"))
-    counts = []
-    for name, rows in (("conversations", new_conversations), ("messages", new_messages)):
-        rows.write.parquet(f"{run}/{name}")
-        counts.append(spark.read.schema(SCHEMAS[name]).parquet(f"{run}/{name}"))
-    for name, rows in zip(("conversations", "messages"), counts, strict=True):
+    counts = [_staged(rows, run, name) for name, rows in (("conversations", new_conversations), ("messages", new_messages), ("bad_files", bad))]
+    for name, rows in zip(("conversations", "messages", "bad_files"), counts, strict=True):
         rows.write.mode("append").parquet(f"{root}/{name}")
-    return summary(parsed, counts[0], counts[1], bad)
+    done = summary(parsed, *counts)
+    if keep_staging:
+        return done
+    row = done.first()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.createDataFrame([tuple(row)], done.schema)
 
 
 def summary(parsed: DataFrame, new_conversations: DataFrame, new_messages: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row of counts and the list of files set aside. [AGG-4]"""
-    one = parsed.agg(F.count(F.lit(1)).alias("parsed"))
-    two = new_conversations.agg(F.count(F.lit(1)).alias("inserted_conversations"))
-    three = new_messages.agg(F.count(F.lit(1)).alias("inserted_messages"))
-    four = rejected.agg(F.sort_array(F.collect_set("source_path")).alias("skipped_files"))
-    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three)).crossJoin(F.broadcast(four))  # one row each
+    """One row of counts; which files were set aside, and why, is the archive's table bad_files. [AGG-4]"""
+    counts = [
+        rows.agg((F.countDistinct("source_path") if name == "skipped" else F.count(F.lit(1))).alias(name))
+        for name, rows in (("parsed", parsed), ("inserted_conversations", new_conversations), ("inserted_messages", new_messages), ("skipped", rejected))
+    ]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
 
 
 def merge_summaries(summaries: DataFrame) -> DataFrame:
     """Summaries of several imports as one. [SRC-6, AGG-4]"""
-    return summaries.agg(
-        F.sum("parsed").alias("parsed"), F.sum("inserted_conversations").alias("inserted_conversations"), F.sum("inserted_messages").alias("inserted_messages"), F.flatten(F.collect_list("skipped_files")).alias("skipped_files")
-    )
+    return summaries.agg(*[F.sum(c).alias(c) for c in ("parsed", "inserted_conversations", "inserted_messages", "skipped")])
+
+
+def save_reports(reports: DataFrame, root: str) -> DataFrame:
+    """Append reports to the archive's insight_reports, those whose id it has already left out, and give what was appended. [SNK-5]
+
+    A report's id is made of what went into it, so saving again after a failure adds nothing twice.
+    """
+    spark = reports.sparkSession
+    new = reports.select(*_names("insight_reports")).dropDuplicates(["id"]).join(read(spark, root, "insight_reports").select("id").hint("merge"), "id", "left_anti")
+    written = _staged(new, _run(spark, root), "insight_reports")
+    written.write.mode("append").parquet(f"{root}/insight_reports")
+    return written
+
+
+def report(spark: SparkSession, root: str, report_id: str) -> DataFrame:
+    """The saved report of an id, or no row. [FLT-6, INS-9]"""
+    return read(spark, root, "insight_reports").where(F.col("id") == report_id)
+
+
+def _run(spark: SparkSession, root: str) -> str:
+    return f"{root}/staging/{uuid.uuid4().hex}"
+
+
+def _staged(rows: DataFrame, run: str, name: str) -> DataFrame:
+    """rows, written to a folder of this run, so that tables of the archive are read before they grow and counted without being worked out again."""
+    rows.write.parquet(f"{run}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{run}/{name}")
 
 
 def selection_toggle(selected: DataFrame, toggled: DataFrame) -> DataFrame:
@@ -99,4 +132,4 @@ def latest(rows: DataFrame, by: str = "created_at", n: int | None = None) -> Dat
     return out if n is None else out.limit(n)
 
 
-__all__ = ["SCHEMAS", "first_of_each", "ingest", "latest", "merge", "merge_summaries", "read", "selection_toggle", "summary"]
+__all__ = ["SCHEMAS", "first_of_each", "ingest", "latest", "merge", "merge_summaries", "read", "report", "save_reports", "selection_toggle", "summary"]

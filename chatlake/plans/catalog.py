@@ -368,7 +368,7 @@ def upsert_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ingested_twice(spark: SparkSession, sf_dir: str, every_role: bool) -> DataFrame:
     files, root = _export_files(spark, sf_dir, every_role)
     runs = [store.ingest(spark, f"{root}/archive", files).withColumn("run", F.lit(k)) for k in (1, 2)]
-    return runs[0].unionByName(runs[1]).select("run", "parsed", "inserted_conversations", "inserted_messages", F.size("skipped_files").cast("long").alias("skipped"))
+    return runs[0].unionByName(runs[1]).select("run", "parsed", "inserted_conversations", "inserted_messages", "skipped")
 
 
 @_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, role, content FROM k")
@@ -385,7 +385,7 @@ def _imported_by_layout(spark: SparkSession, sf_dir: str, every_role: bool) -> D
     files, root = _export_files(spark, sf_dir, every_role)
     of_a = F.regexp_replace("source_path", "^broken/", "").startswith("a/")
     both = [store.ingest(spark, f"{root}/archive", files.where(part)) for part in (of_a, ~of_a)]
-    return store.merge_summaries(both[0].unionByName(both[1])).select("parsed", "inserted_conversations", "inserted_messages", F.size("skipped_files").cast("long").alias("skipped"))
+    return store.merge_summaries(both[0].unionByName(both[1])).select("parsed", "inserted_conversations", "inserted_messages", "skipped")
 
 
 #: All roles that a layout keeps: layout A has system and tool, layout B's rule drops them.
@@ -524,6 +524,31 @@ def reports_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(_reports(spark, sf_dir)[2], n=5).select("id", "title", F.to_json("selected_conversation_ids").alias("selected"))
 
 
+@_query(
+    f"""{_CITED}, r AS (SELECT report_id, '[' || string_agg('"' || conversation_id || '"', ',' ORDER BY ord) || ']' AS ids FROM s GROUP BY report_id)
+    SELECT substr(sha256(ids || chr(0) || 'stub' || chr(0) || 'echo' || chr(0) || '2024-06-01T00:00:00+00:00'), 1, 32) AS id, 'Report ' || report_id AS title, ids AS selected, 'stub' AS provider, 'echo' AS model,
+      strftime(TIMESTAMP '2024-01-01' + report_id % 50 * INTERVAL 1 DAY, '%Y-%m-%d') AS created_at FROM r"""
+)
+def reports_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports saved twice, read back and listed without their text; each has a date of its own."""
+    made = _reports(spark, sf_dir)[2]
+    number = F.element_at(F.split("title", " "), -1).cast("int")
+    dated = made.withColumn("created_at", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), number % 50), "yyyy-MM-dd"))
+    root = work_dir(spark)
+    for _ in range(2):
+        store.save_reports(dated, root)
+    return reports.summaries(store.latest(store.read(spark, root, "insight_reports"))).withColumn("selected", F.to_json("selected_conversation_ids")).drop("selected_conversation_ids")
+
+
+@_query(f"WITH {archive_sql()}, r AS (SELECT report_id, max(conv_id) AS top FROM (SELECT conv_id // 4 AS report_id, conv_id FROM c) GROUP BY report_id) SELECT report_id, strftime(TIMESTAMP '2024-01-01' + report_id * 7 % 50 * INTERVAL 1 DAY, '%Y-%m-%d') AS created_at FROM r ORDER BY created_at DESC, CAST(report_id AS VARCHAR) LIMIT 5")
+def reports_newest_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five newest of reports with different dates; ids of reports are their numbers here."""
+    c, _ = archive(spark, sf_dir)
+    number = F.floor(F.col("conv_id") / 4)
+    made = c.select(number.alias("report_id")).distinct().select("report_id", F.col("report_id").cast("string").alias("id"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("report_id") * 7 % 50).cast("int")), "yyyy-MM-dd").alias("created_at"))
+    return store.latest(made, n=5).select("report_id", "created_at")
+
+
 @_query(f"{_CITED} SELECT report_id, m.id AS message_id FROM s JOIN m USING (conversation_id)")
 def citations_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m, made = _reports(spark, sf_dir)

@@ -19,7 +19,7 @@ def ingest_stream(spark: SparkSession, folder: str, root: str, checkpoint: str,
     named = files.select(decoded_path(F.col("_metadata.file_path")).alias("source_path"), "value")
 
     def batch(rows: DataFrame, _: int) -> None:
-        store.ingest(rows.sparkSession, root, rows)
+        store.ingest(rows.sparkSession, root, rows, keep_staging=False)
 
     writer = named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import sqlite3
 import zipfile
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chatlake.functions import text as T
-from chatlake.operators import normalize, reports, search, store
+from chatlake.operators import export, normalize, reports, search, store
 from chatlake.plans import catalog
 from chatlake.plans.adapters import archive
 from chatlake.sources import exports
@@ -102,7 +103,14 @@ def test_sources_store_and_stream(spark, tmp_path):
         exports.read_exports(spark, "x.txt")
     root = str(tmp_path / "archive")
     first, again = store.ingest(spark, root, files, rejected).first(), store.ingest(spark, root, files).first()
-    assert tuple(first)[:3] == (3, 2, 4) and len(first["skipped_files"]) == 1 and tuple(again)[:3] == (3, 0, 0)
+    assert tuple(first) == (3, 2, 4, 1) and tuple(again) == (3, 0, 0, 0)
+    assert [r["reason"] for r in store.read(spark, root, "bad_files").collect()] == ["Unsafe zip entry"]
+    flat = exports.read_folder(spark, str(tmp_path / "in put+1"), recursive=False)
+    assert [r[0].rpartition("/")[2] for r in flat.collect()] == ["b.json"]
+    one = exports.read_exports(spark, str(tmp_path / "in put+1" / "b.json"))[0]
+    assert [json.loads(r["value"]) for r in one.collect()] == [FLAT]
+    keys = exports.read_zips(spark, str(tmp_path / "good.zip")).select("archive_key").distinct().collect()
+    assert [r[0] for r in keys] == [hashlib.sha256((tmp_path / "good.zip").read_bytes()).hexdigest()[:12]]
     longer = json.loads(json.dumps(FLAT))
     longer["chat_messages"].append({"sender": "human", "text": "more"})
     assert tuple(store.ingest(spark, root, _files(spark, {"z": longer})).first())[:3] == (1, 0, 1)
@@ -170,6 +178,21 @@ def test_outline(spark):
     assert [(r["heading_id"], r["level"]) for r in got] == [("first-part", 1), ("둘째-부분", 2), ("first-part-2", 3), ("section", 2), ("caf\u00e9", 2), ("report-top", 1)]
 
 
+def test_reports_are_saved_and_written(spark, tmp_path):
+    rows = [("r1", "A/b", ["c2", "c1"], "p", "m", "# One\n", "2024-01-02"), ("r2", "A/b ", ["c1"], "p", "m", None, "2024-01-03")]
+    made = spark.createDataFrame(rows, store.SCHEMAS["insight_reports"])
+    root = str(tmp_path / "archive")
+    assert [store.save_reports(made.where("id = 'r1'"), root).count(), store.save_reports(made, root).count(), store.save_reports(made.limit(0), root).count()] == [1, 1, 0]
+    assert [r["id"] for r in store.latest(store.read(spark, root, "insight_reports")).collect()] == ["r2", "r1"]
+    assert tuple(store.report(spark, root, "r1").first()) == rows[0] and store.report(spark, root, "zz").count() == 0
+    assert "markdown" not in reports.summaries(made).columns
+    export.write_files(export.report_files(made.withColumn("title", F.concat("id", F.lit(": x")))), str(tmp_path / "out"))
+    assert {x.name: x.read_text() for x in (tmp_path / "out").iterdir()} == {"r1- x.md": "# One\n", "r2- x.md": ""}
+    c, m = archive(spark, SF)
+    export.write_files(export.conversation_markdown(c, m), str(tmp_path / "md"))
+    assert {x.name: x.read_text() for x in (tmp_path / "md").iterdir()} == {r["file_name"]: r["markdown"] for r in export.conversation_markdown(c, m).collect()}
+
+
 def test_saved_index_takes_each_message_once(spark, tmp_path):
     c = spark.createDataFrame([("c", "chatgpt", "One\\two title", "2024")], "id string, source string, title string, created_at string")
     m = spark.createDataFrame([(f"c:{k}", "c", k, "user", t, None) for k, t in enumerate(["river bank", "bank", "other"])], "id string, conversation_id string, message_index int, role string, content string, timestamp string")
