@@ -1,4 +1,4 @@
-"""Exports in two vendor layouts to conversations with messages. Column expressions only. [NRM-1..13, UDF-1]
+"""Exports in two vendor layouts to conversations with messages. Column expressions, but for the walk along a branch, each step of which depends on the one before. [NRM-1..13, UDF-1]
 
 Layout A is a list of conversations whose messages form a tree (`mapping`); layout B is a list, or one conversation, of flat
 `chat_messages`. A file is taken as a whole: if one conversation in it is not valid, the file is set aside with a reason.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,23 +46,38 @@ def iso_time(seconds: Column) -> Column:
     return F.when(seconds != 0, F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00")))
 
 
-def _tree_messages(c: Column, v: Column) -> tuple[Column, Column]:
-    """(messages, problem) of a layout A conversation. [NRM-4..7]"""
-    nodes = F.from_json(F.get_json_object(c, "$.mapping"), NODES)
-    roots = F.filter(F.map_entries(nodes), lambda e: F.coalesce(e["value"]["parent"], F.lit("")) == "")
-    walk = F.when(F.size(roots) > 0, F.array(roots[0]["key"])).otherwise(F.array().cast("array<string>"))
+def _walk(keys: pd.Series, parents: pd.Series, children: pd.Series) -> pd.DataFrame:
+    """Places of the nodes from the first root by each last child, in one pass over each tree; the last of equal keys counts. A node that comes again ends the walk. [NRM-4, NRM-5]"""
+    out = []
+    for names, above, below in zip(keys, parents, children, strict=True):
+        if names is None:
+            out.append(([], False))
+            continue
+        place = {k: i for i, k in enumerate(names)}
+        at = next((place[k] for k, p in zip(names, above, strict=True) if not p), None)
+        path, seen = [], set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            path.append(at)
+            at = place.get(below[at]) if below[at] is not None else None
+        out.append((path, at is not None))
+    return pd.DataFrame(out, columns=["path", "cycle"])
+
+
+def _tree_parts(rows: DataFrame) -> DataFrame:
+    """rows with _raw, the parsed messages of the branch, and _cycle: each in a step of its own, so that mapping and messages are parsed once."""
+    nodes = rows.withColumn("_nodes", F.map_entries(F.from_json(F.get_json_object("c", "$.mapping"), NODES)))
+    last = F.transform("_nodes", lambda e: F.try_element_at(e["value"]["children"], F.lit(-1)))
+    walked = nodes.withColumn("_w", F.pandas_udf(_walk, "path array<int>, cycle boolean")(F.transform("_nodes", lambda e: e["key"]), F.transform("_nodes", lambda e: e["value"]["parent"]), last))
+    raw = F.filter(F.transform("_w.path", lambda i: F.col("_nodes")[i]["value"]["message"]), lambda m: m.isNotNull())
+    return walked.withColumn("_raw", F.transform(raw, F.try_parse_json)).withColumn("_cycle", F.col("_w.cycle")).drop("_nodes", "_w")
 
-    def step(path: Column, _: Column) -> Column:
-        following = F.try_element_at(F.try_element_at(nodes, F.try_element_at(path, F.lit(-1)))["children"], F.lit(-1))
-        go = following.isNotNull() & F.map_contains_key(nodes, following) & (F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")) != "\0")
-        # A node that comes again would go on for ever: a mark ends the walk and condemns the file.
-        return F.when(F.coalesce(go, F.lit(False)), F.concat(path, F.array(F.when(F.array_contains(path, following), F.lit("\0")).otherwise(following)))).otherwise(path)
 
-    path = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1))), walk, step)
-    raw = F.filter(F.transform(path, lambda k: F.try_element_at(nodes, k)["message"]), lambda m: m.isNotNull())
+def _tree_messages(c: Column, v: Column) -> tuple[Column, Column]:
+    """(messages, problem) of a layout A conversation with its _tree_parts(). [NRM-6, NRM-7]"""
+    raw = F.col("_raw")
 
-    def message(m: Column) -> Column:
-        mv = F.try_parse_json(m)
+    def message(mv: Column) -> Column:
         parts = F.try_variant_get(mv, "$.content.parts", "array<variant>")
         texts = F.transform(parts, lambda p: F.when(_kind(p) == "STRING", F.try_variant_get(p, "$", "string")).when(_kind(p).startswith("OBJECT"), F.nullif(_text(p, "$.text"), F.lit(""))))
         content = F.array_join(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: t.isNotNull()), "\n")
@@ -69,12 +85,9 @@ def _tree_messages(c: Column, v: Column) -> tuple[Column, Column]:
 
     kept = F.filter(F.transform(raw, message), lambda x: x["role"].isin("user", "assistant", "system", "tool") & _has_text(x["content"]))
     bad = F.exists(
-        raw,
-        lambda m: (_kind(_at(F.try_parse_json(m), "$.author")) == "VOID")
-        | F.coalesce(_kind(_at(F.try_parse_json(m), "$.content")) == "VOID", F.lit(False))
-        | F.coalesce(_kind(_at(F.try_parse_json(m), "$.content.parts")) == "VOID", F.lit(False)),
+        raw, lambda m: (_kind(_at(m, "$.author")) == "VOID") | F.coalesce(_kind(_at(m, "$.content")) == "VOID", F.lit(False)) | F.coalesce(_kind(_at(m, "$.content.parts")) == "VOID", F.lit(False))
     )
-    problem = F.when(F.array_contains(path, "\0"), "cycle in mapping").when(F.coalesce(bad, F.lit(False)), "null author, content or parts")
+    problem = F.when(F.col("_cycle"), "cycle in mapping").when(F.coalesce(bad, F.lit(False)), "null author, content or parts")
     return kept, problem
 
 
@@ -114,6 +127,8 @@ class Layout:
     body: str
     messages: Callable[[Column, Column], tuple[Column, Column]]
     problem: Callable[[Column], Column]
+    #: Adds columns that messages() reads, to rows with c and v.
+    parts: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
 
 def _is_list(v: Column) -> Column:
@@ -130,6 +145,7 @@ TREE = Layout(
     "mapping",
     _tree_messages,
     lambda v: F.lit(None).cast("string"),
+    _tree_parts,
 )
 FLAT = Layout(
     "claude",
@@ -168,7 +184,7 @@ def normalize(files: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[
         one = F.when(_is_list(F.col("v")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
         # One huge file is one row up to here; its conversations are dealt to all tasks.
         rows = sniffed.where(F.col("layout") == k).select("source_path", F.posexplode(one).alias("position", "c")).repartition(F.col("source_path"), F.col("position")).withColumn("v", F.try_parse_json("c"))
-        v = F.col("v")
+        rows, v = layout.parts(rows), F.col("v")
         messages, problem = layout.messages(F.col("c"), v)
         held = rows.select(
             "source_path", "position", _kind(v).startswith("OBJECT").alias("is_object"), layout.title(v).alias("title"), layout.title_kind(v).alias("title_kind"), layout.created_at(v).alias("created_at"),
@@ -180,12 +196,13 @@ def normalize(files: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[
             "reason",
             F.when(~F.coalesce("is_object", F.lit(False)), "list element is no object").when(F.col("no_body"), None).when(F.coalesce(F.col("title_kind") != "STRING", F.lit(False)), "title is no string")
             .otherwise(F.coalesce("p0", "p1")),
-        ).withColumn("empty", empty)
-        wrong = judged.where("reason is not null").groupBy("source_path").agg(F.min("reason").alias("reason"))
+        ).withColumn("empty", empty).withColumn("_row", F.monotonically_increasing_id())
+        # A condition that names _row stays above the expressions: below, they would be worked out again for the test.
+        wrong = judged.where("reason is not null and _row >= 0").groupBy("source_path").agg(F.min("reason").alias("reason"))
         bad.append(wrong)
         source = F.lit(layout.source)
         good.append(
-            judged.where("reason is null and not empty").join(wrong.hint("merge"), "source_path", "left_anti")
+            judged.where("reason is null and not empty and _row >= 0").join(wrong.hint("merge"), "source_path", "left_anti")
             .select(conversation_id(source, F.col("title"), F.col("created_at")).alias("id"), source.alias("source"), "title", "created_at", "updated_at", F.size("messages").alias("raw_message_count"), "source_path", "messages", "position")
         )
     conversations, rejected = good[0], bad[0]

@@ -84,6 +84,14 @@ def test_layouts_and_quarantine(spark):
     assert {r[0]: r[1] for r in rejected.collect()} == {"c": "not valid JSON", "e": "title is no string", "f": "unknown layout", "g": "cycle in mapping", "h": "created_at is no string"}
 
 
+def test_walk_of_odd_trees(spark):
+    two_roots = [_tree("Two roots", {"x": _node("gone", [], "no"), "a": _node("", ["b"], "first"), "b": _node("a", ["c", "d"], "x"), "c": _node("b", [], "lost"), "d": _node("b", [], "last"), "r": _node(None, [], "second root")})]
+    rootless = [_tree("Rootless", {"a": _node("b", ["b"], "x"), "b": _node("a", ["a"], "y")})]
+    deep = [_tree("Deep", {f"n{k}": _node(f"n{k - 1}" if k else None, [f"n{k + 1}"] if k < 2999 else [], f"t{k}") for k in range(3000)})]
+    got = {r["title"]: [m["content"] for m in r["messages"]] for r in normalize.normalize(_files(spark, {"a": two_roots, "b": rootless, "c": deep}))[0].collect()}
+    assert got == {"Two roots": ["first", "x", "last"], "Deep": [f"t{k}" for k in range(3000)]}
+
+
 def test_sources_store_and_stream(spark, tmp_path):
     folder = tmp_path / "in put+1" / "nested"
     folder.mkdir(parents=True)
