@@ -384,18 +384,18 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     same text on one host are taken for copies, not for a template. Columns other than the three named are ignored.
 
     Hosts with over busy_share of all pages (at most 1 / busy_share of them, so the table of them that is broadcast is bounded)
-    are dealt over salts, so no task gets more than a few blocks of one host at the least.
+    are dealt over salts of about BLOCK pages each, whatever the table's size.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
     limit = max(BLOCK, int(rows.count() * busy_share))
-    busy = rows.groupBy("_host").count().where(F.col("count") > limit).select("_host", F.ceil(F.col("count") / limit).alias("_salts"))
+    busy = rows.groupBy("_host").count().where(F.col("count") > limit).select("_host", F.ceil(F.col("count") / BLOCK).alias("_salts"))
     order = F.xxhash64(F.col("_id").cast("string"), F.col("_url"), F.lit(11))
     dealt = (
         rows.join(F.broadcast(busy), "_host", "left")
         .withColumn("_salt", F.pmod(order, F.coalesce("_salts", F.lit(1))))
         .withColumn("_order", order).drop("_salts")
     )
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 3 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tasks, as a salt is dealt whole
     kind = dict(pages.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
