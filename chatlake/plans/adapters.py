@@ -56,7 +56,7 @@ def documents_archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def exports_of(conversations: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The archive as export files (source, value) of both layouts, with a root node, decoy branches and mixed parts, and (file, reason) of broken ones."""
+    """The archive as conversations (id, value) of export files of both layouts, the first with a root node and decoy branches."""
     turns = messages.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("message_index", "role", "content"))).alias("t"))
     c = conversations.join(turns.hint("merge"), conversations["id"] == turns["conversation_id"])
     n = F.size("t")
@@ -77,7 +77,7 @@ def exports_of(conversations: DataFrame, messages: DataFrame) -> tuple[DataFrame
     )
     seconds = (F.unix_timestamp(F.expr("timestamp_ntz'2024-01-01 00:00:00'")) + F.col("conv_id") * 3600).cast("string")
     title = F.regexp_extract(F.to_json(F.struct(F.col("title").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
-    tree = F.concat(F.lit('[{"title":'), title, F.lit(',"create_time":'), seconds, F.lit(',"mapping":'), entries, F.lit("}]"))
+    tree = F.concat(F.lit('{"title":'), title, F.lit(',"create_time":'), seconds, F.lit(',"mapping":'), entries, F.lit("}"))
     flat = F.to_json(
         F.struct(
             F.col("title").alias("name"), F.col("created_at"),

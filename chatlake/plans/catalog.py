@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -276,15 +274,8 @@ def conversation_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.detail(c, m, last).drop("timestamp")
 
 
-@_query(f"WITH {archive_sql()}, t AS (SELECT conversation_id, message_index AS target_index FROM m WHERE message_index % 3 = 1) SELECT m.id, target_index FROM t JOIN m ON m.conversation_id = t.conversation_id AND abs(m.message_index - target_index) <= 2")
-def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = archive(spark, sf_dir)[1]
-    return stats.context_window(m, m.where("message_index % 3 = 1").select("conversation_id", "message_index")).select("id", "target_index")
-
-
 @_query(f"WITH {archive_sql()} SELECT m.id, t.message_index AS target_index FROM m AS t JOIN m ON m.conversation_id = t.conversation_id AND abs(m.message_index - t.message_index) <= 2")
-def context_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of all messages; context_window has those of every third."""
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = archive(spark, sf_dir)[1]
     return stats.context_window(m, m.select("conversation_id", "message_index")).select("id", "target_index")
 
@@ -292,51 +283,42 @@ def context_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ingest
 
 
-def _write_exports(spark: SparkSession, sf_dir: str, every_role: bool) -> str:
-    """Export files of the conversations table, one .json file each, in a fresh shared folder's exports/a, exports/b and exports/broken; the folder.
+#: Conversations of an export file, on average.
+PER_FILE = 100
+
 
-    Spark's text writer names its files itself, so each goes to a folder of its own and is renamed in the folder's own store.
-    """
+def _write_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Export files of the conversations table in a fresh shared folder's exports/a and exports/b, about PER_FILE conversations each, and a broken file for every conversation whose id ends in 0 in exports/broken; the folder."""
     c, m = archive(spark, sf_dir)
-    tree, flat = exports_of(c, m if every_role else m.where("role <> 'system'"))
+    tree, flat = exports_of(c, m)
     root = work_dir(spark)
-    files = tree.select(F.lit("a").alias("kind"), "id", "value").unionByName(flat.select(F.lit("b").alias("kind"), "id", "value"))
-    broken = files.where("id like '%0'").select(F.concat(F.lit("broken/"), "kind").alias("kind"), "id", F.expr("substring(value, 1, length(value) - 3)").alias("value"))
-    files.unionByName(broken).select("value", F.concat_ws("/", "kind", "id").alias("name")).write.partitionBy("name").text(f"{root}/written")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    store_of = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for kind in ("a", "b", "broken/a", "broken/b"):
-        store_of.mkdirs(path(f"{root}/exports/{kind}"))
-
-    def rename(folder: str) -> None:
-        name = unquote(folder.rpartition("name=")[2])
-        parts = [x.getPath() for x in store_of.listStatus(path(folder)) if x.getPath().getName().startswith("part-")]
-        if len(parts) != 1 or not store_of.rename(parts[0], path(f"{root}/exports/{name}.json")):
-            raise OSError(f"{folder} holds {len(parts)} files or could not be renamed")
-
-    folders = [x.getPath().toString() for x in store_of.listStatus(path(f"{root}/written")) if x.isDirectory()]
-    with ThreadPoolExecutor(8) as pool:
-        list(pool.map(rename, folders))
+    tree.select(F.lit("a").alias("kind"), "id", "value").unionByName(flat.select(F.lit("b").alias("kind"), "id", "value")).write.parquet(f"{root}/made")
+    made = spark.read.parquet(f"{root}/made")
+    n = made.count() // (2 * PER_FILE) + 1
+    lists = made.groupBy("kind", F.pmod(F.xxhash64("id"), F.lit(n)).alias("k")).agg(F.array_sort(F.collect_list("value")).alias("v"))
+    # Layout B also has files of one conversation that is in no list.
+    alone = (F.col("kind") == "b") & (F.size("v") == 1)
+    files = lists.select("kind", F.concat(F.lit("part-"), F.col("k").cast("string"), F.lit(".json")).alias("file_name"), F.when(alone, F.col("v")[0]).otherwise(F.concat(F.lit("["), F.array_join("v", ","), F.lit("]"))).alias("markdown"))
+    broken = made.where("id like '%0'").select("kind", F.concat("id", F.lit(".json")).alias("file_name"), F.expr("substring(value, 1, length(value) - 3)").alias("markdown"))
+    for kind in ("a", "b"):
+        export.write_files(files.where(F.col("kind") == kind), f"{root}/exports/{kind}")
+        export.write_files(broken.where(F.col("kind") == kind), f"{root}/exports/broken/{kind}")
     return root
 
 
-def _streamed(spark: SparkSession, sf_dir: str, every_role: bool) -> DataFrame:
-    root = _write_exports(spark, sf_dir, every_role)
-    ingest_stream(spark, f"{root}/exports", f"{root}/streamed", f"{root}/cp").awaitTermination()
-    return store.read(spark, f"{root}/streamed", "messages").select("id", "role", "content")
-
-
 def _relative(files: DataFrame) -> DataFrame:
     return files.withColumn("source_path", F.regexp_replace("source_path", "^.*/exports/", ""))
 
 
-def _export_files(spark: SparkSession, sf_dir: str, every_role: bool = False) -> tuple[DataFrame, str]:
+def _export_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The export files as read_exports() reads them, with paths below exports/, and the folder."""
-    root = _write_exports(spark, sf_dir, every_role)
+    root = _write_exports(spark, sf_dir)
     return _relative(read_exports(spark, f"{root}/exports")[0]), root
 
 
-_KEPT = "SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content FROM m WHERE role <> 'system' AND regexp_matches(content, '[^\\s]')"
+#: All roles that a layout keeps: layout A has system and tool, layout B's rule drops them.
+_KEPT = "SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content FROM m JOIN c ON c.id = m.conversation_id WHERE CASE WHEN source = 'chatgpt' THEN role IN ('user', 'assistant', 'system', 'tool') ELSE role IN ('user', 'assistant') END AND regexp_matches(content, '[^\\s]')"
+_COUNTS = f"WITH {archive_sql()}, k AS ({_KEPT}), n AS (SELECT count(DISTINCT conversation_id) AS cs, count(*) AS ms FROM k), b AS (SELECT count(*) AS bad FROM c WHERE id LIKE '%0')"
 
 
 @_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, conversation_id, message_index, role, content FROM k")
@@ -357,70 +339,28 @@ def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(files)[1]
 
 
-_COUNTS = f"WITH {archive_sql()}, k AS ({_KEPT}), n AS (SELECT count(DISTINCT conversation_id) AS cs, count(*) AS ms FROM k), b AS (SELECT count(*) AS bad FROM c WHERE id LIKE '%0')"
-
-
 @_query(f"{_COUNTS} SELECT 1 AS run, cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b UNION ALL SELECT 2, cs, 0, 0, bad FROM n, b")
 def upsert_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingested_twice(spark, sf_dir, False)
-
-
-def _ingested_twice(spark: SparkSession, sf_dir: str, every_role: bool) -> DataFrame:
-    files, root = _export_files(spark, sf_dir, every_role)
+    files, root = _export_files(spark, sf_dir)
     runs = [store.ingest(spark, f"{root}/archive", files).withColumn("run", F.lit(k)) for k in (1, 2)]
     return runs[0].unionByName(runs[1]).select("run", "parsed", "inserted_conversations", "inserted_messages", "skipped")
 
 
 @_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, role, content FROM k")
 def ingest_stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, False)
+    root = _write_exports(spark, sf_dir)
+    ingest_stream(spark, f"{root}/exports", f"{root}/streamed", f"{root}/cp").awaitTermination()
+    return store.read(spark, f"{root}/streamed", "messages").select("id", "role", "content")
 
 
 @_query(f"{_COUNTS} SELECT cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b")
 def import_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _imported_by_layout(spark, sf_dir, False)
-
-
-def _imported_by_layout(spark: SparkSession, sf_dir: str, every_role: bool) -> DataFrame:
-    files, root = _export_files(spark, sf_dir, every_role)
+    files, root = _export_files(spark, sf_dir)
     of_a = F.regexp_replace("source_path", "^broken/", "").startswith("a/")
     both = [store.ingest(spark, f"{root}/archive", files.where(part)) for part in (of_a, ~of_a)]
     return store.merge_summaries(both[0].unionByName(both[1])).select("parsed", "inserted_conversations", "inserted_messages", "skipped")
 
 
-#: All roles that a layout keeps: layout A has system and tool, layout B's rule drops them.
-_KEPT_WHOLE = "SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content FROM m JOIN c ON c.id = m.conversation_id WHERE CASE WHEN source = 'chatgpt' THEN role IN ('user', 'assistant', 'system', 'tool') ELSE role IN ('user', 'assistant') END AND regexp_matches(content, '[^\\s]')"
-_COUNTS_WHOLE = f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}), n AS (SELECT count(DISTINCT conversation_id) AS cs, count(*) AS ms FROM k), b AS (SELECT count(*) AS bad FROM c WHERE id LIKE '%0')"
-
-
-@_query(f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}) SELECT conversation_id || ':' || message_index AS id, conversation_id, message_index, role, content FROM k")
-def ingest_messages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of export files with all roles; the queries without _whole have files without system messages."""
-    files, _ = _export_files(spark, sf_dir, every_role=True)
-    return normalize.explode_messages(normalize.normalize(files)[0]).select("id", "conversation_id", "message_index", "role", "content")
-
-
-@_query(f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}) SELECT c.id, source, title, created_at, CAST(count(*) AS INTEGER) AS raw_message_count FROM k JOIN c ON c.id = k.conversation_id GROUP BY ALL")
-def ingest_conversations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, _ = _export_files(spark, sf_dir, every_role=True)
-    return normalize.normalize(files)[0].select("id", "source", "title", "created_at", "raw_message_count")
-
-
-@_query(f"{_COUNTS_WHOLE} SELECT 1 AS run, cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b UNION ALL SELECT 2, cs, 0, 0, bad FROM n, b")
-def upsert_idempotent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingested_twice(spark, sf_dir, True)
-
-
-@_query(f"WITH {archive_sql()}, k AS ({_KEPT_WHOLE}) SELECT conversation_id || ':' || message_index AS id, role, content FROM k")
-def ingest_stream_archive_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, True)
-
-
-@_query(f"{_COUNTS_WHOLE} SELECT cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b")
-def import_summaries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _imported_by_layout(spark, sf_dir, True)
-
-
 @_query(f"WITH {archive_sql()}, a AS (SELECT id FROM c WHERE conv_id % 4 < 2), b AS (SELECT id FROM c WHERE conv_id % 4 IN (1, 2)) (SELECT id FROM a EXCEPT SELECT id FROM b) UNION (SELECT id FROM b EXCEPT SELECT id FROM a)")
 def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = archive(spark, sf_dir)[0]
@@ -563,14 +503,6 @@ def report_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.report_sources(named, c).select("report_id", "ord", "conversation_id", "title", "source")
 
 
-@_query(f"{_CITED}, h AS (SELECT unnest(range(7)) AS k) SELECT report_id, k AS place, CASE WHEN language = 'ko' AND k > 0 THEN 'ko' ELSE 'en' END AS script FROM (SELECT report_id, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM (SELECT * FROM (WITH {_VOTE} SELECT * FROM v))), h")
-def report_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _reports(spark, sf_dir)[2].withColumn("id", F.element_at(F.split("title", " "), -1).cast("long"))
-    found = reports.outline(made)
-    place = (F.row_number().over(Window.partitionBy("report_id").orderBy("line")) - 1).cast("long")
-    return found.withColumn("place", place).where("place < 7").select("report_id", "place", F.when(F.col("text").rlike("[가-힣]"), "ko").otherwise("en").alias("script"))
-
-
 _LANGUAGE = "l AS (SELECT report_id, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM v)"
 _HEADINGS = ", ".join(f"('{code}', {k + (code == 'ko')}, '{name}')" for code, names in reports.SECTIONS.items() for k, name in enumerate(names)) + ", ('ko', 0, 'Overview')"
 
@@ -579,8 +511,7 @@ _HEADINGS = ", ".join(f"('{code}', {k + (code == 'ko')}, '{name}')" for code, na
     f"""{_CITED}, {_VOTE}, {_LANGUAGE}, h(language, place, text) AS (VALUES {_HEADINGS})
     SELECT report_id, CAST(4 * place AS INTEGER) AS line, 2 AS level, text, regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g') AS heading_id FROM l JOIN h USING (language)"""
 )
-def report_outline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All headings of each report, as the operator gives them; report_outline shows the first seven."""
+def report_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _reports(spark, sf_dir)[2].withColumn("id", F.element_at(F.split("title", " "), -1).cast("long"))
     return reports.outline(made)
 

@@ -220,26 +220,26 @@ def test_saved_index_takes_each_message_once(spark, tmp_path):
     assert search.best_window(long, [["hit"]]).count("[hit]") > 0
 
 
-def test_whole_outline(spark):
+def test_outline_has_every_heading(spark):
     made = catalog._reports(spark, SF)[2].select("title", "markdown").collect()
     want = {(int(r["title"].split()[-1]), k, x.removeprefix("## ")) for r in made for k, x in enumerate(r["markdown"].split("\n")) if x.startswith("## ")}
-    got = {(r["report_id"], r["line"], r["text"]) for r in catalog.queries()["report_outline_whole"](spark, SF).collect()}
+    got = {(r["report_id"], r["line"], r["text"]) for r in catalog.queries()["report_outline"](spark, SF).collect()}
     assert got == want and max(sum(r == i for r, _, _ in got) for i in {r for r, _, _ in got}) == 8
 
 
 def test_every_message_has_its_window(spark):
     m = archive(spark, SF)[1].select("id", "conversation_id", "message_index").collect()
     want = {(y["id"], x["conversation_id"], x["message_index"]) for x in m for y in m if x["conversation_id"] == y["conversation_id"] and abs(x["message_index"] - y["message_index"]) <= 2}
-    got = [(r["id"], r["id"].split(":")[0], r["target_index"]) for r in catalog.queries()["context_window_whole"](spark, SF).collect()]
+    got = [(r["id"], r["id"].split(":")[0], r["target_index"]) for r in catalog.queries()["context_window"](spark, SF).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
-def test_whole_ingest_reads_system_messages_from_json_files(spark):
-    files, root = catalog._export_files(spark, SF, every_role=True)
+def test_ingest_reads_system_messages_from_json_files(spark):
+    files, root = catalog._export_files(spark, SF)
     names = [r["source_path"] for r in files.select("source_path").collect()]
     assert names and len(set(names)) == len(names) and all(n.endswith(".json") and n.split("/")[-2] in "ab" for n in names)
     assert any('"sender":"system"' in r["value"] for r in files.where("source_path like 'b/%'").collect())
     c, m = archive(spark, SF)
     want = m.where("role = 'system'").join(c.where("source = 'chatgpt'").select(F.col("id").alias("conversation_id")), "conversation_id").count()
-    got = catalog.queries()["ingest_messages_whole"](spark, SF).where("role = 'system'")
+    got = catalog.queries()["ingest_messages"](spark, SF).where("role = 'system'")
     assert got.count() == want > 0
