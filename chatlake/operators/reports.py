@@ -23,6 +23,12 @@ FALLBACK = {"en": "_Not provided._", "ko": "_제공되지 않음._"}
 MAX_MESSAGE, HEAD, TAIL = 12_000, 8_000, 4_000
 OMITTED = "\n\n[...middle of long message omitted for a faster focused synthesis...]\n\n"
 MIN_CHUNK, PARTIAL_TOKENS, REPORT_TOKENS = 10_000, 1800, 3200
+#: What prompts say around sections and sources.
+ROLE = "You write a report on a user's archived conversations, in "
+LANGUAGES = {"en": "English", "ko": "Korean"}
+RULES = "\nCite every claim as [conversation_id#mIndex], only with references that the sources carry. Compare the conversations with each other, say where they agree, differ or leave gaps, and mark what is your own inference. Keep it short and easy to scan.\n"
+ASK_WHOLE = {"en": "Write the report from these conversations, with a source for each claim.\n\n", "ko": "다음 대화로 근거를 밝힌 보고서를 쓰세요.\n\n"}
+ASK_PART = {"en": "Note its findings with their source references unchanged.\n\n", "ko": "출처 표기를 그대로 두고 발견한 내용을 적으세요.\n\n"}
 
 
 def selections(reports: DataFrame, ids_col: str = "selected_conversation_ids") -> DataFrame:
@@ -128,18 +134,17 @@ def _by_language(language: Column, en: str, ko: str) -> Column:
 def system_prompt(language: Column) -> Column:
     """What the generator is told about the report's form. [INS-6]"""
     lists = {k: "\n".join(f"## {s}" for s in v) for k, v in SECTIONS.items()}
-    rules = "\nCite every claim as [conversation_id#mIndex], only with references that the sources carry. Compare the conversations with each other, say where they agree, differ or leave gaps, and mark what is your own inference. Keep it short and easy to scan.\n"
-    return F.concat(F.lit("You write a report on a user's archived conversations, in "), _by_language(language, "English", "Korean"), F.lit(". Its H2 sections are exactly:\n"), _by_language(language, lists["en"], lists["ko"]), F.lit(rules))
+    return F.concat(F.lit(ROLE), _by_language(language, **LANGUAGES), F.lit(". Its H2 sections are exactly:\n"), _by_language(language, **lists), F.lit(RULES))
 
 
 def chunk_prompts(chunks: DataFrame, langs: DataFrame) -> DataFrame:
     """(report_id, chunk, n_chunks, language, system, prompt, max_tokens): a final prompt for a report of one chunk, else one for each chunk. [INS-6, INS-7]"""
     lang = F.col("language")
     rows = chunks.join(langs.select("report_id", "language").hint("merge"), "report_id")
-    whole = F.concat(_by_language(lang, "Write the report from these conversations, with a source for each claim.\n\n", "다음 대화로 근거를 밝힌 보고서를 쓰세요.\n\n"), F.col("text"), F.lit("\n"))
+    whole = F.concat(_by_language(lang, **ASK_WHOLE), F.col("text"), F.lit("\n"))
     part = F.concat(
         F.lit("Source group "), F.col("chunk").cast("string"), F.lit(" of "), F.col("n_chunks").cast("string"), F.lit(". "),
-        _by_language(lang, "Note its findings with their source references unchanged.\n\n", "출처 표기를 그대로 두고 발견한 내용을 적으세요.\n\n"), F.col("text"), F.lit("\n"),
+        _by_language(lang, **ASK_PART), F.col("text"), F.lit("\n"),
     )
     return rows.select("report_id", "chunk", "n_chunks", "language", system_prompt(lang).alias("system"), F.when(F.col("n_chunks") == 1, whole).otherwise(part).alias("prompt"), F.when(F.col("n_chunks") == 1, REPORT_TOKENS).otherwise(PARTIAL_TOKENS).alias("max_tokens"))
 

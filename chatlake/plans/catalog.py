@@ -419,12 +419,53 @@ def format_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.documents(_inputs(spark, sf_dir)[3]).select("report_id", "ord", F.sha2("document", 256).alias("digest"), F.length("document").cast("long").alias("n"))
 
 
-@_query()
+def _next_fit_sql(name: str, extra: int, most: int = 10_000) -> str:
+    """The table `name` (g, k, n) of sizes in order, k from 1, walked one item of each group after another: `name`_at has the slot of each."""
+    over, full = f"n > {most}", f"open AND filled + n + {extra} > {most}"
+    return f"""{name}_at AS (
+      SELECT g, 0::BIGINT AS k, 0::BIGINT AS at_slot, 0::BIGINT AS slot, 0::BIGINT AS filled, false AS open FROM (SELECT DISTINCT g FROM {name})
+      UNION ALL SELECT w.g, w.k + 1, slot + CASE WHEN {over} THEN open::BIGINT WHEN {full} THEN 1 ELSE 0 END,
+        slot + CASE WHEN {over} THEN open::BIGINT + (n + {most - 1}) // {most} WHEN {full} THEN 1 ELSE 0 END,
+        CASE WHEN {over} THEN 0 WHEN {full} THEN n + {extra} ELSE filled + n + {extra} END, n <= {most}
+      FROM {name}_at AS w JOIN {name} AS x ON x.g = w.g AND x.k = w.k + 1
+    )"""
+
+
+_CHUNKS = f"""WITH RECURSIVE {archive_sql(True)}, s AS ({_SELECT}), {_DOCS},
+    f AS MATERIALIZED (SELECT report_id AS g, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS k, length(document) AS n, ord, document FROM docs), {_next_fit_sql("f", 0)},
+    lines AS MATERIALIZED (SELECT g || '/' || ord AS g, g AS report_id, ord, unnest(range(1, len(bs) + 1)) AS k, unnest(bs) AS b FROM (SELECT *, string_split(document, chr(10) || chr(10)) AS bs FROM f WHERE n > 10000)),
+    e AS MATERIALIZED (SELECT *, length(b) AS n FROM lines), {_next_fit_sql("e", 2)},
+    parts AS (
+      SELECT g AS report_id, at_slot AS slot, 0 AS piece, ord, 0 AS pos, document AS part FROM f JOIN f_at USING (g, k) WHERE n <= 10000
+      UNION ALL SELECT e.report_id, f_at.at_slot, e_at.at_slot + i, e.ord, e.k, substr(b, i * 10000 + 1, 10000)
+      FROM (SELECT *, unnest(range(0, greatest(1, (n + 9999) // 10000))) AS i FROM e) AS e JOIN e_at USING (g, k) JOIN f ON f.g = e.report_id AND f.ord = e.ord JOIN f_at ON f_at.g = f.g AND f_at.k = f.k
+    ), texts AS (SELECT report_id, slot, piece, string_agg(part, chr(10) || chr(10) ORDER BY ord, pos) AS text FROM parts GROUP BY ALL),
+    chunks AS (SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY slot, piece) AS INTEGER) AS chunk, count(*) OVER (PARTITION BY report_id) AS n_chunks, text FROM texts)"""
+
+
+@_query(f"{_CHUNKS} SELECT report_id, chunk, n_chunks, CAST(length(text) AS INTEGER) AS n, sha256(text) AS digest FROM chunks")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pack_chunks(reports.documents(_inputs(spark, sf_dir)[3]), 10_000).select("report_id", "chunk", "n_chunks", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
-@_query()
+_LANGUAGE = "l AS (SELECT report_id, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM v)"
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _said_sql() -> str:
+    """Rows (language, system, whole, part) of what prompts say."""
+    rows = [(k, reports.ROLE + reports.LANGUAGES[k] + ". Its H2 sections are exactly:\n" + "\n".join(f"## {x}" for x in names) + reports.RULES, reports.ASK_WHOLE[k], reports.ASK_PART[k]) for k, names in reports.SECTIONS.items()]
+    return ", ".join(f"({', '.join(map(_quote, r))})" for r in rows)
+
+
+@_query(
+    f"""{_CHUNKS}, {_VOTE}, {_LANGUAGE}, t(language, system, whole, part) AS (VALUES {_said_sql()})
+    SELECT report_id, chunk, n_chunks, language, sha256(system || CASE WHEN n_chunks = 1 THEN whole ELSE 'Source group ' || chunk || ' of ' || n_chunks || '. ' || part END || text || chr(10)) AS digest,
+      CASE WHEN n_chunks = 1 THEN 3200 ELSE 1800 END AS max_tokens FROM chunks JOIN l USING (report_id) JOIN t USING (language)"""
+)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _inputs(spark, sf_dir)[3]
     made = reports.chunk_prompts(reports.pack_chunks(reports.documents(rows), 10_000), reports.languages(rows))
@@ -451,7 +492,14 @@ def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 _CITED = f"WITH {archive_sql(True)}, s AS ({_SELECT})"
 
 
-@_query()
+_ADDED = ", ".join(f"('{k}', {_quote(chr(10).join(f'{chr(10)}## {x}{chr(10)}{chr(10)}{reports.FALLBACK[k]}' for x in names if x != 'Overview'))})" for k, names in reports.SECTIONS.items())
+
+
+@_query(
+    f"""{_CITED}, {_VOTE}, {_LANGUAGE}, a(language, added) AS (VALUES {_ADDED}), r AS (SELECT report_id, '[' || string_agg('"' || conversation_id || '"', ',' ORDER BY ord) || ']' AS selected FROM s GROUP BY report_id),
+    q AS (SELECT report_id, '## Overview' || chr(10) || chr(10) || string_agg('[' || conversation_id || '#m' || message_index || ']', ' ' ORDER BY ord, message_index) AS found FROM s JOIN m USING (conversation_id) GROUP BY report_id)
+    SELECT 'Report ' || report_id AS title, selected, sha256(found || chr(10) || added || chr(10)) AS digest, CAST(length(found || chr(10) || added || chr(10)) AS INTEGER) AS n FROM q JOIN r USING (report_id) JOIN l USING (report_id) JOIN a USING (language)"""
+)
 def map_merge_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir)[2].select("title", F.to_json("selected_conversation_ids").alias("selected"), F.sha2("markdown", 256).alias("digest"), F.length("markdown").alias("n"))
 
@@ -503,7 +551,6 @@ def report_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.report_sources(named, c).select("report_id", "ord", "conversation_id", "title", "source")
 
 
-_LANGUAGE = "l AS (SELECT report_id, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM v)"
 _HEADINGS = ", ".join(f"('{code}', {k + (code == 'ko')}, '{name}')" for code, names in reports.SECTIONS.items() for k, name in enumerate(names)) + ", ('ko', 0, 'Overview')"
 
 
