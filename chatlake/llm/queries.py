@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the given tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over the given tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, embedding_dedup, html_extraction, jaccard_join, language_id, packing, quality_rules, token_counts, url_filters, warc
+from chatlake.llm import bpe, embedding_dedup, html_extraction, importance, jaccard_join, language_id, packing, quality_rules, token_counts, url_filters, warc
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The rules of the url query: host/path and what it does.
@@ -71,6 +71,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_extraction, op2_token_counts, op3_packing, op4_url_filters, op5_language_id, op6_quality_rules, op7_jaccard_join, op8_bpe, op9_embedding_dedup, op10_warc, url_filters_with_redirects, pipeline)
+    own = (op1_html_extraction, op2_token_counts, op3_packing, op4_url_filters, op5_language_id, op6_quality_rules, op7_jaccard_join, op8_bpe, op9_embedding_dedup, op10_warc, op11_importance_resampling, url_filters_with_redirects, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -184,6 +188,32 @@ EMBEDDING_SQL = """
     """
 
 
+def _importance_sql() -> str:
+    m = importance
+    b, grams = m.BUCKETS, " UNION ALL ".join(f"SELECT src, id, array_to_string(w[i : i + {k}], ' ') AS g FROM (SELECT src, id, w, unnest(range(1, len(w) - {k - 1})) AS i FROM d)" for k in range(m.MAX_WORDS))
+    return f"""
+    WITH tab AS (
+      SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))
+    ), texts AS (SELECT 0 AS src, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+    d AS (SELECT src, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+    grams AS ({grams}), each AS (SELECT src, id, g, count(*) AS n FROM grams GROUP BY ALL),
+    codes AS (
+      SELECT g, xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(g))), lambda k: CAST('0x' || substr(hex(g), 2 * k + 1, 2) AS BIGINT)), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) % {b} AS bucket
+      FROM (SELECT DISTINCT g FROM each), tab
+    ), coded AS (SELECT src, id, bucket, n FROM each JOIN codes USING (g)),
+    counts AS (SELECT bucket, sum(n) FILTER (src = 0) AS s, sum(n) FILTER (src = 1) AS t FROM coded GROUP BY bucket),
+    totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM counts),
+    gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + {b}) / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + {b})))) AS BIGINT) AS gain FROM counts, totals),
+    sums AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM coded JOIN gains USING (bucket) WHERE src = 0 GROUP BY id),
+    scored AS (
+      SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{m.SEED}:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN sums USING (id) WHERE src = 0
+    ), drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= {m.MIN_WORDS})
+    SELECT doc_id, n_words, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT doc_id, rank FROM drawn WHERE rank <= {m.PERCENT} * n // 100) USING (doc_id)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     redirects = "UNION SELECT x.host || x.rest, y.host || y.rest FROM p x JOIN p y ON y.page_id = x.page_id - x.page_id % 7 WHERE x.host <> '' AND y.host <> ''"
-    return {"op4_url_filters": _url_sql(), "url_filters_with_redirects": _url_sql(redirects), "op6_quality_rules": _quality_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL}
+    return {"op4_url_filters": _url_sql(), "url_filters_with_redirects": _url_sql(redirects), "op6_quality_rules": _quality_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op11_importance_resampling": _importance_sql()}
