@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, embedding_dedup, html_extraction, importance, jaccard_join, language_id, packing, quality_rules, token_counts, url_filters, warc
+from chatlake.llm import bpe, collocations, embedding_dedup, html_extraction, importance, jaccard_join, language_id, packing, quality_rules, records, token_counts, url_filters, warc
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The rules of the url query: host/path and what it does.
@@ -75,6 +75,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_extraction, op2_token_counts, op3_packing, op4_url_filters, op5_language_id, op6_quality_rules, op7_jaccard_join, op8_bpe, op9_embedding_dedup, op10_warc, op11_importance_resampling, url_filters_with_redirects, pipeline)
+    own = (op1_html_extraction, op2_token_counts, op3_packing, op4_url_filters, op5_language_id, op6_quality_rules, op7_jaccard_join, op8_bpe, op9_embedding_dedup, op10_warc, op11_importance_resampling, op12_collocations, op13_token_records, url_filters_with_redirects, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -214,6 +222,30 @@ def _importance_sql() -> str:
     """
 
 
+def _collocation_sql() -> str:
+    c = collocations
+    return f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+    ), sizes AS (SELECT lang, w, unnest(range(1, {c.MAX_WORDS} + 1)) AS k FROM pieces WHERE len(w) > 0),
+    grams AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sizes)),
+    f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {c.MIN_COUNT}),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM f),
+    scored AS (
+      SELECT c.lang, c.k, c.g, c.a, n, x.a AS l, y.a AS r, CAST(1000::HUGEINT * c.a * n // (x.a::HUGEINT * y.a) AS BIGINT) AS score, cut
+      FROM cuts c JOIN totals USING (lang) JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1 :]
+    ), least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+    inside AS (
+      SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: g[i : i + m - 1])))) AS sub FROM f WHERE k > 2) GROUP BY ALL
+    ), ordered AS (
+      SELECT least.lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY least.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+      FROM least LEFT JOIN inside ON inside.lang = least.lang AND inside.sub = g WHERE most IS NULL OR 100 * most < {c.SUBSUMED} * a
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ordered WHERE rank <= {c.TOP}
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     redirects = "UNION SELECT x.host || x.rest, y.host || y.rest FROM p x JOIN p y ON y.page_id = x.page_id - x.page_id % 7 WHERE x.host <> '' AND y.host <> ''"
-    return {"op4_url_filters": _url_sql(), "url_filters_with_redirects": _url_sql(redirects), "op6_quality_rules": _quality_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op11_importance_resampling": _importance_sql()}
+    return {"op4_url_filters": _url_sql(), "url_filters_with_redirects": _url_sql(redirects), "op6_quality_rules": _quality_sql(), "op7_jaccard_join": JACCARD_SQL, "op9_embedding_dedup": EMBEDDING_SQL, "op11_importance_resampling": _importance_sql(), "op12_collocations": _collocation_sql()}
