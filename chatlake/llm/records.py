@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from chatlake.llm import packing
-from chatlake.llm.common import bound_batches, cut, shared_dir
+from chatlake.llm.common import bound_batches, shared_dir
 
 END_ID, MANIFEST = 2, "manifest.json"
 #: Records, and bytes of payload, that are framed or checked together.
@@ -214,14 +214,16 @@ class Reader(DataSourceReader):
 
     def _records(self, one: Shard) -> Iterator[pa.RecordBatch]:
         store, base = _store(self.folder)
-        seen, start = 0, one.start
-        with store.open_input_stream(f"{base}/{one.shard}.records", buffer_size=1 << 20) as f:
+        path = f"{base}/{one.shard}.records"
+        seen, start, left = 0, one.start, store.get_file_info(path).size
+        with store.open_input_stream(path, buffer_size=1 << 20) as f:
             while seen < one.records:
                 some, held = [], 0
                 while seen < one.records and len(some) < GROUP and held < GROUP_BYTES:
                     head = f.read(12)
-                    size = struct.unpack("<Q", head[:8])[0] if len(head) == 12 else 0
-                    if len(head) < 12 or masked_of_rows(np.frombuffer(head[:8], np.uint8)[None])[0] != struct.unpack("<I", head[8:])[0]:
+                    size = struct.unpack("<Q", head[:8])[0] if len(head) == 12 else left
+                    left -= size + 16
+                    if left < 0:
                         raise ValueError(f"damaged length of record {seen} of {one.shard}")
                     some.append(head + f.read(size + 4))
                     held, seen = held + size, seen + 1
@@ -269,8 +271,15 @@ class TokenRecords(DataSource):
         return Writer(self.options["path"], overwrite)
 
 
-def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Rows (id, ids, wide): the packed token ids of each whole text, without added special tokens, then end_id."""
+def placed(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows in ascending order of id (null first; ties as Spark reads them), dealt by range and sorted. The row's number keeps even one id of many rows from being one partition. Reads its input twice."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.repartitionByRange(n, id_col, "_row").sortWithinPartitions(id_col, "_row").drop("_row")
+
+
+def encoded(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """Rows (id, ids, wide) of rows (id, text), in their order: the packed token ids of each whole text, without added special tokens, then end_id."""
     bound_batches(documents.sparkSession)
     wide = packing._encoder(path)[1].itemsize > 2
 
@@ -282,21 +291,26 @@ def encoded(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 some = batch.iloc[at : at + GROUP]
                 yield pd.DataFrame({"id": some["id"], "ids": [b"".join(coder.parts(x)) + end if x else end for x in some["text"]]})
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, ids binary").withColumn("wide", F.lit(wide))
+    return documents.mapInPandas(run, "id long, ids binary").withColumn("wide", F.lit(wide))
+
+
+def _save(rows: DataFrame, folder: str, mode: str) -> None:
+    rows.sparkSession.dataSource.register(TokenRecords)
+    rows.select("id", "ids", "wide").write.format("token_records").mode(mode).save(folder)
 
 
 def write_records(rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """Write rows (id, ids, wide) in ascending order of id (null first; ties as Spark reads them) as shards in folder, which all executors must reach.
+    """Write rows (id, ids, wide) in ascending order of id as shards in folder, which all executors must reach.
 
     mode overwrite replaces what is there once the new manifest stands; append puts the new shards behind the old ones.
     """
-    spark = rows.sparkSession
-    spark.dataSource.register(TokenRecords)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The row's number keeps even one id of many rows from being one shard; written out, it stays, and the texts are encoded once.
-    held = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    placed = held.repartitionByRange(n, "id", "row").sortWithinPartitions("id", "row")
-    placed.select("id", "ids", "wide").write.format("token_records").mode(mode).save(folder)
+    _save(placed(rows, "id"), folder, mode)
+
+
+def write_documents(documents: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, mode: str = "overwrite") -> None:
+    """write_records() of documents: their texts are put in order first, and encoded where they are written."""
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    _save(encoded(placed(texts, "id"), path, end_id), folder, mode)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -338,5 +352,5 @@ def round_trip(documents: DataFrame, path: str, folder: str | None = None, id_co
     """
     spark = documents.sparkSession
     folder = folder or f"{shared_dir(spark)}/chatlake/records-{uuid.uuid4().hex}"
-    write_records(encoded(documents, path, id_col, text_col, end_id), folder)
+    write_documents(documents, path, folder, id_col, text_col, end_id)
     return read_records(spark, folder).select(F.col("id").alias(id_col), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

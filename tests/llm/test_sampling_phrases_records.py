@@ -122,7 +122,7 @@ def test_collocations_in_chunks_of_long_texts(spark, monkeypatch):
     text = "one two three, " * 400 + "no end " * 300
     ids, words = next(collocations._chunks([pd.DataFrame({"lang": ["en"], "text": [text]})]))
     found = {}
-    for _, _, counts, parts in collocations.count_chunk(ids, words, None, None, False, 5):
+    for _, _, counts, parts in collocations.count_chunk(ids, words, None, None, 5):
         langs, phrases = collocations.spelled(parts, words, np.arange(len(counts)))
         found |= dict(zip(phrases, counts.tolist(), strict=True))
     assert found == {" ".join(p): n for p, n in brute_phrases([("en", text)], 1, 5)[0]["en"].items()}
@@ -143,7 +143,7 @@ def test_large_counts_are_exact(spark):
 def written(spark, tmp_path):
     docs = table(spark, [*ODD, "don't <|endoftext|> x"], ids=[3, 1, 2, None, 7, 7, 7, 0, 9, -4, 8])
     folder = str(tmp_path / "records")
-    records.write_records(records.encoded(docs, BPE), folder)
+    records.write_documents(docs, BPE, folder)
     return docs, folder
 
 
@@ -212,11 +212,11 @@ def test_shuffled_reads_give_all_records_in_an_order_of_the_seed(spark, written)
 def test_appended_and_replaced_records(spark, written):
     docs, folder = written
     before = records.read_records(spark, folder).agg(F.sum("n_tokens"), F.count("*")).first()
-    records.write_records(records.encoded(docs, BPE), folder, mode="append")
+    records.write_documents(docs, BPE, folder, mode="append")
     both = records.read_records(spark, folder)
     assert tuple(both.agg(F.sum("n_tokens"), F.count("*")).first()) == (2 * before[0], 2 * before[1])
     assert both.select("start").distinct().count() == both.count()
-    records.write_records(records.encoded(docs.limit(2), BPE), folder)
+    records.write_documents(docs.limit(2), BPE, folder)
     assert records.read_records(spark, folder).count() == 2
     assert len(glob.glob(f"{folder}/*.records")) == len(json.load(open(f"{folder}/manifest.json")))
 
