@@ -1,13 +1,17 @@
 """Phrase collocations of each language by Toivonen's mining: a sample proposes phrases, full passes count them and their border exactly.
 
-A phrase is counted if each part of it, down to its words, is a proposed one. So a pass counts the proposed phrases and the border around
-them: the phrases that are not proposed though all their parts are. A border phrase that turns out frequent may have frequent extensions that
-were not counted; it is then proposed as well, and another pass counts what that adds, until no pass finds one. Every frequent phrase is
-found with its exact count whatever the sample was. Proposals are kept as hashes in one bit set of a fixed size, which all tasks get; two
-phrases that share bits only let more phrases be counted.
-
-A task numbers the words of some million tokens, extends all phrases by a word at a time with array operations, and sends each distinct phrase
-of those tokens once, with its count, to the sum over the corpus.
+The first pass counts a phrase if each part of it, down to its words, is a proposed one: the proposed phrases and the border around
+them, which are the phrases that are not proposed though all their parts are. Most of the border is rare, so that pass adds up counts by
+64-bit hashes of phrases, which are never too low. The second pass counts by their words the phrases whose hashes reached the least count.
+
+A border phrase that reaches it, a failure, may have frequent extensions that were not counted. Any frequent phrase that is still missing holds
+a failure: of its parts that are not proposed a shortest one was counted, and is as frequent. So the second pass also counts the
+phrases that hold a failure and whose other parts are proposed, which closes the set: every frequent phrase is found with its exact count
+whatever the sample was. Proposals, failures and reached hashes are kept in bit sets of a fixed size, which all tasks get; two phrases that
+share bits only let more phrases be counted.
+
+A task numbers the words of some megabytes of text, extends all phrases by a word at a time with array operations, and sends each distinct phrase
+of those texts once, with its count, to the sum over the corpus.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,33 +33,38 @@ MAX_WORDS, MIN_COUNT, TOP, SUBSUMED = 5, 100, 2000, 100
 SAMPLE, LOWERED = 1 / 16, 0.5
 #: Bits of the set of proposals: 16 MB. Two bits stand for a phrase; a fuller set lets more phrases be counted.
 FILTER_BITS = 1 << 27
-#: Tokens that a task counts at a time, and bytes of text that it takes apart at a time, up to the end of a piece.
-CHUNK, SEGMENT = 1 << 21, 1 << 22
+#: Words of 64 bits that one task puts together.
+BLOCK = 4096
+#: Bytes of text that a task counts at a time, and of a text that it takes at a time, up to the end of a piece.
+CHUNK, SEGMENT = 6 << 20, 4 << 20
 #: All that ends a piece becomes a full stop, and tabs become spaces.
 _FOLD = bytes(ord(".") if c in b".,;:!?\n\v\f\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def segments(text: str) -> Iterator[list[bytes]]:
-    """The words of a text, with b'.' where a piece ends."""
+def segments(text: str) -> Iterator[bytes]:
+    """A text, folded, in parts of about SEGMENT bytes that end where a piece ends."""
     data = text.encode("utf-8").translate(_FOLD)
     at = 0
     while at < len(data):
         end = len(data) if len(data) - at <= SEGMENT else data.find(b".", at + SEGMENT) + 1 or len(data)
-        yield data[at:end].replace(b".", b" . ").split()
+        yield data[at:end]
         at = end
 
 
-class Numbers(dict):
-    """Numbers of the words of one language, from 1 on in the order of coming; 0 is the end of a piece."""
-
-    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
-        super().__init__({b".": 0})
-        self.lang, self.words = lang, words
-
-    def __missing__(self, word: bytes) -> int:
-        self.words.append((self.lang, word))
-        n = self[word] = len(self.words)
-        return n
+def numbered(parts: dict[str, list[bytes]]) -> tuple[np.ndarray, list[tuple[str, bytes]]]:
+    """(numbers, words) of folded texts by language: words are numbered from 1 on, a language's apart from the others', and 0 ends a piece."""
+    ids, words = [], []
+    for lang, texts in parts.items():
+        blob = b".".join(texts).replace(b".", b" . ")
+        coded = pc.split_pattern(pa.array([blob], pa.large_binary()), " ").flatten().dictionary_encode()
+        new = coded.dictionary.to_pylist()
+        number = np.array([-1 if w == b"" else 0 if w == b"." else 1 for w in new], np.int32)
+        real = number > 0
+        number[real] = np.arange(len(words) + 1, len(words) + 1 + real.sum())
+        words += [(lang, w) for w, is_word in zip(new, real.tolist(), strict=True) if is_word]
+        own = number[coded.indices.to_numpy()]
+        ids += [own[own >= 0], np.zeros(1, np.int32)]
+    return np.concatenate(ids), words
 
 
 def word_hashes(words: list[tuple[str, bytes]]) -> np.ndarray:
@@ -77,38 +88,39 @@ def proposed(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_chunk(ids: np.ndarray, words: list[tuple[str, bytes]], bits: np.ndarray | None, before: np.ndarray | None, again: bool, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
-    """(length, hashes, counts, parts) of the distinct phrases of numbered words (0 ends a piece) that the proposals let count, by length.
+def count_chunk(ids: np.ndarray, words: list[tuple[str, bytes]], bits: np.ndarray | None, max_words: int, failures: np.ndarray | None = None, reached: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+    """(length, hashes, counts, parts) of the distinct phrases of numbered words (0 ends a piece) that a pass counts, by length; a count of 0 stands for one that it does not.
 
-    parts has, for each length so far, the first phrase's number and last word of each phrase. again: without those that the proposals of the pass
-    before let count.
+    Without failures, the first pass: what the proposals let count. With failures, the second: of those what reached the least count, and what failures add. parts has,
+    for each length so far, the first phrase's number and last word of each phrase.
     """
     hash_of = np.concatenate([[np.uint64(0)], word_hashes(words)]).astype(np.uint64)
     at = np.flatnonzero(ids)  # where phrases of the present length begin
     number, kinds = pd.factorize(ids[at])  # their numbers, and what stands for each
     hashes, parts = hash_of[kinds], [(None, kinds)]
-    counted_before = np.ones(len(kinds), bool)  # words were all counted by the first pass
+    first_pass, failed = np.ones(len(kinds), bool), np.zeros(len(kinds), bool)  # counted by the first pass; holds a failure
     for length in range(1, max_words + 1):
         counts = np.bincount(number, minlength=len(hashes))
-        new = ~counted_before if again else np.ones(len(hashes), bool)
-        if new.any():
-            yield length, np.where(new, hashes, 0).astype(np.uint64), np.where(new, counts, 0), parts
+        yield length, hashes, counts if failures is None else np.where(first_pass & ~proposed(reached, hashes), 0, counts), parts
         if length == max_words or not len(at):
             return
-        on, on_before = proposed(bits, hashes), counted_before & proposed(before, hashes) if again else counted_before
-        both = on[number[:-1]] & on[number[1:]] & (at[1:] == at[:-1] + 1)
-        first = np.flatnonzero(both)
-        if not len(first):
+        named = proposed(bits, hashes)
+        if failures is not None:
+            failed = failed | first_pass & proposed(failures, hashes)
+        on = named | failed
+        places = np.flatnonzero(on[number[:-1]] & on[number[1:]] & (at[1:] == at[:-1] + 1))
+        if not len(places):
             return
-        code = number[first].astype(np.int64) * (len(words) + 1) + ids[at[first] + length]  # the phrase, and the word after it
+        code = number[places].astype(np.int64) * (len(words) + 1) + ids[at[places] + length]  # the phrase, and the word after it
         longer, distinct = pd.factorize(code)
-        sample = np.zeros(len(distinct), np.int64)
-        sample[longer] = first  # one place of each distinct phrase
-        prefix, suffix, word = number[sample], number[sample + 1], distinct % (len(words) + 1)
-        counted_before = on_before[prefix] & on_before[suffix]
+        some = np.zeros(len(distinct), np.int64)
+        some[longer] = places  # one place of each distinct phrase
+        prefix, suffix, word = number[some], number[some + 1], distinct % (len(words) + 1)
+        first_pass = first_pass[prefix] & named[prefix] & first_pass[suffix] & named[suffix]
+        failed = failed[prefix] | failed[suffix]
         hashes = extended(hashes[prefix], hash_of[word])
         parts = [*parts, (prefix, word)]
-        at, number = at[first], longer
+        at, number = at[places], longer
 
 
 def spelled(parts: list, words: list[tuple[str, bytes]], chosen: np.ndarray) -> tuple[list[str], list[str]]:
@@ -124,97 +136,87 @@ def spelled(parts: list, words: list[tuple[str, bytes]], chosen: np.ndarray) ->
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[tuple[str, bytes]]]]:
-    words: list[tuple[str, bytes]] = []
-    numbers: dict[str, Numbers] = {}
-    held, size = [], 0
+    held: dict[str, list[bytes]] = {}
+    size = 0
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            number = numbers.setdefault(lang, Numbers(lang, words)).__getitem__
             for some in segments(text):
-                held.append(np.fromiter(map(number, some), np.int32, len(some)))
+                held.setdefault(lang, []).append(some)
                 size += len(some)
-            held.append(np.zeros(1, np.int32))
-            if size >= CHUNK:
-                yield np.concatenate(held), words
-                words, numbers, held, size = [], {}, [], 0
+                if size >= CHUNK:
+                    yield numbered(held)
+                    held, size = {}, 0
     if size:
-        yield np.concatenate(held), words
+        yield numbered(held)
 
 
-def sample_hashes(texts: DataFrame, max_words: int) -> DataFrame:
-    """Rows (hash, n) of all phrases of the texts (lang, text), by chunk."""
+def hash_counts(texts: DataFrame, bits, max_words: int) -> DataFrame:
+    """Rows (hash, n) of the phrases of texts (lang, text) that the proposals, a broadcast, let count; without them, of all phrases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, words in _chunks(batches):
-            for _, hashes, counts, _ in count_chunk(ids, words, None, None, False, max_words):
-                yield pd.DataFrame({"hash": hashes.view(np.int64), "n": counts})
+            for _, hashes, counts, _ in count_chunk(ids, words, bits and bits.value, max_words):
+                for at in range(0, len(hashes), 100_000):
+                    yield pd.DataFrame({"hash": hashes[at : at + 100_000].view(np.int64), "n": counts[at : at + 100_000]})
 
-    return texts.mapInPandas(run, "hash long, n long")
+    return texts.mapInPandas(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(texts: DataFrame, bits, before, max_words: int) -> DataFrame:
-    """Rows (lang, phrase, n) of what the proposals let count, and, in the first pass, the number of words of each language as the phrase ''. bits and before are broadcasts or None."""
+def phrase_counts(texts: DataFrame, bits, failures, reached, max_words: int) -> DataFrame:
+    """Rows (lang, phrase, n) of what the second pass counts, and the number of words of each language as the phrase ''. The bit sets are broadcasts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, words in _chunks(batches):
-            if before is None:
-                langs, n = np.unique([x for x, _ in words], return_inverse=True)
-                yield pd.DataFrame({"lang": langs, "phrase": "", "n": np.bincount(n, np.bincount(ids, minlength=len(words) + 1)[1:]).astype(np.int64)})
-            for _, _, counts, parts in count_chunk(ids, words, bits.value, before and before.value, before is not None, max_words):
+            langs, n = np.unique([x for x, _ in words], return_inverse=True)
+            yield pd.DataFrame({"lang": langs, "phrase": "", "n": np.bincount(n, np.bincount(ids, minlength=len(words) + 1)[1:]).astype(np.int64)})
+            for _, _, counts, parts in count_chunk(ids, words, bits.value, max_words, failures.value, reached.value):
                 chosen = np.flatnonzero(counts)
-                for at in range(0, len(chosen), 100_000):
-                    some = chosen[at : at + 100_000]
+                for at in range(0, len(chosen), 50_000):
+                    some = chosen[at : at + 50_000]
                     langs, phrases = spelled(parts, words, some)
                     yield pd.DataFrame({"lang": langs, "phrase": phrases, "n": counts[some]})
 
     return texts.mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def unproposed(frequent: DataFrame, bits) -> DataFrame:
-    """Rows (hash) of the phrases (lang, phrase) that the bit set lacks."""
+def unproposed(hashes: DataFrame, bits) -> DataFrame:
+    """The rows (hash) that the bit set, a broadcast, lacks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            split = [p.encode("utf-8").split(b" ") for p in batch["phrase"]]
-            flat = word_hashes([(lang, w) for lang, ws in zip(batch["lang"], split, strict=True) for w in ws])
-            ends = np.cumsum([len(ws) for ws in split])
-            starts = ends - [len(ws) for ws in split]
-            hashes = flat[starts]
-            for k in range(1, max(map(len, split), default=0)):
-                longer = np.flatnonzero(ends - starts > k)
-                hashes[longer] = extended(hashes[longer], flat[starts[longer] + k])
-            yield pd.DataFrame({"hash": hashes[~proposed(bits.value, hashes)].view(np.int64)})
+            yield batch[~proposed(bits.value, batch["hash"].to_numpy(np.int64).view(np.uint64))]
 
-    return frequent.select("lang", "phrase").mapInPandas(run, "hash long")
+    return hashes.select("hash").mapInPandas(run, "hash long")
 
 
 def with_bits(bits: np.ndarray, hashes: DataFrame) -> np.ndarray:
-    """The bit set with two bits set for each hash. The driver gets at most one row for each 64 bits."""
+    """The bit set with two bits set for each hash. The driver gets the blocks of BLOCK words that have any, as many as the set has at most."""
     size = len(bits) * 64
     place = F.explode(F.array(F.col("hash").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(size - 1))))
-    rows = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits")).toPandas()
+    words = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits"))
+
+    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(BLOCK, np.int64)
+        block[rows["word"].to_numpy() % BLOCK] = rows["bits"].to_numpy()
+        return pd.DataFrame({"block": [key[0]], "data": [block.tobytes()]})
+
     out = bits.copy()
-    out[rows["word"].to_numpy(np.int64)] |= rows["bits"].to_numpy(np.int64).view(np.uint64)
+    for block, data in words.withColumn("block", F.floor(F.col("word") / BLOCK)).groupBy("block").applyInPandas(joined, "block long, data binary").toLocalIterator():
+        at = block * BLOCK
+        out[at : at + BLOCK] |= np.frombuffer(data, np.uint64)[: len(out) - at]
     return out
 
 
 def frequent_phrases(texts: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, sample: float = SAMPLE, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Rows (lang, phrase, n): all phrases of up to max_words words that come at least min_count times in the texts (lang, text) of a language, and its number of words as the phrase ''."""
-    spark = texts.sparkSession
-    sc = spark.sparkContext
-    rows = sample_hashes(texts.sample(sample, 1), max_words).groupBy("hash").agg(F.sum("n").alias("n"))
-    bits = sc.broadcast(with_bits(np.zeros(filter_bits // 64, np.uint64), rows.where(F.col("n") >= max(2, int(LOWERED * sample * min_count)))))
-    enough = (F.col("n") >= min_count) | (F.col("phrase") == "")
-    new = found = cut(phrase_counts(texts, bits, None, max_words).where(enough))
-    for _ in range(max_words):
-        extendable = new.where((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < max_words))
-        failed = cut(unproposed(extendable, bits))
-        if failed.isEmpty():
-            return found
-        before, bits = bits, sc.broadcast(with_bits(bits.value, failed))
-        new = cut(phrase_counts(texts, bits, before, max_words).where(enough))
-        found = found.unionByName(new)
-    return found
+    sc = texts.sparkSession.sparkContext
+    none = np.zeros(filter_bits // 64, np.uint64)
+    rows = hash_counts(texts.sample(sample, 1), None, max_words)
+    bits = sc.broadcast(with_bits(none, rows.where(F.col("n") >= max(2, int(LOWERED * sample * min_count)))))
+    reached = cut(hash_counts(texts, bits, max_words).where(F.col("n") >= min_count).select("hash"))
+    failures = sc.broadcast(with_bits(none, unproposed(reached, bits)))
+    counted = phrase_counts(texts, bits, failures, sc.broadcast(with_bits(none, reached)), max_words)
+    return cut(counted.where((F.col("n") >= min_count) | (F.col("phrase") == "")))
 
 
 def _joined(words: Column, start: Column | int, length: Column) -> Column:
@@ -229,7 +231,7 @@ def collocations(
     a is the count of the phrase, l and r those of its parts at the cut that scores least, n the words of the language, and score
     floor(1000 a n / (l r)), in decimals of 38 digits. A phrase inside a longer one that comes at least subsumed percent as often is left out. Ties go by a, then
     by the phrase's bytes. A null language is 'und'; null, empty and wordless texts count nothing; repeated rows count each time; an empty table, or
-    one without a frequent phrase, gives no rows; other columns are not read. A task holds one text's longest piece and CHUNK tokens.
+    one without a frequent phrase, gives no rows; other columns are not read. A task holds CHUNK bytes of text and the longest piece.
     """
     bound_batches(documents.sparkSession)
     texts = documents.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")

@@ -122,7 +122,7 @@ def test_collocations_in_chunks_of_long_texts(spark, monkeypatch):
     text = "one two three, " * 400 + "no end " * 300
     ids, words = next(collocations._chunks([pd.DataFrame({"lang": ["en"], "text": [text]})]))
     found = {}
-    for _, _, counts, parts in collocations.count_chunk(ids, words, None, None, 5):
+    for _, _, counts, parts in collocations.count_chunk(ids, words, None, 5):
         langs, phrases = collocations.spelled(parts, words, np.arange(len(counts)))
         found |= dict(zip(phrases, counts.tolist(), strict=True))
     assert found == {" ".join(p): n for p, n in brute_phrases([("en", text)], 1, 5)[0]["en"].items()}
