@@ -16,6 +16,7 @@ of those texts once, with its count, to the sum over the corpus.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ MAX_WORDS, MIN_COUNT, TOP, SUBSUMED = 5, 100, 2000, 100
 SAMPLE, LOWERED = 1 / 16, 0.5
 #: Bits of the set of proposals: 16 MB. Two bits stand for a phrase; a fuller set lets more phrases be counted.
 FILTER_BITS = 1 << 27
+#: Phrases that a task holds before it sends them.
+HELD = 400_000
 #: Words of 64 bits that one task puts together.
 BLOCK = 4096
 #: Bytes of text that a task counts at a time, and of a text that it takes at a time, up to the end of a piece.
@@ -166,15 +169,26 @@ def phrase_counts(texts: DataFrame, bits, failures, reached, max_words: int) ->
     """Rows (lang, phrase, n) of what the second pass counts, and the number of words of each language as the phrase ''. The bit sets are broadcasts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Counter] = defaultdict(Counter)  # of the task, so that a phrase leaves it once
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for lang, counts in held.items():
+                phrases, n = list(counts), list(counts.values())
+                for at in range(0, len(n), 50_000):
+                    yield pd.DataFrame({"lang": lang, "phrase": phrases[at : at + 50_000], "n": n[at : at + 50_000]})
+            held.clear()
+
         for ids, words in _chunks(batches):
             langs, n = np.unique([x for x, _ in words], return_inverse=True)
-            yield pd.DataFrame({"lang": langs, "phrase": "", "n": np.bincount(n, np.bincount(ids, minlength=len(words) + 1)[1:]).astype(np.int64)})
+            for lang, total in zip(langs.tolist(), np.bincount(n, np.bincount(ids, minlength=len(words) + 1)[1:]).astype(np.int64).tolist(), strict=True):
+                held[lang][""] += total
             for _, _, counts, parts in count_chunk(ids, words, bits.value, max_words, failures.value, reached.value):
                 chosen = np.flatnonzero(counts)
-                for at in range(0, len(chosen), 50_000):
-                    some = chosen[at : at + 50_000]
-                    langs, phrases = spelled(parts, words, some)
-                    yield pd.DataFrame({"lang": langs, "phrase": phrases, "n": counts[some]})
+                for lang, phrase, total in zip(*spelled(parts, words, chosen), counts[chosen].tolist(), strict=True):
+                    held[lang][phrase] += total
+            if sum(map(len, held.values())) > HELD:
+                yield from rows()
+        yield from rows()
 
     return texts.mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
