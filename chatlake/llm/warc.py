@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|head|noscript|template|textarea|svg)\b[^<>]*>", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!a-zA-Z?][^>]*(?:>|\Z)")
 _SPACE = re.compile(r"[^\S\n]+")
@@ -31,9 +31,22 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _shown(html: str) -> str:
+    """A page without comments, scripts and what else is not shown; one that is not closed goes on to the end. Linear: each end is looked for from where its start is."""
+    out, at = [], 0
+    while m := _HIDDEN.search(html, at):
+        close = m[1] and re.compile(rf"</{m[1]}\s*>", re.I).search(html, m.end())
+        end = close.end() if close else len(html)
+        if not m[1]:
+            end = html.find("-->", m.end()) + 3 if html.find("-->", m.end()) >= 0 else len(html)
+        out.append(html[at : m.start()])
+        at = end
+    return " ".join([*out, html[at:]])
+
+
 def visible_text(html: str) -> str:
     """The text of a page as lines: all that is not markup, script, style or head, references decoded, white space collapsed."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", html.replace("\n", " "))))
+    text = _TAG.sub("", _BREAK.sub("\n", _shown(html.replace("\n", " "))))
     return _LINES.sub("\n", _SPACE.sub(" ", html_lib.unescape(text).replace("\xa0", " "))).strip()
 
 
@@ -122,7 +135,7 @@ def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
     responses has source_id, target_uri, date, body (binary) and http_fields (array of name and value), or in their place payload (text) and
     http_headers (map). Where it has them, record_id, payload_digest and warc_fields are the source's own and are kept; a missing digest is
     worked out from the body's bytes. The source's WARC headers go into the metadata record as lines of the field sourceHeader, its HTTP status line
-(http_status) as sourceStatus.
+    (http_status) as sourceStatus.
 
     Columns: source_id, record_type, record_id, refers_to, target_uri, date, content_type, payload_digest (of the source), block_digest, content_length,
     text (of a conversion), and record, the bytes of the WARC record, if with_record. record_id of the source, if responses has no such column, is
@@ -169,20 +182,26 @@ def derive(responses: DataFrame, with_record: bool = True) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+#: Compressed bytes that are inflated at a time.
+SLICE = 1 << 16
+
+
 def _members(data: bytes) -> Iterator[tuple[int, bytes | None]]:
-    """(offset, content) of a file that is plain, or a chain of gzip members; None for a member that can't be read, after which the next one's mark is looked for."""
+    """(offset, content) of a file that is plain, or a chain of gzip members; None for a member that can't be read, after which the next one's mark is looked for. Linear in the file's size."""
     if data[:2] != b"\x1f\x8b":
         yield 0, data
         return
-    at = 0
+    at, view = 0, memoryview(data)
     while data[at : at + 2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
+        z, out, end = zlib.decompressobj(31), [], at
         try:
-            content = z.decompress(data[at:]) + z.flush()
-            if not z.eof:
-                raise zlib.error("cut off")
-            yield at, content
-            at = len(data) - len(z.unused_data)
+            while not z.eof:
+                if not (some := view[end : end + SLICE]):
+                    raise zlib.error("cut off")
+                out.append(z.decompress(some))
+                end += len(some)
+            yield at, b"".join(out)
+            at = end - len(z.unused_data)
         except zlib.error:
             yield at, None
             at = data.find(b"\x1f\x8b\x08", at + 1)
