@@ -4,9 +4,11 @@ Pages are dealt by host, a host with many pages over several salts. Within a sal
 pages, the last two of even size. In a block the whole DOM trees are aligned with those of a few reference pages by simple tree
 matching (Yang, 1991), top-down: a node of a reference is a slot, and the subtrees that other pages have there are its fillings. A slot
 where most pages have a subtree that other pages have there as well, be it one or one of some variants, is constant, and what fills it is
-template; a slot whose fillings vary is content. Copies of a page count as one page. Only then, from what varies, regions that HTML
-itself marks as no part of the article (navigation, forms, adverts, comments, ...) are left out by tag, role and class, which also
-serves hosts of few pages.
+template; a slot whose fillings vary is content. Copies of a page count as one page.
+
+A block of ENOUGH different pages is decided by that alone: what is no template is the text, but for what varies from page to page without
+being article, namely reader comments, forms and what is hidden. Fewer pages do not show which slots recur. There, what HTML itself
+marks as no part of the article (navigation, adverts, ...) is left out by tag, role and class as well, and the page's marked main region is taken.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.llm.common import sized
+
 #: Pages, and characters of pages, that are aligned with each other at most.
 BLOCK, BLOCK_CHARS = 256, 1 << 24
 #: A slot is constant if at least CONSTANT_PAGES different pages fill it, and PRESENT of all, and RECURS of them with a subtree that another one has there.
 CONSTANT_PAGES, PRESENT, RECURS = 4, 0.5, 0.75
+#: Different pages of a block from which on induction alone decides.
+ENOUGH = 90
 #: Pages of a block whose trees serve as references.
 REFERENCES = 3
 #: Lists of children of up to so many pairs are matched by dynamic programming, longer ones in order between their equal subtrees.
@@ -51,23 +57,45 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|alert|comments?|commentlist|disqus\w*|replies|respond|sidebar\w*|widget\w*"
-    r"|related\w*|recommend\w*|share\w*|sharing|social\w*|newsletter\w*|subscribe\w*|signup|popup\w*|modal\w*|overlay\w*|nav|navbar\w*|navigation\w*|menus?|menubar|breadcrumbs?|footer\w*|header|masthead"
-    r"|toolbar\w*|pagination|pager|login|complementary|contentinfo|search|dialog|tooltip|skip-?link)(?:$|[\s_-])",
+#: Words that a class, id or role begins or ends with if it names no part of the article; of the second kind none of its parts, whatever it holds.
+_CHROME_WORD = re.compile(
+    r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|alert|sidebar\w*|widget\w*|recommend\w*|share\w*|sharing|social\w*|newsletter\w*|subscribe\w*|signup|popup\w*"
+    r"|modal\w*|overlay\w*|nav|navbar\w*|navigation\w*|menus?|menubar|breadcrumbs?|footer\w*|header|masthead|toolbar\w*|pagination|pager|login|complementary|contentinfo|search|dialog|tooltip|skiplink",
     re.I,
 )
+_COMMENT_WORD = re.compile(r"comments?|commentlist|disqus\w*|replies|respond", re.I)
+#: Words that make a name the state of what holds the article, and what may follow "related" in the name of a list of links.
+_STATE = {"has", "with", "without", "no", "is", "hide", "show"}
+_RELATED = {"related", "posts", "post", "articles", "article", "links", "link", "stories", "story", "content", "contents", "items", "pages", "news", "reading", "topics", "list", "box"}
+_WORD_ENDS = re.compile(r"[-_]+")
+#: Elements of a head; any other begins the body.
+HEAD = {"base", "link", "meta", "title", "script", "style", "noscript", "template"}
+
+
+def named(names: str) -> tuple[bool, bool]:
+    """(names no part of the article, names comments) of the classes, id and role of an element."""
+    chrome = comments = False
+    for name in names.split():
+        words = [w for w in _WORD_ENDS.split(name) if w]
+        if not words or words[0].lower() in _STATE:
+            continue
+        ends = (words[0], words[-1])
+        comments = comments or any(_COMMENT_WORD.fullmatch(w) for w in ends)
+        chrome = chrome or any(_CHROME_WORD.fullmatch(w) for w in ends) or name.lower() in ("skip-link", "skip_link") or (words[0].lower() == "related" and words[-1].lower() in _RELATED) or (len(words) > 1 and words[-1].lower() == "related")
+    return chrome or comments, comments
+
+
 _SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 
 
 class Node:
     """An element, or a text block where text is not None. label is what nodes are matched by, digest stands for the whole subtree."""
 
-    __slots__ = ("tag", "text", "children", "chrome", "holds_main", "link_chars", "label", "digest")
+    __slots__ = ("tag", "text", "children", "chrome", "by_name", "comments", "strict", "holds_main", "link_chars", "label", "digest")
 
     def __init__(self, tag: str, text: str | None = None, names: str = ""):
         self.tag, self.text, self.children = tag, text, []
-        self.chrome = self.holds_main = False
+        self.chrome = self.by_name = self.comments = self.strict = self.holds_main = False  # strict: comments, forms and what is hidden
         self.link_chars = self.digest = 0
         self.label = f"#{tag}" if text is not None else f"{tag} {_DIGITS.sub('', names)}" if names else tag
 
@@ -99,7 +127,7 @@ def parse(html: str | None) -> Node:
         while len(stack) > k:
             top = stack.pop()
             unclosed[top.tag] -= 1
-            if top.holds_main or top.tag in MAIN:
+            if (top.holds_main or top.tag in MAIN) and not top.comments:
                 stack[-1].holds_main = True
 
     search = _TAG.search
@@ -130,9 +158,14 @@ def parse(html: str | None) -> Node:
                 if tag == "p":
                     break
             continue
+        if stack[-1].tag == "head" and tag not in HEAD:
+            flush()
+            pop_to(len(stack) - 1)
+        if tag in ("svg", "math") and attrs.rstrip().endswith("/"):
+            continue  # closed by itself
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
-            pos = close.end() if close else n
+            pos = close.end() if close else pos if tag in ("svg", "math") else n
             parts.append(" ") if parts else None
             continue
         if tag in INLINE:
@@ -164,17 +197,37 @@ def parse(html: str | None) -> Node:
             continue
         names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attrs)) if attrs else ""
         node = Node(tag, names=names)
-        node.chrome = tag in CHROME_TAGS
-        if attrs and tag not in MAIN:
-            node.chrome |= bool(names and _CHROME_NAME.search(names)) or bool(_HIDDEN.search(attrs))
+        node.chrome, node.strict = tag in CHROME_TAGS, tag == "form"
+        if attrs:
+            by_name, comments = named(names)
+            hidden = tag not in MAIN and bool(_HIDDEN.search(attrs))
+            node.comments = comments
+            node.strict |= comments or hidden
+            node.by_name = by_name and not comments and not node.chrome and tag not in MAIN
+            node.chrome |= node.strict or node.by_name
         stack[-1].children.append(node)
         stack.append(node)
         unclosed[tag] += 1
     flush()
     pop_to(1)
+    _keep_large(root)
     return root
 
 
+def _keep_large(root: Node) -> None:
+    """An element that a class names as no part of the article, or a form, but that holds most of the page's text, and not as links, is what holds the article."""
+    chars: dict[int, tuple[int, int]] = {}
+    nodes = _preorder(root)
+    for x in reversed(nodes):
+        own = (len(x.text), x.link_chars) if x.text is not None else (0, 0)
+        chars[id(x)] = (own[0] + sum(chars[id(y)][0] for y in x.children), own[1] + sum(chars[id(y)][1] for y in x.children))
+    total = chars[id(root)][0]
+    for x in nodes:
+        n, linked = chars[id(x)]
+        if (x.by_name or x.tag == "form") and not x.comments and 2 * n > total and 2 * linked < n:
+            x.chrome = x.strict = False
+
+
 def _preorder(tree: Node) -> list[Node]:
     out, todo = [], [tree]
     while todo:
@@ -192,8 +245,11 @@ def _digested(tree: Node) -> list[str]:
     return [x.text for x in nodes if x.text is not None]
 
 
-def _kept(tree: Node, fixed: set[int], lists: bool) -> list[tuple[Node, bool, bool]]:
-    """(text block, within an article, within main) of a tree without template and, if lists, without chrome. A header within the article stays, and so does whatever holds the article."""
+def _kept(tree: Node, fixed: set[int], lists: bool, strict: bool = True) -> list[tuple[Node, bool, bool]]:
+    """(text block, within an article, within main) of a tree without template and, if lists, without chrome; of it, comments, forms and what is hidden go if strict.
+
+    A header within the article stays, and so does whatever holds the article.
+    """
     out, todo = [], [(tree, False, False)]
     while todo:
         x, article, main = todo.pop()
@@ -203,6 +259,8 @@ def _kept(tree: Node, fixed: set[int], lists: bool) -> list[tuple[Node, bool, bo
             out.append((x, article, main))
             continue
         article, main = article or x.tag == "article", main or x.tag == "main"
+        if strict and (x.comments or x.strict and not x.holds_main):
+            continue
         if lists and x.chrome and not x.holds_main and not ((article or main) and x.tag in ("header", "menu")):
             continue
         todo.extend((y, article, main) for y in reversed(x.children))
@@ -355,19 +413,23 @@ def induce(trees: list[Node]) -> list[set[int]]:
     return constant
 
 
-def extract(pages: list[str | None], lists: bool = True, induction: bool = True) -> list[tuple[list[str], int]]:
-    """(blocks of main text, number of text blocks that induction found to be template) of each of these pages, which are of one host.
+def extract(pages: list[str | None], lists: bool = True, induction: bool = True, strict: bool = True) -> list[tuple[list[str], int, bool]]:
+    """(blocks of main text, number of text blocks that induction found to be template, whether induction decided) of each of these pages, which are of one host.
 
-    lists: leave out what tags, roles and classes mark, and take the element that the page marks as its main region.
+    lists: where the pages are too few for induction to decide, leave out what tags, roles and classes mark, and take the element that the page marks as its main
+    region. strict: leave out comments, forms and what is hidden. induction: without it, nothing is template.
     """
     trees = [parse(x) for x in pages]
+    different = len(set(copies([[x.text for x in _preorder(t) if x.text is not None] for t in trees]))) if len(trees) >= ENOUGH else 0
+    decided = different >= ENOUGH
     constant = induce(trees) if induction and len(trees) >= CONSTANT_PAGES else [set()] * len(trees)
+    lists = lists and not decided
     out = []
     for tree, fixed in zip(trees, constant, strict=True):
-        left = _kept(tree, fixed, lists)
-        template = len(_kept(tree, set(), False)) - len(_kept(tree, fixed, False)) if fixed else 0
+        left = _kept(tree, fixed, lists, strict)
+        template = len(_kept(tree, set(), False, False)) - len(_kept(tree, fixed, False, False)) if fixed else 0
         blocks, marked = _region(left) if lists else ([x for x, _, _ in left], True)
-        out.append(([x.text for x in blocks if marked or not (x.tag in ("li", "td", "dd") and x.link_chars * 5 >= 4 * len(x.text))], template))
+        out.append(([x.text for x in blocks if marked or not (x.tag in ("li", "td", "dd") and x.link_chars * 5 >= 4 * len(x.text))], template, decided))
     return out
 
 
@@ -376,25 +438,20 @@ def host_of(url) -> "F.Column":
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^/?#]*?://([^/?#]*)", 1)), F.lit(""))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", busy_share: float = 1e-4) -> DataFrame:
-    """Rows (id, url, text, blocks array, n_chars, n_template), one for each row of pages, with the page's main text; n_template counts the text blocks that induction took for template.
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Rows (id, url, text, blocks array, n_chars, n_template, by_induction), one for each row of pages, with the page's main text.
 
-    text joins the blocks with a blank line; each block is trimmed and has single spaces. A page with null or empty html, or
+    n_template counts the text blocks that induction took for template; by_induction says whether the page's block had ENOUGH different pages for induction to decide, and tags
+    and classes did not. text joins the blocks with a blank line; each block is trimmed and has single spaces. A page with null or empty html, or
     without any text, has text '' and no blocks. Null urls form one host. Repeated rows and ids are kept as they are; pages with the
-    same text on one host are taken for copies, not for a template. Columns other than the three named are ignored.
+    same text on one host are taken for copies, not for a template. Hosts, and blocks that BLOCK_CHARS has closed early, of fewer than CONSTANT_PAGES different pages have no template.
+    Columns other than the three named are ignored.
 
-    Hosts with over busy_share of all pages (at most 1 / busy_share of them, so the table of them that is broadcast is bounded)
-    are dealt over salts of about BLOCK pages each, whatever the table's size.
+    Hosts of over BLOCK pages are dealt over salts of about BLOCK pages each; that depends on the host's pages alone.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
-    limit = max(BLOCK, int(rows.count() * busy_share))
-    busy = rows.groupBy("_host").count().where(F.col("count") > limit).select("_host", F.ceil(F.col("count") / BLOCK).alias("_salts"))
     order = F.xxhash64(F.col("_id").cast("string"), F.col("_url"), F.lit(11))
-    dealt = (
-        rows.join(F.broadcast(busy), "_host", "left")
-        .withColumn("_salt", F.pmod(order, F.coalesce("_salts", F.lit(1))))
-        .withColumn("_order", order).drop("_salts")
-    )
+    dealt = sized(rows, "_host", BLOCK).withColumn("_salt", F.pmod(order, F.ceil(F.col("_n") / BLOCK))).withColumn("_order", order).drop("_n")
     n = 3 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tasks, as a salt is dealt whole
     kind = dict(pages.dtypes)
 
@@ -407,9 +464,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             del held[:n]
             chars = sum(len(x[2] or "") for x in held)
             found = extract([x[2] for x in pages])
-            blocks = [x for x, _ in found]
+            blocks = [x for x, _, _ in found]
             texts = ["\n\n".join(x) for x in blocks]
-            return pd.DataFrame({id_col: pd.Series([x[0] for x in pages], dtype=object), url_col: [x[1] for x in pages], "text": texts, "blocks": blocks, "n_chars": [len(x) for x in texts], "n_template": [n for _, n in found]})
+            return pd.DataFrame({id_col: pd.Series([x[0] for x in pages], dtype=object), url_col: [x[1] for x in pages], "text": texts, "blocks": blocks, "n_chars": [len(x) for x in texts], "n_template": [n for _, n, _ in found], "by_induction": [d for _, _, d in found]})
 
         def rest() -> Iterator[pd.DataFrame]:
             # A short remainder would have too few pages to induce from, so what is left over one block is halved.
@@ -434,4 +491,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 yield pd.concat(out, ignore_index=True)
         yield from rest()
 
-    return dealt.repartition(n, "_host", "_salt").sortWithinPartitions("_host", "_salt", "_order", "_id", "_html").mapInPandas(run, f"`{id_col}` {kind[id_col]}, `{url_col}` string, text string, blocks array<string>, n_chars long, n_template long")
+    return dealt.repartition(n, "_host", "_salt").sortWithinPartitions("_host", "_salt", "_order", "_id", "_html").mapInPandas(run, f"`{id_col}` {kind[id_col]}, `{url_col}` string, text string, blocks array<string>, n_chars long, n_template long, by_induction boolean")

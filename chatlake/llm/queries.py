@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extraction.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template")
+    return html_extraction.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template", "by_induction")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def _article(page):
 
 
 def _blocks(pages, **options):
-    return [x for x, _ in html_extraction.extract(pages, **options)]
+    return [x for x, _, _ in html_extraction.extract(pages, **options)]
 
 
 def test_html(spark):
@@ -83,9 +83,10 @@ def test_html_induction_decides():
     large = [list(x)[: html_extraction.BLOCK] for _, x in by_host if len(x) >= 90]
     assert sum(map(len, large)) > 400
     for block in large:
-        # Without tags, classes and marked regions, the pages' own menus, adverts and footers go by alignment alone, and all of the article stays.
-        assert ["\n\n".join(x) for x in _blocks(block, lists=False)] == list(map(_article, block))
-        assert all(len(x) > len(y) for x, y in zip(_blocks(block, lists=False, induction=False), _blocks(block, lists=False), strict=True))
+        # The pages' own menus, adverts and footers go by alignment alone, without tags, classes and marked regions, and all of the article stays.
+        assert ["\n\n".join(x) for x in _blocks(block)] == list(map(_article, block)) and all(d for _, _, d in html_extraction.extract(block))
+        assert _blocks(block, lists=False, strict=False) == _blocks(block)
+        assert all(len(x) > len(y) for x, y in zip(_blocks(block, induction=False), _blocks(block), strict=True))
     menus, notes = [f"Menu of kind {k}" for k in range(5)], [f"Please note number {k} of our house rules" for k in range(3)]
     made = [f"<div><div>{menus[k % 5]}</div><div><p>{'own ' * 5}{k} {f'word{k} ' * 9}</p>{'<p>A passage that a third of the pages quote</p>' * (k % 3 == 0)}<p>{f'more{k} ' * 9}</p></div><div>{notes[k % 3]}</div></div>" for k in range(60)]
     assert [len(x) for x in _blocks(made)] == [2 + (k % 3 == 0) for k in range(60)]  # the quoted passage is no template
@@ -94,6 +95,31 @@ def test_html_induction_decides():
     assert len(_blocks(copied)[30]) == 2  # copies, more than half of the block, are no template either
 
 
+def test_html_loses_and_adds_nothing():
+    def text(page, **options):
+        return _blocks([page], **options)[0]
+
+    assert text('<article><p>one</p><svg width="1"/><p>two</p></article>') == ["one", "two"]
+    assert text("<p>one</p><svg width=1><p>two</p>") == ["one", "two"]  # never closed
+    assert text('<p>one</p><svg><text>in</text></svg><p>two</p><math/><p>three') == ["one", "two", "three"]
+    assert text('<div class="layout has-sidebar"><p>The whole article.</p></div>') == ["The whole article."]
+    assert text('<div class="sidebar-layout"><p>The whole article.</p></div>') == ["The whole article."]
+    assert text('<div class="main-sidebar"><p>links</p></div><div class="x"><p>The whole article.</p></div>') == ["The whole article."]
+    page = '<main><p>{}</p><section id="comments"><article>reader says a lot more than the page itself does</article></section></main>'
+    assert text(page.format("x")) == ["x"] and text(page.format("a long text " * 9)) == [("a long text " * 9).strip()]
+    assert text('<article><p>x</p><article class="comment">reader</article></article>') == ["x"]
+    assert text("<head><title>t</title><body><p>all</p>") == ["all"] and text("<head><meta a=b><p>all</p>") == ["all"]
+    assert text('<article><p>one</p><div class="related-work"><p>two</p></div><div class="related-posts">no</div></article>') == ["one", "two"]
+    assert text('<ul class="menu"><li><a>a menu of many words</a><li><a>and more of them</a></ul><p>short</p>') == ["short"]
+
+
+def test_html_comments_go_where_induction_decides():
+    made = [f"<body><div>Our site</div><div><p>Body {k} {f'w{k} ' * 30}</p></div><div class=comments><p>reader {k} says {f'c{k} ' * 50}</p></div></body>" for k in range(100)]
+    found = html_extraction.extract(made)
+    assert all(d and len(b) == 1 and b[0].startswith(f"Body {k} ") for k, (b, _, d) in enumerate(found))
+    assert all(not d for _, _, d in html_extraction.extract(made[:50]))
+
+
 def test_html_long_pages():
     pages = ["<body><nav>Menu</nav>" + "".join(f"<p>text {k if i % 3 else ''} {i}</p>" for i in range(20_000)) + "<p>Same end</p></body>" for k in range(8)]
     start = time.time()
@@ -423,7 +449,7 @@ def test_html_remainder_of_a_block_has_a_template(spark):
     rows = [(k, "http://h/", f"<body><p>Unmarked line that all pages of this host have</p><p>Body number {k} {f'w{k} ' * 40}</p></body>") for k in range(html_extraction.BLOCK + 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     # One salt of BLOCK + 2 pages, as a busy host of a larger table has.
-    found = html_extraction.extract_main_text(pages, busy_share=2.0).collect()
+    found = html_extraction.extract_main_text(pages).collect()
     assert len(found) == len(rows) and [r["page_id"] for r in found if "Unmarked" in r["text"] or f"Body number {r['page_id']} " not in r["text"]] == []
 
 
