@@ -112,16 +112,18 @@ def _url_sql(more: str = "") -> str:
     WITH RECURSIVE p AS (
       SELECT page_id, url, html, coalesce({host.format('url')}, '') AS host, coalesce({path.format('url')}, '') AS path, {node.format('url')} AS rest FROM pages
     ), tags AS (
-      SELECT url, host, path, rest, unnest(regexp_extract_all(html, '(?is)(<(?:link|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>)', 1)) AS tag FROM p
+      SELECT url, host, path, rest, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', ' ', 'g'), '(?is)(<(?:link|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>)', 1)) AS tag FROM p
       WHERE host <> '' AND regexp_matches(html, '(?i)canonical|http-equiv')
     ), named AS (
-      SELECT host || rest AS a, host, path, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?canonical\\b') THEN {href}
+      SELECT host || rest AS a, host, path, replace(CASE WHEN regexp_matches(tag, {_quoted(url_filters.CANONICAL)}) THEN {href}
         WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN {to} END, '&amp;', '&') AS t FROM tags
     ), urls AS (
       SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t WHEN starts_with(t, '/') THEN 'x://' || host || t
         ELSE 'x://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t END AS u FROM named WHERE t <> ''
     ), edges AS (
-      SELECT a, {host.format('u')} || {node.format('u')} AS b FROM urls WHERE {host.format('u')} <> '' {more}
+      SELECT a, h || CASE WHEN h = '' OR p = '' THEN p ELSE list_reduce(string_split(p, '/'), lambda done, x: CASE x WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END)
+          || CASE WHEN regexp_matches(p, '/\\.\\.?$') THEN '/' ELSE '' END END || q AS b
+      FROM (SELECT a, {host.format('u')} AS h, {path.format('u')} AS p, regexp_extract(u, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) AS q FROM urls) WHERE h <> '' {more}
     ), sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
     reach(a, b) AS (SELECT a, a FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
     acts AS (

@@ -16,6 +16,8 @@ from chatlake.llm.components import connected_components
 
 #: Rules that are tried one by one on each url; a longer list, or a table of rules, is joined.
 MAX_RULES = 100
+#: A link tag one of whose rel words is canonical.
+CANONICAL = r"""(?is)^<link\b.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,6 +36,14 @@ def node_of(url: Column) -> Column:
     return F.concat(F.nullif(host_of(url), F.lit("")), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose segments . and .. are resolved, as a browser does it; .. at the top stays at the top."""
+    parts = F.split(path, "/", -1)
+    up = F.regexp_replace
+    folded = F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(""), lambda done, x: F.when(x == ".", done).when(x == "..", up(done, r"/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)))
+    return F.when(path.rlike(r"/\.\.?$"), F.concat(folded, F.lit("/"))).otherwise(folded)
+
+
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest rule 'host/path' that fits, null if none: its host or a subdomain, and a path that begins with its path."""
     found = F.lit(None).cast("string")
@@ -79,12 +89,14 @@ def action_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (a, b) between the identities of a page and of what its canonical link or refresh redirect names.
 
-    Relative targets are resolved against the page. Pages without such a link, or without a host, give none.
+    Relative targets are resolved against the page, dots in their paths too. Of a link's rel any word may be canonical. What stands in a comment counts for nothing. Pages
+    without such a link, or without a host, give none.
     """
-    tags = F.regexp_extract_all(F.col("_html"), F.lit(r"""(?is)(<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), 1)
+    shown = F.regexp_replace("_html", r"(?s)<!--.*?(?:-->|\z)", " ")
+    tags = F.regexp_extract_all(shown, F.lit(r"""(?is)(<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), 1)
     links = pages.select(F.col(url_col).alias("_url"), F.col(html_col).alias("_html")).where(F.col("_html").rlike(r"(?i)canonical|http-equiv"))
     each = links.select("_url", F.explode(tags).alias("_tag"))
-    canonical = F.when(F.col("_tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("_tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
+    canonical = F.when(F.col("_tag").rlike(CANONICAL), F.regexp_extract("_tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     refresh = F.when(F.col("_tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("_tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     target = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
     # Written out: the optimizer would otherwise repeat these patterns in each expression below.
@@ -94,7 +106,9 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.startswith("/"), F.concat(F.lit("x://"), host, to))
         .otherwise(F.concat(F.lit("x://"), host, F.when(folder == "", F.lit("/")).otherwise(folder), to))
     )
-    return named.select(node_of(F.col("_url")).alias("a"), node_of(full).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    resolved = cut(named.select(node_of(F.col("_url")).alias("a"), full.alias("_to")))
+    there = F.concat(F.nullif(host_of(F.col("_to")), F.lit("")), without_dots(path_of(F.col("_to"))), F.regexp_extract("_to", r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)", 1))
+    return resolved.select("a", there.alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def filter_urls(

@@ -204,6 +204,15 @@ def test_url_filters(spark, hot):
     assert url_filters.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_alias_edges_of_odd_links(spark):
+    rows = [
+        ("http://k.org/a/b/p", '<link href="../../x" rel="alternate canonical">'), ("http://k.org/c", "<!-- <link rel=canonical href=/no> --><link rel=canonical href=./d/../e?q=1/../2#f>"), ("http://k.org/g", "<link rel='not-canonical' href=/no>"),
+        ("http://k.org/h", '<!-- <link rel="canonical" href="/no">'), ("http://k.org/i/j", '<link rel="canonical" href="..">'), ("http://k.org/l", '<link rel=CANONICAL href="http://M.org/../../n/./">'), (None, "<link rel=canonical href=/x>"), ("http://o.org", None),
+    ]
+    got = {tuple(r) for r in url_filters.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {("k.org/a/b/p", "k.org/x"), ("k.org/c", "k.org/e?q=1/../2"), ("k.org/i/j", "k.org/"), ("k.org/l", "m.org/n/")}
+
+
 def test_url_rules_by_join(spark, monkeypatch):
     rules = [*queries.URL_RULES, *((f"r{k}.example.com/p{k}/", "block") for k in range(200)), ("r7.example.com/p7/x/", "allow"), ("r7.example.com/", "block"), ("com/en", "block")]
     urls = [None, "q", "http://R7.example.com/p7/x/y", "http://r7.example.com/p7/", "http://a.r7.example.com/q", "http://r8.example.com/p8", "http://r8.example.com/p8/z", "http://x.net/es/", "http://x.net/es", "http://b.com/en", "http://b.com/entry", "http:///", "http://com", *[f"http://r{k}.example.com/p{k}/1?x" for k in range(60)]]
