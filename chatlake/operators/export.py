@@ -65,11 +65,39 @@ def report_files(reports: DataFrame) -> DataFrame:
     return reports.select("id", F.concat(T.safe_file_name(F.col("title")), F.lit(".md")).alias("file_name"), "markdown")
 
 
+#: Documents of one name that one task numbers.
+NAMED = 100_000
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """Rows (file_name, markdown) whose names are all different: of documents of one name the first, by a digest, keeps it, the others get -2, -3.. before the suffix.
+
+    A name that a document has of its own stays with it: a number that would make such a name is followed by the text's digest. Documents without a name are left out. Only
+    documents that share a name are moved, and those of a very common one are numbered in several parts, from the parts' sizes.
+    """
+    rows = documents.select("file_name", "markdown").where("file_name is not null")
+    shared = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if shared.isEmpty():
+        return rows
+    alone = rows.join(shared.select("file_name").hint("merge"), "file_name", "left_anti")
+    key = F.sha2(F.coalesce("markdown", F.lit("")), 256)
+    keyed = rows.join(shared.hint("merge"), "file_name").withColumn("_key", key).withColumn("_part", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / NAMED)))
+    sizes = keyed.groupBy("file_name", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy("file_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    placed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("file_name", "_part").orderBy("_key"))).join(before.hint("merge"), ["file_name", "_part"])
+    number = (F.col("_before") + F.col("_k")).cast("string")
+    stem, suffix = F.regexp_extract("file_name", r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("file_name", r"(?s)^(.+?)(\.[^.]*)?$", 2)
+    made = placed.select("markdown", "_key", F.when(number == "1", F.col("file_name")).alias("_own"), F.concat(stem, F.lit("-"), number).alias("_stem"), suffix.alias("_suffix")).withColumn("_new", F.concat("_stem", "_suffix"))
+    taken = rows.select(F.col("file_name").alias("_new"), F.lit(True).alias("_taken")).distinct()
+    named = made.join(taken.hint("merge"), "_new", "left").withColumn("file_name", F.coalesce("_own", F.when(F.col("_taken"), F.concat("_stem", F.lit("-"), F.substring("_key", 1, 12), "_suffix")).otherwise(F.col("_new"))))
+    return alone.unionByName(named.select("file_name", "markdown"))
+
+
 def write_files(documents: DataFrame, folder: str) -> None:
-    """Write each row (file_name, markdown) as one file of that name in folder, a path or URI of a store that all executors reach. [SNK-3, SNK-4, SNK-6]
+    """Write each row (file_name, markdown) as one file in folder, a path or URI of a store that all executors reach. [SNK-3, SNK-4, SNK-6]
 
-    Tasks write in parallel, each file under a name of its own first and then renamed, so that a task that runs twice leaves whole files. Of rows
-    of the same name one stays; a null text is an empty file. Names that would lead out of the folder raise ValueError.
+    Tasks write in parallel, each file under a name of its own first and then renamed, so that a task that runs twice leaves whole files. Rows of the same name
+    are numbered, see numbered(); a null text is an empty file. Names that would lead out of the folder raise ValueError.
     """
 
     def write(rows: Iterator) -> None:
@@ -83,4 +111,4 @@ def write_files(documents: DataFrame, folder: str) -> None:
                 out.write((row["markdown"] or "").encode("utf-8"))
             store.move(part, f"{base}/{row['file_name']}")
 
-    documents.select("file_name", "markdown").where("file_name is not null").dropDuplicates(["file_name"]).foreachPartition(write)
+    numbered(documents).foreachPartition(write)

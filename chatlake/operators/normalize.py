@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.sources.runs import few
+
+#: Paths of bad files that are broadcast at most.
+FEW_PATHS = 100_000
 MESSAGES = "array<struct<role:string,content:string,timestamp:string>>"
 NODES = "map<string,struct<parent:string,children:array<string>,message:string>>"
 #: Fields of a conversation before its messages are exploded.
@@ -167,42 +171,67 @@ def conversation_id(source: Column, title: Column, created_at: Column) -> Column
     return F.substring(F.sha2(F.concat(source, F.lit(":"), title, F.lit(":"), created_at), 256), 1, 16)
 
 
-def normalize(files: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[DataFrame, DataFrame]:
-    """(conversations with messages, rejected files) of rows (source_path, value).
+def _which(v: Column, layouts: tuple[Layout, ...]) -> Column:
+    """The number of the first layout that accepts a file, or null."""
+    out = F.lit(None).cast("int")
+    for k in reversed(range(len(layouts))):
+        out = F.when(F.coalesce(layouts[k].detect(v), F.lit(False)), k).otherwise(out)
+    return out
+
+
+def normalize(files: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[DataFrame, DataFrame]:
+    """(conversations with messages, rejected files) of rows (source_path, value), each a whole file unless it has a position: then it is an element of one.
+
+    keep writes a table under a name and reads it back: files are then parsed once, and the paths of bad ones, if they are few, are broadcast, so that no
+    message moves on their account.
 
     Conversations have COLUMNS and position, their place in the file; those without a message are left out, as are empty ones. rejected has
     (source_path, reason). An empty list is a valid file without conversations.
     """
-    parsed = files.withColumn("v", F.try_parse_json("value"))
-    which = F.lit(None).cast("int")
-    for k in reversed(range(len(layouts))):
-        which = F.when(F.coalesce(layouts[k].detect(F.col("v")), F.lit(False)), k).otherwise(which)
-    sniffed = parsed.withColumn("layout", which)
+    whole = files.where("position is null") if "position" in files.columns else files
+    sniffed = whole.withColumn("v", F.try_parse_json("value")).withColumn("layout", _which(F.col("v"), layouts))
     unknown = sniffed.where("layout is null").select("source_path", F.when(F.col("v").isNull(), "not valid JSON").otherwise("unknown layout").alias("reason"))
-    good, bad = [], [unknown]
+    good, bad, elements = [], [unknown], None
+    if "position" in files.columns:
+        # Large files come by element; the first of a file, which is what the layouts look at, tells its layout.
+        elements = files.where("position is not null")
+        first = elements.groupBy("source_path").agg(F.min_by("value", "position").alias("c"), (F.min("position") == 0).alias("alone"))  # an element of an array comes after its bracket
+        listed = F.try_parse_json(F.when(F.col("alone"), F.col("c")).otherwise(F.concat(F.lit("["), F.col("c"), F.lit("]"))))
+        told = first.select("source_path", _which(listed, layouts).alias("layout"), listed.isNull().alias("broken"))
+        told = keep(told, "layouts") if keep else told
+        bad.append(told.where("layout is null").select("source_path", F.when(F.col("broken"), "not valid JSON").otherwise("unknown layout").alias("reason")))
     for k, layout in enumerate(layouts):
         one = F.when(_is_list(F.col("v")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
         # One huge file is one row up to here; its conversations are dealt to all tasks.
-        rows = sniffed.where(F.col("layout") == k).select("source_path", F.posexplode(one).alias("position", "c")).repartition(F.col("source_path"), F.col("position")).withColumn("v", F.try_parse_json("c"))
-        rows, v = layout.parts(rows), F.col("v")
+        rows = sniffed.where(F.col("layout") == k).select("source_path", F.posexplode(one).alias("position", "c")).repartition(F.col("source_path"), F.col("position")).withColumn("position", F.col("position").cast("long"))
+        if elements is not None:
+            of_layout = told.where(F.col("layout") == k).select("source_path")
+            of_layout = F.broadcast(of_layout) if keep and few(of_layout, FEW_PATHS) else of_layout.hint("merge")
+            rows = rows.unionByName(elements.join(of_layout, "source_path", "left_semi").select("source_path", "position", F.col("value").alias("c")))
+        rows = layout.parts(rows.withColumn("v", F.try_parse_json("c")))
+        v = F.col("v")
         messages, problem = layout.messages(F.col("c"), v)
         held = rows.select(
-            "source_path", "position", _kind(v).startswith("OBJECT").alias("is_object"), layout.title(v).alias("title"), layout.title_kind(v).alias("title_kind"), layout.created_at(v).alias("created_at"),
+            "source_path", "position", v.isNull().alias("broken"), _kind(v).startswith("OBJECT").alias("is_object"), layout.title(v).alias("title"), layout.title_kind(v).alias("title_kind"), layout.created_at(v).alias("created_at"),
             layout.updated_at(v).alias("updated_at"), layout.problem(v).alias("p0"), (F.coalesce(_kind(_at(v, f"$.{layout.body}")), F.lit("VOID")).isin("VOID", "OBJECT<>", "ARRAY<VOID>")).alias("no_body"),
             messages.alias("messages"), problem.alias("p1"),
         )
         empty = F.col("no_body") | (F.size(F.coalesce("messages", F.array().cast(MESSAGES))) == 0)
         judged = held.withColumn(
             "reason",
-            F.when(~F.coalesce("is_object", F.lit(False)), "list element is no object").when(F.col("no_body"), None).when(F.coalesce(F.col("title_kind") != "STRING", F.lit(False)), "title is no string")
+            F.when(F.col("broken"), "not valid JSON").when(~F.coalesce("is_object", F.lit(False)), "list element is no object").when(F.col("no_body"), None).when(F.coalesce(F.col("title_kind") != "STRING", F.lit(False)), "title is no string")
             .otherwise(F.coalesce("p0", "p1")),
         ).withColumn("empty", empty).withColumn("_row", F.monotonically_increasing_id())
+        if keep:
+            judged = keep(judged, f"judged-{layout.source}")
         # A condition that names _row stays above the expressions: below, they would be worked out again for the test.
         wrong = judged.where("reason is not null and _row >= 0").groupBy("source_path").agg(F.min("reason").alias("reason"))
         bad.append(wrong)
         source = F.lit(layout.source)
+        paths = wrong.select("source_path")
+        paths = F.broadcast(paths) if keep and few(paths, FEW_PATHS) else paths.hint("merge")
         good.append(
-            judged.where("reason is null and not empty and _row >= 0").join(wrong.hint("merge"), "source_path", "left_anti")
+            judged.where("reason is null and not empty and _row >= 0").join(paths, "source_path", "left_anti")
             .select(conversation_id(source, F.col("title"), F.col("created_at")).alias("id"), source.alias("source"), "title", "created_at", "updated_at", F.size("messages").alias("raw_message_count"), "source_path", "messages", "position")
         )
     conversations, rejected = good[0], bad[0]
@@ -213,7 +242,7 @@ def normalize(files: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[
     return conversations, rejected
 
 
-def explode_messages(conversations: DataFrame) -> DataFrame:
-    """Rows (id, conversation_id, message_index, role, content, timestamp, source_path, position); the index counts kept messages. [NRM-12, WIN-1]"""
-    rows = conversations.select(F.col("id").alias("conversation_id"), "source_path", "position", F.posexplode("messages").alias("message_index", "m"))
-    return rows.select(F.concat("conversation_id", F.lit(":"), F.col("message_index").cast("string")).alias("id"), "conversation_id", "message_index", "m.role", "m.content", "m.timestamp", "source_path", "position")
+def explode_messages(conversations: DataFrame, *more: str) -> DataFrame:
+    """Rows (id, conversation_id, message_index, role, content, timestamp, source_path, position) and more columns of the conversation; the index counts kept messages. [NRM-12, WIN-1]"""
+    rows = conversations.select(F.col("id").alias("conversation_id"), "source_path", "position", *more, F.posexplode("messages").alias("message_index", "m"))
+    return rows.select(F.concat("conversation_id", F.lit(":"), F.col("message_index").cast("string")).alias("id"), "conversation_id", "message_index", "m.role", "m.content", "m.timestamp", "source_path", "position", *more)

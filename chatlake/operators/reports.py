@@ -5,13 +5,19 @@ Many reports run as one job. A selection is a row (report_id, ord, conversation_
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as T
+from chatlake.sources import runs
 
 #: The sections of a report, in English and Korean, and what stands in a section that is missing.
 SECTIONS = {
@@ -29,16 +35,21 @@ LANGUAGES = {"en": "English", "ko": "Korean"}
 RULES = "\nCite every claim as [conversation_id#mIndex], only with references that the sources carry. Compare the conversations with each other, say where they agree, differ or leave gaps, and mark what is your own inference. Keep it short and easy to scan.\n"
 ASK_WHOLE = {"en": "Write the report from these conversations, with a source for each claim.\n\n", "ko": "다음 대화로 근거를 밝힌 보고서를 쓰세요.\n\n"}
 ASK_PART = {"en": "Note its findings with their source references unchanged.\n\n", "ko": "출처 표기를 그대로 두고 발견한 내용을 적으세요.\n\n"}
+ASK_MERGE = {"en": "The notes below come from parts of the same sources. Make one report of them; each reference stays as it is.\n\n", "ko": "아래 메모는 같은 자료를 나누어 적은 것입니다. 출처를 그대로 두고 보고서 하나로 쓰세요.\n\n"}
+#: What stands between two notes of a merge prompt.
+BETWEEN = "\n\n=====\n\n"
+#: Fixed value: what a heading is.
+HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 
 
 def selections(reports: DataFrame, ids_col: str = "selected_conversation_ids") -> DataFrame:
-    """Rows (report_id, ord, conversation_id): each id once, where it first stands. [SET-1, INS-1]"""
-    return reports.select("report_id", F.posexplode(F.array_distinct(ids_col)).alias("ord", "conversation_id"))
+    """Rows (report_id, ord, conversation_id): each id once, where it first stands; a report without any has one row of nulls, which build_reports() refuses. [SET-1, INS-1]"""
+    return reports.select("report_id", F.posexplode_outer(F.array_distinct(ids_col)).alias("ord", "conversation_id"))
 
 
 def missing(selected: DataFrame, conversations: DataFrame) -> DataFrame:
     """Selected ids that the archive does not have, by report. [JOI-6]"""
-    lost = selected.join(conversations.select(F.col("id").alias("conversation_id")).hint("merge"), "conversation_id", "left_anti")
+    lost = selected.where("conversation_id is not null").join(conversations.select(F.col("id").alias("conversation_id")).hint("merge"), "conversation_id", "left_anti")
     return lost.groupBy("report_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "conversation_id"))), lambda r: r["conversation_id"]).alias("missing"))
 
 
@@ -149,23 +160,57 @@ def chunk_prompts(chunks: DataFrame, langs: DataFrame) -> DataFrame:
     return rows.select("report_id", "chunk", "n_chunks", "language", system_prompt(lang).alias("system"), F.when(F.col("n_chunks") == 1, whole).otherwise(part).alias("prompt"), F.when(F.col("n_chunks") == 1, REPORT_TOKENS).otherwise(PARTIAL_TOKENS).alias("max_tokens"))
 
 
-def generate(prompts: DataFrame, generate_fn: Callable[[pd.DataFrame], pd.Series], parallel: int | None = None) -> DataFrame:
-    """prompts with output: generate_fn(rows with system, prompt, max_tokens) gives a text for each row. parallel bounds how many tasks call at once. [UDF-2]"""
-    rows = prompts if parallel is None else prompts.repartition(parallel)
-    schema = ", ".join(f"{n} {t}" for n, t in prompts.dtypes) + ", output string"
+def generate(prompts: DataFrame, generate_fn: Callable[[pd.DataFrame], pd.Series], parallel: int | None = None, store: str | None = None, per_call: int = 16) -> DataFrame:
+    """prompts with output: generate_fn(rows with system, prompt, max_tokens) gives a text for each row. parallel bounds how many tasks call at once. [UDF-2]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    With store, a folder that all executors reach, each call's outputs are written there under the digests of their prompts as soon as they are given, and what
+    is there is not asked again: a run that failed goes on where it stopped, and equal prompts are asked once. A call gets at most per_call prompts.
+    """
+    schema = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", output string"
+    if store is None:
+        rows = prompts if parallel is None else prompts.repartition(parallel)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(output=generate_fn(batch))
+
+        return rows.mapInPandas(run, schema)
+    spark = prompts.sparkSession
+    digest = F.sha2(F.concat_ws("\0", "system", "prompt", F.col("max_tokens").cast("string")), 256)
+    keyed = runs.written(prompts.withColumn("_digest", digest), runs.scratch(spark))
+    todo = keyed.join(_outputs(spark, store).select("_digest").hint("merge"), "_digest", "left_anti").dropDuplicates(["_digest"])
+    dealt = todo.repartition(*([parallel] if parallel else []), "_digest").sortWithinPartitions("_digest")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = pyarrow.fs.FileSystem.from_uri(store if "://" in store else f"file://{store}")
+        files.create_dir(base, recursive=True)
         for batch in batches:
-            yield batch.assign(output=generate_fn(batch))
+            for at in range(0, len(batch), per_call):
+                some = batch.iloc[at : at + per_call].reset_index(drop=True)
+                made = pa.table({"_digest": pa.array(some["_digest"], pa.string()), "output": pa.array(list(generate_fn(some.drop(columns="_digest"))), pa.string())})
+                part = f"{base}/.{uuid.uuid4().hex}"
+                pq.write_table(made, part, filesystem=files)
+                files.move(part, f"{base}/{some['_digest'][0]}-{len(some)}.parquet")
+                yield pd.DataFrame({"n": [len(some)]})
+
+    dealt.mapInPandas(ask, "n long").agg(F.sum("n")).collect()
+    # Written: two scans of one folder count as the same in a plan, though it has grown between them.
+    return runs.written(keyed.join(_outputs(spark, store).hint("merge"), "_digest").select(*prompts.columns, "output"), runs.scratch(spark))
 
-    return rows.mapInPandas(run, schema)
+
+def _outputs(spark: SparkSession, store: str) -> DataFrame:
+    """Rows (_digest, output) of what was generated, each prompt once."""
+    schema = "_digest string, output string"
+    if runs.kind(spark, store) is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(store).groupBy("_digest").agg(F.min("output").alias("output"))
 
 
 def merge_prompts(partials: DataFrame) -> DataFrame:
     """One prompt for each report of several chunks, of its partial findings in order. [INS-6, INS-7]"""
     gathered = partials.groupBy("report_id", "language", "system").agg(F.array_sort(F.collect_list(F.struct("chunk", "output"))).alias("o"))
-    joined = F.array_join(F.transform("o", lambda x: x["output"]), "\n\n--- PARTIAL FINDINGS ---\n\n")
-    lead = _by_language(F.col("language"), "Merge these partial findings into one report and keep their source references.\n\n", "아래 부분 분석을 출처 표기를 지키며 하나의 보고서로 합치세요.\n\n")
+    joined = F.array_join(F.transform("o", lambda x: x["output"]), BETWEEN)
+    lead = _by_language(F.col("language"), **ASK_MERGE)
     return gathered.select("report_id", F.lit(0).alias("chunk"), F.size("o").alias("n_chunks"), "language", "system", F.concat(lead, joined, F.lit("\n")).alias("prompt"), F.lit(REPORT_TOKENS).alias("max_tokens"))
 
 
@@ -182,28 +227,33 @@ def ensure_sections(markdown: Column, language: Column) -> Column:
     return F.when(language == "ko", fill("ko")).otherwise(fill("en"))
 
 
-def build_reports(selected: DataFrame, conversations: DataFrame, messages: DataFrame, generate_fn: Callable[[pd.DataFrame], pd.Series], work_dir: str, max_chars: int = 80_000, parallel: int | None = None, provider: str = "", model: str = "", created_at: str = "") -> DataFrame:
+def build_reports(
+    selected: DataFrame, conversations: DataFrame, messages: DataFrame, generate_fn: Callable[[pd.DataFrame], pd.Series], work_dir: str, max_chars: int = 80_000, parallel: int | None = None, provider: str = "", model: str = "", created_at: str | None = None,
+    titles: DataFrame | None = None,
+) -> DataFrame:
     """Reports of all selections, as insight_reports rows: map over chunks, then merge. [INS-1..8, SNK-5, AGG-7]
 
-    The partial outputs are written to work_dir before they are merged, so a failure later calls no generator again. Ids are made of
-    what went in. Selected ids that do not exist raise ValueError.
+    What the generator gave is kept in work_dir by the digests of prompts, so calling again with the same work_dir after a failure asks only for the rest. An id is made
+    of what went in and of what came out. created_at is by default the present time; titles, rows (report_id, title), names reports, others are "Report" and their number.
+    An empty selection, and selected ids that do not exist, raise ValueError.
     """
+    if not selected.where("conversation_id is null").isEmpty():
+        raise ValueError("At least one conversation must be selected.")
     lost = missing(selected, conversations)
     if names := lost.limit(5).collect():
         raise ValueError(f"Conversation not found: {names[0]['missing']}")
+    created_at = created_at or datetime.now(UTC).isoformat()
     rows = inputs(selected, conversations, messages)
     prompts = chunk_prompts(pack_chunks(documents(rows), max_chars), languages(rows))
-    first = generate(prompts, generate_fn, parallel)
-    first.write.mode("overwrite").parquet(f"{work_dir}/partials")
-    done = rows.sparkSession.read.schema(first.schema).parquet(f"{work_dir}/partials")
-    merged = generate(merge_prompts(done.where("n_chunks > 1")), generate_fn, parallel)
+    done = generate(prompts, generate_fn, parallel, f"{work_dir}/outputs")
+    merged = generate(merge_prompts(done.where("n_chunks > 1")), generate_fn, parallel, f"{work_dir}/outputs")
     texts = done.where("n_chunks = 1").select("report_id", "language", "output").unionByName(merged.select("report_id", "language", "output"))
     ids = selected.groupBy("report_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "conversation_id"))), lambda r: r["conversation_id"]).alias("selected_conversation_ids"))
     body = texts.withColumn("markdown", ensure_sections(F.col("output"), F.col("language"))).join(ids.hint("merge"), "report_id")
-    return body.select(
-        F.substring(F.sha2(F.concat_ws("\0", F.to_json("selected_conversation_ids"), F.lit(provider), F.lit(model), F.lit(created_at)), 256), 1, 32).alias("id"),
-        F.concat(F.lit("Report "), F.col("report_id").cast("string")).alias("title"), "selected_conversation_ids", F.lit(provider).alias("provider"), F.lit(model).alias("model"), "markdown", F.lit(created_at).alias("created_at"),
-    )
+    numbered = F.concat(F.lit("Report "), F.col("report_id").cast("string"))
+    named = body.withColumn("title", numbered) if titles is None else body.join(titles.select("report_id", "title").hint("merge"), "report_id", "left").withColumn("title", F.coalesce("title", numbered))
+    made_of = F.concat_ws("\0", F.to_json("selected_conversation_ids"), F.lit(provider), F.lit(model), F.lit(created_at), "title", F.sha2("markdown", 256))
+    return named.select(F.substring(F.sha2(made_of, 256), 1, 32).alias("id"), "title", "selected_conversation_ids", F.lit(provider).alias("provider"), F.lit(model).alias("model"), "markdown", F.lit(created_at).alias("created_at"))
 
 
 def summaries(reports: DataFrame) -> DataFrame:
@@ -227,7 +277,7 @@ def parsed_json(output: Column) -> Column:
 def outline(reports: DataFrame, deepest: int = 3) -> DataFrame:
     """(report_id, line, level, text, heading_id) of the headings of reports (id, title, markdown); a report without any gives one row of its title. [INS-11, WIN-6]"""
     lines = reports.select(F.col("id").alias("report_id"), F.posexplode(F.split("markdown", "\r?\n")).alias("line", "raw"))
-    mark = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+    mark = HEADING
     found = lines.where(F.col("raw").rlike(mark)).select("report_id", "line", F.length(F.regexp_extract("raw", mark, 1)).alias("level"), T.strip_inline_markdown(F.regexp_extract("raw", mark, 2)).alias("text")).where("text <> ''")
     named = found.withColumn("slug", T.heading_slug(F.col("text")))
     k = F.row_number().over(Window.partitionBy("report_id", "slug").orderBy("line"))

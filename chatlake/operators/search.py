@@ -5,7 +5,7 @@ Many queries run as one job: a query is a row. Statistics are of the whole corpu
 
 from __future__ import annotations
 
-import uuid
+import math
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
@@ -15,94 +15,148 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as T
+from chatlake.sources import runs
 
 K1, B = 1.2, 0.75
 #: idf of a phrase that is in half of all rows or more.
 LEAST_IDF = 1e-6
 #: Tokens of an excerpt.
 WINDOW = 24
+#: Buckets of postings by their term, levels of their weight, and messages of which a bucket's postings are one task.
+BUCKETS, LEVELS, SALT_MESSAGES = 16, 16, 1_000_000
+#: Terms that are named in the scan's filter at most, and of which the bounds are looked up.
+PUSHED_TERMS = 200
 #: Phrase terms, limited hits and allowed conversations that are broadcast at most; beyond, the join shuffles.
 BROADCAST_TERMS, BROADCAST_HITS, BROADCAST_IDS = 50_000, 20_000, 200_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, message_id, conversation_id, col, positions, dl) and stats (n_docs, sum_dl), of which there is a row for each append; col 0 is the title, 1 the content, dl the terms of both."""
+    """postings, blocks (their bounds by term and level), and the number of messages and of their tokens, titles included."""
 
     postings: DataFrame
-    stats: DataFrame
+    blocks: DataFrame
+    n_docs: int
+    n_tokens: int
 
 
-def build(conversations: DataFrame, messages: DataFrame) -> Index:
-    """Index messages by the terms of their content and of their conversation's title, which counts in every row."""
-    titled = messages.join(conversations.select(F.col("id").alias("conversation_id"), "title").hint("merge"), "conversation_id")
-    terms = titled.select(F.col("id").alias("message_id"), "conversation_id", T.tokens(F.col("title")).alias("t0"), T.tokens(F.col("content")).alias("t1"))
-    sized = terms.withColumn("dl", F.size("t0") + F.size("t1"))
-    spots = sized.select("message_id", "conversation_id", "dl", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("col"), F.col("t1").alias("t")))).alias("f"))
-    each = spots.select("message_id", "conversation_id", "dl", F.col("f.col").alias("col"), F.posexplode("f.t").alias("pos", "term"))
-    # A message's tokens are in one task, so this aggregate combines before it shuffles.
-    postings = each.groupBy("term", "message_id", "conversation_id", "col", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, sized.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl")))
-
-
-def save(conversations: DataFrame, messages: DataFrame, root: str, mode: str = "overwrite", buckets: int = 64) -> None:
-    """Index messages in the index at root: postings by bucket of the term, sorted, so that a query reads its terms' buckets and row groups. [SNK-2]
-
-    mode append adds the messages that the index does not have, by their ids, so that a repeated import changes nothing. Ids are written
-    last: an append that was broken off is repeated whole, and its postings, which name their run, are read only once their ids are there.
+def bucket_of(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _level(f: Column, dl: Column) -> Column:
+    """Of a posting's weight, for any idf and mean length, in steps: higher levels hold the better postings."""
+    return F.floor(LEVELS * f / (f + K1 * (1 - B + B * dl / F.lit(256.0)))).cast("int")
+
+
+def postings_of(titled: DataFrame) -> DataFrame:
+    """Rows (term, message_id, conversation_id, level, positions, dl, bucket) of messages (id, conversation_id, title, content): one for each term of a message.
+
+    A title counts in every row; its tokens come first, and a place is left out after them, so that no phrase goes from one to the other. A message's
+    terms are gathered within its row: nothing is shuffled.
     """
-    spark = messages.sparkSession
-    if mode == "append" and _exists(spark, f"{root}/ids"):
-        messages = messages.join(_saved(spark, root, "ids").select(F.col("message_id").alias("id")).hint("merge"), "id", "left_anti")
-    elif mode != "append":
-        _delete(spark, root)
-    run = uuid.uuid4().hex
-    once = messages.dropDuplicates(["id"])
-    index = build(conversations, once)
-    bucketed = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("run", F.lit(run))
-    bucketed.repartition("bucket", F.pmod(F.xxhash64("message_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("run", "bucket").parquet(f"{root}/postings")
-    index.stats.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{root}/stats")
-    # The ids of what the postings' run holds, also of messages without a term.
-    joined = once.join(conversations.select(F.col("id").alias("conversation_id")).hint("merge"), "conversation_id")
-    joined.select(F.col("id").alias("message_id"), F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(f"{root}/ids")
-
-
-SCHEMAS = {
-    "postings": "term string, message_id string, conversation_id string, col int, dl int, positions array<int>, run string, bucket int",
-    "stats": "n_docs long, sum_dl long, run string",
-    "ids": "message_id string, run string",
+    t0, t1 = T.tokens(F.col("title")), T.tokens(F.col("content"))
+    split = titled.select(F.col("id").alias("message_id"), "conversation_id", t0.alias("t0"), t1.alias("t1")).withColumn("dl", F.size("t0") + F.size("t1")).where("dl > 0")
+
+    def spots(tokens: str, before: Column) -> Column:
+        return F.transform(tokens, lambda w, i: F.struct(w.alias("w"), (i + before).alias("p")))
+
+    in_order = split.withColumn("s", F.array_sort(F.concat(spots("t0", F.lit(0)), spots("t1", F.size("t0") + 1)))).drop("t0", "t1")
+    begins = in_order.withColumn("b", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i)["w"] != F.get("s", i - 1)["w"])))
+    groups = F.transform("b", lambda at, k: F.struct(F.get("s", at)["w"].alias("term"), F.transform(F.slice("s", at + 1, F.coalesce(F.get("b", k + 1), F.col("dl")) - at), lambda x: x["p"]).alias("positions")))
+    each = begins.select("message_id", "conversation_id", "dl", F.explode(groups).alias("g")).select("g.term", "message_id", "conversation_id", "g.positions", "dl")
+    return each.withColumn("level", _level(F.size("positions"), F.col("dl"))).withColumn("bucket", bucket_of("term")).select(*_columns(POSTINGS))
+
+
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """Rows (term, level, n, least_f, most_f, least_dl, most_dl, tokens) of postings."""
+    f = F.size("positions")
+    return postings.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.min(f).alias("least_f"), F.max(f).alias("most_f"), F.min("dl").alias("least_dl"), F.max("dl").alias("most_dl"), F.sum(f).alias("tokens"))
+
+
+def _merged_blocks(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term", "level").agg(F.sum("n").alias("n"), F.min("least_f").alias("least_f"), F.max("most_f").alias("most_f"), F.min("least_dl").alias("least_dl"), F.max("most_dl").alias("most_dl"), F.sum("tokens").alias("tokens"))
+
+
+def _deal(postings: DataFrame, messages: int) -> DataFrame:
+    """Postings by bucket, and by the message's salt where the messages are many: a term that all messages hold is dealt to as many tasks as they need."""
+    if messages > SALT_MESSAGES:
+        salts = messages // SALT_MESSAGES + 1
+        postings = postings.repartition(BUCKETS * salts, "bucket", F.pmod(F.xxhash64("message_id"), F.lit(salts)))
+    return postings.sortWithinPartitions("bucket", "term", F.desc("level"))
+
+
+POSTINGS = "term string, message_id string, conversation_id string, level int, positions array<int>, dl int, bucket int"
+BLOCKS = "term string, level int, n long, least_f int, most_f int, least_dl int, most_dl int, tokens long"
+
+
+def _columns(schema: str) -> list[str]:
+    return [x.strip().split(" ")[0] for x in schema.split(",")]
+
+
+#: The tables of an index. An archive has the first two beside its own.
+TABLES = {
+    "postings": runs.Table(POSTINGS, ("bucket", "term"), _deal, partition=("bucket",)),
+    "blocks": runs.Table(BLOCKS, ("term", "level"), merge=_merged_blocks),
+    "ids": runs.Table("message_id string", ("message_id",)),
 }
 
 
-def _saved(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+def build(conversations: DataFrame, messages: DataFrame) -> Index:
+    """An index that is not saved: postings are made again for each query."""
+    titled = _titled(conversations, messages)
+    postings = postings_of(titled)
+    blocks = blocks_of(postings)
+    return Index(postings, blocks, titled.count(), blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+
 
+def _titled(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    return messages.select("id", "conversation_id", "content").join(conversations.select(F.col("id").alias("conversation_id"), "title").hint("merge"), "conversation_id")
 
-def _store(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+def _once(messages: DataFrame) -> DataFrame:
+    """One row of each id: the least. Texts move only where an id comes twice."""
+    rows = messages.select("id", "conversation_id", "content")
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    if twice.isEmpty():
+        return rows
+    least = rows.join(twice.hint("merge"), "id").groupBy("id").agg(F.min(F.struct("conversation_id", "content")).alias("r")).select("id", "r.*")
+    return rows.join(twice.hint("merge"), "id", "left_anti").unionByName(least)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at, files = _store(spark, path)
-    return files.exists(at)
 
+def add_to(run: runs.Run, titled: DataFrame, messages: int) -> None:
+    """Write the postings of `messages` many messages (id, conversation_id, title, content), and their bounds, as part of a run. [SNK-2]"""
+    rows = run.write("postings", postings_of(titled), messages)
+    blocks = blocks_of(run.read("postings"))
+    run.write("blocks", blocks, rows)
+    run.numbers |= {"docs": messages, "tokens": run.read("blocks").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]}
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at, files = _store(spark, path)
-    files.delete(at, True)
 
+def save(conversations: DataFrame, messages: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Index messages in the index at root: postings by bucket of the term, sorted by term and level, so that a query reads its terms' buckets and row groups. [SNK-2]
 
-def load(spark: SparkSession, root: str, query: str | None = None, buckets: int = 64) -> Index:
-    """Read a saved index; with a query, only the buckets of its terms."""
-    at, files = _store(spark, f"{root}/ids")
-    runs = [x.getPath().getName().partition("=")[2] for x in files.listStatus(at) if x.isDirectory()]  # one for each append
-    postings = _saved(spark, root, "postings").where(F.col("run").isin(runs))
-    if query is not None:
-        terms = query_terms(spark.createDataFrame([("q", query)], "query_id string, query string"))
-        hit = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
-        postings = postings.where(F.col("bucket").isin(hit)) if hit else postings.where("false")
-    return Index(postings.drop("bucket", "run"), _saved(spark, root, "stats").where(F.col("run").isin(runs)))
+    mode append adds the messages that the index does not have, by their ids, so that a repeated import changes nothing, and merges small runs. A run
+    counts from its commit on: one that was broken off is not there. Messages without their conversation are left out.
+    """
+    spark = messages.sparkSession
+    base = runs.current(spark, root)
+    if mode == "append" and base.runs:
+        messages = messages.join(runs.read(spark, root, "ids", TABLES["ids"], base).select(F.col("message_id").alias("id")).hint("merge"), "id", "left_anti")
+    run = runs.Run(spark, root, TABLES)
+    titled = _titled(conversations, _once(messages))
+    n = run.write("ids", titled.select(F.col("id").alias("message_id")), messages.count())
+    if n or mode != "append":
+        add_to(run, titled, n)
+        runs.commit(spark, root, base, [run.entry()], () if mode == "append" else tuple(r["run"] for r in base.runs))
+        runs.compact(spark, root, TABLES)
+    else:
+        run.drop()
+
+
+def load(spark: SparkSession, root: str) -> Index:
+    """The saved index at root, or that of the archive at root. Queries read the buckets of their terms."""
+    now = runs.current(spark, root)
+    return Index(runs.read(spark, root, "postings", TABLES["postings"], now), runs.read(spark, root, "blocks", TABLES["blocks"], now), now.total("docs"), now.total("tokens"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -112,27 +166,79 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "phrase", "k", F.size("terms").alias("m"), F.posexplode("terms").alias("offset", "term"))
 
 
-def rank(queries: DataFrame, index: Index) -> DataFrame:
+def _weight(f: float, dl: float, mean: float) -> float:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean))
+
+
+def _idf(n: int, docs: int) -> float:
+    raw = math.log((docs - n + 0.5) / (n + 0.5))
+    return raw if raw > 0 else LEAST_IDF
+
+
+def least_level(blocks: list, best: int, docs: int, mean: float) -> int:
+    """The lowest level that can hold one of the `best` postings of a term with these blocks. [SRT-1]
+
+    The blocks of the highest lower bounds that together have `best` postings set a score that those reach; blocks whose upper bound is below it have none.
+    """
+    idf, seen, reached = _idf(sum(b["n"] for b in blocks), docs), 0, -1.0
+    for low, n in sorted(((idf * _weight(b["least_f"], b["most_dl"], mean), b["n"]) for b in blocks), reverse=True):
+        seen += n
+        if seen >= best:
+            reached = low
+            break
+    return min(b["level"] for b in blocks if idf * _weight(b["most_f"], b["least_dl"], mean) >= reached - 1e-8)
+
+
+def rank(queries: DataFrame, index: Index, best: int | None = None) -> DataFrame:
     """Rows (query_id, message_id, conversation_id, score) of the messages that hold all phrases of a query; lower scores are better. [SEA-2, SEA-3, FLT-5, AGG-9]
 
-    All postings of a query's terms in a message are brought together once; both aggregates below use that.
+    The postings are scanned once, in the buckets of the queries' terms and, if those are few, in the row groups that hold them. best: as many rows of each query
+    are wanted, so that of the postings of a query of one word those levels are left out whose bounds show that they hold none of them.
     """
-    terms = query_terms(queries)
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hits = index.postings.join(F.broadcast(terms) if few else terms.hint("merge"), "term").select("query_id", "message_id", "conversation_id", "dl", "k", "phrase", "m", "col", "offset", "positions")
-    hits = hits.repartition("query_id", "message_id")
+    spark = queries.sparkSession
+    terms = query_terms(queries).withColumn("bucket", bucket_of("term"))
+    held = terms.limit(BROADCAST_TERMS + 1).collect()
+    mean = index.n_tokens / index.n_docs if index.n_tokens else 1.0
+    if len(held) > BROADCAST_TERMS:
+        hits = index.postings.join(terms.withColumn("least", F.lit(0)).hint("merge"), ["bucket", "term"])
+        return _scored(_found(hits), index.n_docs, mean, None, False)
+    names = sorted({r["term"] for r in held})
+    least, counts, pushed = {}, None, index.postings.where(F.col("bucket").isin(sorted({r["bucket"] for r in held})))
+    if len(names) <= PUSHED_TERMS:
+        pushed = pushed.where(F.col("term").isin(names))
+        if all(r["m"] == 1 for r in held):
+            bounds: dict[str, list] = {}
+            for b in _merged_blocks(index.blocks.where(F.col("term").isin(names))).collect():  # a row for each term and level
+                bounds.setdefault(b["term"], []).append(b)
+            counts = spark.createDataFrame([(r["query_id"], r["phrase"], sum(b["n"] for b in bounds.get(r["term"], []))) for r in held], "query_id string, phrase int, n long")
+            least = {r["query_id"]: least_level(bounds[r["term"]], best, index.n_docs, mean) for r in held if best and r["k"] == 1 and r["term"] in bounds}
+            pushed = pushed.where(F.col("level") >= min((least.get(r["query_id"], 0) for r in held), default=0))
+    asked = spark.createDataFrame([(*r, least.get(r["query_id"], 0)) for r in held], "query_id string, phrase int, k int, m int, offset int, term string, bucket int, least int")
+    hits = pushed.join(F.broadcast(asked), ["bucket", "term"]).where("level >= least")
+    return _scored(_found(hits, phrases=any(r["m"] > 1 for r in held)), index.n_docs, mean, counts, True)
+
+
+def _found(hits: DataFrame, phrases: bool = True) -> DataFrame:
+    """Rows (query_id, message_id, conversation_id, dl, k, phrase, f): how often a message holds a phrase. All postings of a phrase's terms in a message are brought together once."""
     key = ["query_id", "message_id", "conversation_id", "dl", "k", "phrase"]
-    starts = F.explode(F.transform("positions", lambda p: p - F.col("offset")))
-    single = hits.where("m = 1").groupBy(*key).agg(F.sum(F.size("positions")).alias("f"))
-    longer = hits.where("m > 1").select(*key, "m", "col", starts.alias("start")).groupBy(*key, "m", "col", "start").agg(F.count(F.lit(1)).alias("c")).where("c = m").groupBy(*key).agg(F.count(F.lit(1)).alias("f"))
-    found = single.unionByName(longer)
-    spread = found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
-    stats = index.stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("rows"), (F.sum("sum_dl") / F.sum("n_docs")).alias("avgdl"))
+    if not phrases:
+        return hits.select(*key, F.size("positions").alias("f"))
+    begins = F.transform("positions", lambda p: p - F.col("offset"))  # where the phrase would begin
+    met = hits.groupBy(*key, "m").agg(F.collect_list(begins).alias("b")).where(F.size("b") == F.col("m"))
+    both = F.aggregate(F.slice("b", 2, F.col("m")), F.get("b", F.lit(0)), lambda x, y: F.array_intersect(x, y))
+    return met.select(*key, F.size(both).alias("f")).where("f > 0")
+
+
+def _scored(found: DataFrame, docs: int, mean: float, counts: DataFrame | None, few: bool) -> DataFrame:
+    if counts is None:
+        # What was found is counted, then scored: written, so that the postings are read once.
+        found = runs.written(found, runs.scratch(found.sparkSession))
+        counts = found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
     # One row for each phrase: as few as the terms, and merging by phrase would bring all hits of a phrase to one task.
-    joined = found.join(F.broadcast(spread) if few else spread.hint("merge"), ["query_id", "phrase"]).crossJoin(F.broadcast(stats))  # one row of statistics
-    raw = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    joined = found.join(F.broadcast(counts) if few else counts.hint("merge"), ["query_id", "phrase"])
+    raw = F.log((docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     scored = joined.groupBy("query_id", "message_id", "conversation_id", "k").agg(F.count(F.lit(1)).alias("_p"), (-F.sum(part)).alias("score"))
     return scored.where("_p = k").select("query_id", "message_id", "conversation_id", "score")
 
@@ -158,7 +264,7 @@ def search_batch(queries: DataFrame, index: Index, conversations: DataFrame, mes
     Ties go by conversation id and message index. Excerpts are made of the rows that are left.
     """
     limit = max(1, limit)
-    ranked = rank(queries, index).withColumn("message_index", F.element_at(F.split("message_id", ":"), -1).cast("int"))
+    ranked = rank(queries, index, None if any(filters.values()) else limit).withColumn("message_index", F.element_at(F.split("message_id", ":"), -1).cast("int"))
     if any(filters.values()):
         allowed = filtered(conversations, **filters).select(F.col("id").alias("conversation_id"))
         few = allowed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

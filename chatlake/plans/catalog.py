@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as T
 from chatlake.operators import export, normalize, reports, search, stats, store
-from chatlake.plans.adapters import archive, archive_sql, documents_archive, exports_of
+from chatlake.plans.adapters import MESSAGE_TIME, archive, archive_sql, documents_archive, exports_of, zipped
 from chatlake.sources.exports import read_exports
+from chatlake.sources.runs import scratch
 from chatlake.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,19 +38,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared one that spark.checkpoint.dir names; where that is unset, a temporary one on local masters, and RuntimeError on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="chatlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/archive/{uuid.uuid4().hex}"
-
-
 _indexes: dict[tuple[str, str, str], str] = {}
 
 
@@ -59,20 +46,25 @@ def _indexed(spark: SparkSession, sf_dir: str, table: str = "conversations") ->
     c, m = archive(spark, sf_dir) if table == "conversations" else documents_archive(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _indexes:
-        root = work_dir(spark)
+        root = scratch(spark)
         search.save(c, m, root)
         _indexes[key] = root
     return search.load(spark, _indexes[key]), c, m
 
 
+#: All roles that a layout keeps: layout A has system and tool, layout B's rule drops them.
+_KEPT = f"SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content, {MESSAGE_TIME.format('m.conv_id', 'm.message_index')} AS timestamp FROM m JOIN c ON c.id = m.conversation_id WHERE CASE WHEN source = 'chatgpt' THEN role IN ('user', 'assistant', 'system', 'tool') ELSE role IN ('user', 'assistant') END AND regexp_matches(content, '[^\\s]')"
 # Search
 
 
 def _bm25_sql(asked: dict[str, str], docs: str = "conversations", where: str = "true", limit: int = 20) -> str:
     """hits(query_id, rank, score, message_id, conversation_id, ...) of queries, as common table expressions."""
     toks = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+    kept = f"SELECT conversation_id || ':' || message_index AS message_id, conversation_id, message_index, role, source, title, created_at, {toks.format('title')} AS t0, {toks.format('content')} AS t1 FROM k JOIN c ON c.id = k.conversation_id"
     base = (
-        archive_sql() + f", d AS (SELECT m.id AS message_id, conversation_id, message_index, role, source, title, created_at, {toks.format('title')} AS t0, {toks.format('content')} AS t1 FROM m JOIN c ON c.id = m.conversation_id)"
+        f"{archive_sql()}, k AS ({_KEPT}), d AS ({kept})"
+        if docs == "kept"
+        else archive_sql() + f", d AS (SELECT m.id AS message_id, conversation_id, message_index, role, source, title, created_at, {toks.format('title')} AS t0, {toks.format('content')} AS t1 FROM m JOIN c ON c.id = m.conversation_id)"
         if docs == "conversations"
         else f"d AS (SELECT doc_id || ':0' AS message_id, CAST(doc_id AS VARCHAR) AS conversation_id, 0 AS message_index, 'user' AS role, source, '' AS title, '' AS created_at, CAST([] AS VARCHAR[]) AS t0, coalesce({toks.format('text')}, []) AS t1 FROM documents)"
     )
@@ -136,13 +128,13 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_bm25_sql(WORDS, limit=120)}, g AS (SELECT query_id, conversation_id, min(rank) AS best, count(*) AS match_count, array_to_string(list(message_id ORDER BY rank)[1:3], ',') AS shown FROM hits GROUP BY ALL)
+    f"""WITH {_bm25_sql(WORDS, limit=120)}, g AS (SELECT query_id, conversation_id, min(rank) AS best, count(*) AS match_count, array_to_string(list(message_id || '/' || rank || '/' || message_index || '/' || role ORDER BY rank)[1:3], ',') AS shown FROM hits GROUP BY ALL)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best) AS INTEGER) AS place, conversation_id, match_count, shown, source, title, raw_message_count FROM g JOIN c ON c.id = conversation_id QUALIFY place <= 20"""
 )
 def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, c, m = _indexed(spark, sf_dir)
     groups = search.search_conversations(_ask(spark, WORDS), index, c, m)
-    return groups.select("query_id", "place", "conversation_id", "match_count", F.array_join(F.transform("excerpts", lambda e: e["message_id"]), ",").alias("shown"), "source", "title", "raw_message_count")
+    return groups.select("query_id", "place", "conversation_id", "match_count", F.array_join(F.transform("excerpts", lambda e: F.concat_ws("/", e["message_id"], e["rank"].cast("string"), e["message_index"].cast("string"), e["role"])), ",").alias("shown"), "source", "title", "raw_message_count")
 
 
 @_query(f"WITH {_bm25_sql({'d': 'the', 'e': 'los', 'f': 'été'}, docs='documents')} SELECT {_HIT} FROM hits".replace("'été'", "'ete'"))
@@ -155,7 +147,7 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_bm25_sql(MANY, limit=10)} SELECT {_HIT} FROM hits")
 def search_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, m = archive(spark, sf_dir)
-    root = work_dir(spark)
+    root = scratch(spark)
     search.save(c, m.where("message_index % 2 = 0"), root)
     for _ in range(2):  # the second time appends nothing
         search.save(c, m, root, "append")
@@ -168,9 +160,24 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_batch(_ask(spark, WORDS | PHRASE), index, c, m).select("query_id", "rank", "message_id", "excerpt")
 
 
-@_query(f"WITH {archive_sql()} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(title, '[^ ]+'), lambda t: regexp_replace(regexp_replace(t, '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '')), lambda t: t <> ''))), ' ') AS terms FROM c")
+#: What is asked for a title x: its first two words in quotes, itself, and itself with a word more in other quotes.
+_ASKED = """'"' || split_part(x, ' ', 1) || ' ' || split_part(x, ' ', 2) || '" ' || x || ' ''' || x || ' once'''"""
+_QUOTED = """regexp_extract_all(q, '"[^"]+"|''[^'']+''|[^\\s]+')"""
+
+
+@_query(
+    f"""WITH {archive_sql()}, q AS (SELECT id, {_ASKED} AS q FROM (SELECT id, replace(replace(title, '"', ''), '''', '') AS x FROM c)),
+    raw AS (SELECT id, unnest({_QUOTED}) AS t, generate_subscripts({_QUOTED}, 1) AS i FROM q),
+    bare AS (SELECT id, i, regexp_replace(regexp_replace(trim(regexp_replace(t, '^["'']|["'']$', '', 'g')), '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '') AS t FROM raw),
+    once AS (SELECT id, t, min(i) AS i FROM bare WHERE t <> '' GROUP BY id, t)
+    SELECT id, string_agg(t, '|' ORDER BY length(t) DESC, i) AS terms FROM once GROUP BY id"""
+)
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(spark, sf_dir)[0].select("id", F.array_join(F.array_sort(T.highlight_terms(F.replace(F.replace("title", F.lit('"'), F.lit("")), F.lit("'"), F.lit("")))), " ").alias("terms"))
+    """The terms of queries made of titles, with quoted parts, in their order."""
+    x = F.replace(F.replace("title", F.lit('"'), F.lit("")), F.lit("'"), F.lit(""))
+    words = F.concat(F.split_part(x, F.lit(" "), F.lit(1)), F.lit(" "), F.split_part(x, F.lit(" "), F.lit(2)))
+    asked = F.concat(F.lit('"'), words, F.lit('" '), x, F.lit(" '"), x, F.lit(" once'"))
+    return archive(spark, sf_dir)[0].select("id", F.array_join(T.highlight_terms(asked), "|").alias("terms"))
 
 
 @_query(f"WITH {archive_sql()} SELECT m.id, regexp_replace(content, '(?i)(the|of)', '<mark>\\1</mark>', 'g') AS marked FROM m")
@@ -291,7 +298,7 @@ def _write_exports(spark: SparkSession, sf_dir: str) -> str:
     """Export files of the conversations table in a fresh shared folder's exports/a and exports/b, about PER_FILE conversations each, and a broken file for every conversation whose id ends in 0 in exports/broken; the folder."""
     c, m = archive(spark, sf_dir)
     tree, flat = exports_of(c, m)
-    root = work_dir(spark)
+    root = scratch(spark)
     tree.select(F.lit("a").alias("kind"), "id", "value").unionByName(flat.select(F.lit("b").alias("kind"), "id", "value")).write.parquet(f"{root}/made")
     made = spark.read.parquet(f"{root}/made")
     n = made.count() // (2 * PER_FILE) + 1
@@ -316,15 +323,35 @@ def _export_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     return _relative(read_exports(spark, f"{root}/exports")[0]), root
 
 
-#: All roles that a layout keeps: layout A has system and tool, layout B's rule drops them.
-_KEPT = "SELECT m.id, m.conversation_id, CAST(row_number() OVER (PARTITION BY m.conversation_id ORDER BY message_index) - 1 AS INTEGER) AS message_index, role, content FROM m JOIN c ON c.id = m.conversation_id WHERE CASE WHEN source = 'chatgpt' THEN role IN ('user', 'assistant', 'system', 'tool') ELSE role IN ('user', 'assistant') END AND regexp_matches(content, '[^\\s]')"
 _COUNTS = f"WITH {archive_sql()}, k AS ({_KEPT}), n AS (SELECT count(DISTINCT conversation_id) AS cs, count(*) AS ms FROM k), b AS (SELECT count(*) AS bad FROM c WHERE id LIKE '%0')"
 
 
-@_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, conversation_id, message_index, role, content FROM k")
+_INGESTED = f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT conversation_id || ':' || message_index AS id, conversation_id, message_index, role, content, timestamp FROM k"
+
+
+def _messages(conversations: DataFrame) -> DataFrame:
+    return normalize.explode_messages(conversations).select("id", "conversation_id", "message_index", "role", "content", "timestamp")
+
+
+@_query(_INGESTED)
 def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = _export_files(spark, sf_dir)
-    return normalize.explode_messages(normalize.normalize(files)[0]).select("id", "conversation_id", "message_index", "role", "content")
+    return _messages(normalize.normalize(files)[0])
+
+
+@_query(_INGESTED)
+def ingest_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ingest_messages with every file read by element, in ranges, as huge ones are."""
+    root = _write_exports(spark, sf_dir)
+    return _messages(normalize.normalize(read_exports(spark, f"{root}/exports", large=1)[0])[0])
+
+
+@_query(_INGESTED)
+def ingest_zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ingest_messages with the files in zip archives."""
+    files, root = _export_files(spark, sf_dir)
+    zipped(files, f"{root}/zips")
+    return _messages(normalize.normalize(read_exports(spark, f"{root}/zips/*.zip")[0])[0])
 
 
 @_query(f"WITH {archive_sql()}, k AS ({_KEPT}) SELECT c.id, source, title, created_at, CAST(count(*) AS INTEGER) AS raw_message_count FROM k JOIN c ON c.id = k.conversation_id GROUP BY ALL")
@@ -339,6 +366,17 @@ def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(files)[1]
 
 
+@_query(f"WITH {_bm25_sql(WORDS | PHRASE, docs='kept')} SELECT {_HIT} FROM hits")
+def search_after_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive is searched after each layout's files were imported, and those of the first again: imports keep its index."""
+    files, root = _export_files(spark, sf_dir)
+    of_a = F.regexp_replace("source_path", "^broken/", "").startswith("a/")
+    for part in (of_a, ~of_a, of_a):
+        store.ingest(spark, f"{root}/archive", files.where(part))
+    c, m = store.read(spark, f"{root}/archive", "conversations"), store.read(spark, f"{root}/archive", "messages")
+    return search.search_batch(_ask(spark, WORDS | PHRASE), search.load(spark, f"{root}/archive"), c, m, with_excerpts=False).drop("timestamp").withColumn("score", F.round("score", 6))
+
+
 @_query(f"{_COUNTS} SELECT 1 AS run, cs AS parsed, cs AS inserted_conversations, ms AS inserted_messages, bad AS skipped FROM n, b UNION ALL SELECT 2, cs, 0, 0, bad FROM n, b")
 def upsert_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, root = _export_files(spark, sf_dir)
@@ -377,8 +415,8 @@ def _selected(conversations: DataFrame) -> DataFrame:
     return conversations.select(key.alias("report_id"), (F.row_number().over(Window.partitionBy(key).orderBy("conv_id")) - 1).alias("ord"), F.col("id").alias("conversation_id"))
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    c, m = archive(spark, sf_dir, korean=True)
+def _inputs(spark: SparkSession, sf_dir: str, long: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    c, m = archive(spark, sf_dir, korean=True, long=long)
     chosen = _selected(c)
     return c, m, chosen, reports.inputs(chosen, c, m)
 
@@ -431,7 +469,8 @@ def _next_fit_sql(name: str, extra: int, most: int = 10_000) -> str:
     )"""
 
 
-_CHUNKS = f"""WITH RECURSIVE {archive_sql(True)}, s AS ({_SELECT}), {_DOCS},
+def _chunks_sql(long: bool = False) -> str:
+    return f"""WITH RECURSIVE {archive_sql(True, long)}, s AS ({_SELECT}), {_DOCS},
     f AS MATERIALIZED (SELECT report_id AS g, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS k, length(document) AS n, ord, document FROM docs), {_next_fit_sql("f", 0)},
     lines AS MATERIALIZED (SELECT g || '/' || ord AS g, g AS report_id, ord, unnest(range(1, len(bs) + 1)) AS k, unnest(bs) AS b FROM (SELECT *, string_split(document, chr(10) || chr(10)) AS bs FROM f WHERE n > 10000)),
     e AS MATERIALIZED (SELECT *, length(b) AS n FROM lines), {_next_fit_sql("e", 2)},
@@ -443,9 +482,20 @@ _CHUNKS = f"""WITH RECURSIVE {archive_sql(True)}, s AS ({_SELECT}), {_DOCS},
     chunks AS (SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY slot, piece) AS INTEGER) AS chunk, count(*) OVER (PARTITION BY report_id) AS n_chunks, text FROM texts)"""
 
 
-@_query(f"{_CHUNKS} SELECT report_id, chunk, n_chunks, CAST(length(text) AS INTEGER) AS n, sha256(text) AS digest FROM chunks")
-def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.pack_chunks(reports.documents(_inputs(spark, sf_dir)[3]), 10_000).select("report_id", "chunk", "n_chunks", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
+_CHUNKS = _chunks_sql()
+_PACKED = "SELECT report_id, chunk, n_chunks, CAST(length(text) AS INTEGER) AS n, sha256(text) AS digest FROM chunks"
+
+
+@_query(f"{_CHUNKS} {_PACKED}")
+def pack_chunks(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
+    packed = reports.pack_chunks(reports.documents(_inputs(spark, sf_dir, long)[3]), 10_000)
+    return packed.select("report_id", "chunk", "n_chunks", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@_query(f"{_chunks_sql(True)} {_PACKED}")
+def pack_long_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_chunks of texts of which many are over the limits of a message and of a chunk."""
+    return pack_chunks(spark, sf_dir, long=True)
 
 
 _LANGUAGE = "l AS (SELECT report_id, CASE WHEN hangul > 0 AND hangul >= latin * 0.35 THEN 'ko' ELSE 'en' END AS language FROM v)"
@@ -472,10 +522,13 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("report_id", "chunk", "n_chunks", "language", F.sha2(F.concat("system", "prompt"), 256).alias("digest"), "max_tokens")
 
 
-@_query(f"WITH {archive_sql(True)}, s AS ({_SELECT}) SELECT report_id, count(DISTINCT ord) AS source_count, sum(length(content))::BIGINT AS source_chars FROM s JOIN m USING (conversation_id) GROUP BY report_id")
+@_query(
+    f"""{_CHUNKS}, n AS (SELECT report_id, count(DISTINCT ord) AS source_count, sum(length(content))::BIGINT AS source_chars FROM s JOIN m USING (conversation_id) GROUP BY report_id)
+    SELECT report_id, source_count, count(*) AS chunk_count, source_chars, sum(length(text))::BIGINT AS context_chars, CASE WHEN count(*) = 1 THEN 1 ELSE count(*) + 1 END AS calls FROM chunks JOIN n USING (report_id) GROUP BY report_id, source_count, source_chars"""
+)
 def report_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _inputs(spark, sf_dir)[3]
-    return reports.measures(rows, reports.pack_chunks(reports.documents(rows), 10_000)).select("report_id", "source_count", "source_chars")
+    return reports.measures(rows, reports.pack_chunks(reports.documents(rows), 10_000))
 
 
 def _stub(rows: pd.DataFrame) -> pd.Series:
@@ -484,9 +537,23 @@ def _stub(rows: pd.DataFrame) -> pd.Series:
     return "## Overview\n\n" + found.map(lambda x: " ".join(dict.fromkeys(x)))
 
 
+@_query(
+    f"""{_CHUNKS}, {_VOTE}, {_LANGUAGE}, t(language, system, whole, part) AS (VALUES {_said_sql()}), lead(language, lead) AS (VALUES {", ".join(f"('{k}', {_quote(v)})" for k, v in reports.ASK_MERGE.items())}),
+    cites AS (SELECT report_id, chunk, n_chunks, unnest(x) AS cite, generate_subscripts(x, 1) AS i FROM (SELECT *, regexp_extract_all(text, '\\[[0-9a-f]{{16}}#m\\d+\\]') AS x FROM chunks WHERE n_chunks > 1)),
+    once AS (SELECT report_id, chunk, n_chunks, cite, min(i) AS i FROM cites GROUP BY ALL), outs AS (SELECT report_id, n_chunks, chunk, '## Overview' || chr(10) || chr(10) || string_agg(cite, ' ' ORDER BY i) AS o FROM once GROUP BY ALL),
+    notes AS (SELECT report_id, CAST(n_chunks AS INTEGER) AS n_chunks, string_agg(o, {_quote(reports.BETWEEN)} ORDER BY chunk) AS notes FROM outs GROUP BY ALL)
+    SELECT report_id, n_chunks, language, sha256(system || lead || notes || chr(10)) AS digest, {reports.REPORT_TOKENS} AS max_tokens FROM notes JOIN l USING (report_id) JOIN t USING (language) JOIN lead USING (language)"""
+)
+def merge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _inputs(spark, sf_dir)[3]
+    asked = reports.chunk_prompts(reports.pack_chunks(reports.documents(rows), 10_000), reports.languages(rows))
+    made = reports.merge_prompts(reports.generate(asked.where("n_chunks > 1"), _stub, store=f"{scratch(spark)}/outputs"))
+    return made.select("report_id", "n_chunks", "language", F.sha2(F.concat("system", "prompt"), 256).alias("digest"), "max_tokens")
+
+
 def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c, m, chosen, _ = _inputs(spark, sf_dir)
-    return c, m, reports.build_reports(chosen, c, m, _stub, work_dir(spark), 10_000, provider="stub", model="echo", created_at="2024-06-01T00:00:00+00:00")
+    return c, m, reports.build_reports(chosen, c, m, _stub, scratch(spark), 10_000, provider="stub", model="echo", created_at="2024-06-01T00:00:00+00:00")
 
 
 _CITED = f"WITH {archive_sql(True)}, s AS ({_SELECT})"
@@ -495,34 +562,29 @@ _CITED = f"WITH {archive_sql(True)}, s AS ({_SELECT})"
 _ADDED = ", ".join(f"('{k}', {_quote(chr(10).join(f'{chr(10)}## {x}{chr(10)}{chr(10)}{reports.FALLBACK[k]}' for x in names if x != 'Overview'))})" for k, names in reports.SECTIONS.items())
 
 
-@_query(
-    f"""{_CITED}, {_VOTE}, {_LANGUAGE}, a(language, added) AS (VALUES {_ADDED}), r AS (SELECT report_id, '[' || string_agg('"' || conversation_id || '"', ',' ORDER BY ord) || ']' AS selected FROM s GROUP BY report_id),
-    q AS (SELECT report_id, '## Overview' || chr(10) || chr(10) || string_agg('[' || conversation_id || '#m' || message_index || ']', ' ' ORDER BY ord, message_index) AS found FROM s JOIN m USING (conversation_id) GROUP BY report_id)
-    SELECT 'Report ' || report_id AS title, selected, sha256(found || chr(10) || added || chr(10)) AS digest, CAST(length(found || chr(10) || added || chr(10)) AS INTEGER) AS n FROM q JOIN r USING (report_id) JOIN l USING (report_id) JOIN a USING (language)"""
-)
+_MADE = f"""{_CITED}, {_VOTE}, {_LANGUAGE}, a(language, added) AS (VALUES {_ADDED}), r AS (SELECT report_id, '[' || string_agg('"' || conversation_id || '"', ',' ORDER BY ord) || ']' AS selected FROM s GROUP BY report_id),
+    q AS (SELECT report_id, '## Overview' || chr(10) || chr(10) || string_agg('[' || conversation_id || '#m' || message_index || ']', ' ' ORDER BY ord, message_index) AS found FROM s JOIN m USING (conversation_id) GROUP BY report_id),
+    texts AS (SELECT report_id, 'Report ' || report_id AS title, selected, found || chr(10) || added || chr(10) AS markdown FROM q JOIN r USING (report_id) JOIN l USING (report_id) JOIN a USING (language)),
+    made AS (SELECT *, substr(sha256(selected || chr(0) || 'stub' || chr(0) || 'echo' || chr(0) || '2024-06-01T00:00:00+00:00' || chr(0) || title || chr(0) || sha256(markdown)), 1, 32) AS id FROM texts)"""
+
+
+@_query(f"{_MADE} SELECT title, selected, sha256(markdown) AS digest, CAST(length(markdown) AS INTEGER) AS n FROM made")
 def map_merge_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir)[2].select("title", F.to_json("selected_conversation_ids").alias("selected"), F.sha2("markdown", 256).alias("digest"), F.length("markdown").alias("n"))
 
 
-@_query(
-    f"""{_CITED}, r AS (SELECT report_id, '[' || string_agg('"' || conversation_id || '"', ',' ORDER BY ord) || ']' AS ids FROM s GROUP BY report_id)
-    SELECT substr(sha256(ids || chr(0) || 'stub' || chr(0) || 'echo' || chr(0) || '2024-06-01T00:00:00+00:00'), 1, 32) AS id, 'Report ' || report_id AS title, ids AS selected FROM r ORDER BY id LIMIT 5"""
-)
+@_query(f"{_MADE} SELECT id, title, selected FROM made ORDER BY id LIMIT 5")
 def reports_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(_reports(spark, sf_dir)[2], n=5).select("id", "title", F.to_json("selected_conversation_ids").alias("selected"))
 
 
-@_query(
-    f"""{_CITED}, r AS (SELECT report_id, '[' || string_agg('"' || conversation_id || '"', ',' ORDER BY ord) || ']' AS ids FROM s GROUP BY report_id)
-    SELECT substr(sha256(ids || chr(0) || 'stub' || chr(0) || 'echo' || chr(0) || '2024-06-01T00:00:00+00:00'), 1, 32) AS id, 'Report ' || report_id AS title, ids AS selected, 'stub' AS provider, 'echo' AS model,
-      strftime(TIMESTAMP '2024-01-01' + report_id % 50 * INTERVAL 1 DAY, '%Y-%m-%d') AS created_at FROM r"""
-)
+@_query(f"{_MADE} SELECT id, title, selected, 'stub' AS provider, 'echo' AS model, strftime(TIMESTAMP '2024-01-01' + report_id % 50 * INTERVAL 1 DAY, '%Y-%m-%d') AS created_at FROM made")
 def reports_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports saved twice, read back and listed without their text; each has a date of its own."""
     made = _reports(spark, sf_dir)[2]
     number = F.element_at(F.split("title", " "), -1).cast("int")
     dated = made.withColumn("created_at", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), number % 50), "yyyy-MM-dd"))
-    root = work_dir(spark)
+    root = scratch(spark)
     for _ in range(2):
         store.save_reports(dated, root)
     return reports.summaries(store.latest(store.read(spark, root, "insight_reports"))).withColumn("selected", F.to_json("selected_conversation_ids")).drop("selected_conversation_ids")
@@ -587,11 +649,26 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.conversation_markdown(*archive(spark, sf_dir)).select("id", "file_name", F.sha2("markdown", 256).alias("digest"))
 
 
-@_query()
+_SLUG = "coalesce(nullif(trim(substr(regexp_replace(regexp_replace(regexp_replace(trim(lower({0})), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), 1, 60), '-'), ''), 'untitled')"
+
+
+@_query(
+    f"""WITH {_bm25_sql(WORDS | PHRASE, limit=50)}, asked(query_id, query) AS (VALUES {", ".join(f"({_quote(k)}, {_quote(q)})" for k, q in (WORDS | PHRASE).items())}),
+    blocks AS (
+      SELECT query_id, count(*) AS n, string_agg('## ' || rank || '. ' || title || chr(10) || chr(10) || '- Conversation ID: `' || conversation_id || '`' || chr(10) || '- Message ID: `' || message_id || '`' || chr(10)
+        || '- Message index: `' || message_index || '`' || chr(10) || '- Source: `' || source || '`' || chr(10) || '- Role: `' || role || '`' || chr(10) || chr(10) || '(excerpt)' || chr(10) || chr(10), '' ORDER BY rank) AS body FROM hits GROUP BY query_id
+    )
+    SELECT query_id, 'search-' || {_SLUG.format('query')} || '.md' AS file_name,
+      regexp_replace('---' || chr(10) || 'type: search-dossier' || chr(10) || 'query: ''' || query || '''' || chr(10) || 'result_count: ' || coalesce(n, 0) || chr(10) || '---' || chr(10) || chr(10) || '# Search Dossier: ' || query || chr(10) || chr(10) || coalesce(body, ''), '\\s+$', '') || chr(10) AS markdown
+    FROM asked LEFT JOIN blocks USING (query_id)"""
+)
 def export_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dossiers of searches; a word stands for each excerpt, which it takes FTS5 to test."""
     index, c, m = _indexed(spark, sf_dir)
     asked = _ask(spark, WORDS | PHRASE)
-    return export.search_dossier(asked, search.search_batch(asked, index, c, m, 50))
+    hits = search.search_batch(asked, index, c, m, 50)
+    made = export.search_dossier(asked, hits.withColumn("excerpt", F.concat(F.lit("\x01"), "excerpt", F.lit("\x02"))))
+    return made.withColumn("markdown", F.regexp_replace("markdown", "(?s)\x01.*?\x02", "(excerpt)"))
 
 
 __all__ = ["ingest_stream", "oracle_sql", "queries"]

@@ -108,7 +108,9 @@ def test_sources_store_and_stream(spark, tmp_path):
     assert sorted(r[0].rpartition("/in put+1/")[2] for r in files.where("source_path not like '%zip%'").collect()) == ["b.json", "nested/a.json"]
     assert [r["reason"] for r in rejected.collect()] == ["Unsafe zip entry"]
     with pytest.raises(ValueError, match="Unsupported"):
-        exports.read_exports(spark, "x.txt")
+        exports.read_exports(spark, str(folder / "note.txt"))
+    with pytest.raises(ValueError, match="does not exist"):
+        exports.read_exports(spark, str(tmp_path / "x.txt"))
     root = str(tmp_path / "archive")
     first, again = store.ingest(spark, root, files, rejected).first(), store.ingest(spark, root, files).first()
     assert tuple(first) == (3, 2, 4, 1) and tuple(again) == (3, 0, 0, 0)
@@ -213,7 +215,7 @@ def test_saved_index_takes_each_message_once(spark, tmp_path):
     assert search.search_batch(asked, search.load(spark, root), c, m).select("message_id", "score").collect() == first and len(first) == 2
     search.save(c, m, root, "append")
     whole = search.search_batch(asked, search.build(c, m), c, m).select("message_id", "score").collect()
-    assert search.search_batch(asked, search.load(spark, root, "bank"), c, m, title="e\\tw").select("message_id", "score").collect() == whole
+    assert search.search_batch(asked, search.load(spark, root), c, m, title="e\\tw").select("message_id", "score").collect() == whole
     groups = search.search_conversations(asked, search.load(spark, root), c, m)
     assert [len(r["excerpts"]) for r in search.shown_excerpts(groups, 1).collect()] == [1]
     long = "word " * 30 + "hit " * 50_000
