@@ -90,40 +90,61 @@ def documents(rows: DataFrame) -> DataFrame:
     return blocks.select("report_id", "ord", "conversation_id", F.concat(head, F.array_join(F.transform("bs", lambda b: b["b"]), ""), F.lit("</conversation>")).alias("document"))
 
 
-def next_fit(sizes: Column, most: int, extra: int = 0) -> Column:
-    """The slot of each item of an array of sizes, packed in order: a slot takes items while they fit. An item over `most` has a slot, or as many as it takes, alone. [WIN-7]
+class NextFit:
+    """Packs sizes in order: a slot takes items while they fit. An item over `most` has a slot, or as many as it takes, alone. [WIN-7]"""
+
+    def __init__(self, most: int, extra: int = 0):
+        self.most, self.extra, self.slot, self.filled, self.is_open = most, extra, 0, 0, False
+
+    def place(self, n: int) -> int:
+        """The slot of the next item, the first of its slots if it takes several."""
+        if n > self.most:
+            at = self.slot + self.is_open
+            self.slot, self.filled, self.is_open = at - (-n // self.most), 0, False
+            return at
+        if self.is_open and self.filled + n + self.extra > self.most:
+            self.slot, self.filled = self.slot + 1, 0
+        self.filled, self.is_open = self.filled + n + self.extra, True
+        return self.slot
 
-    A loop over sizes, never over texts: each step depends on the one before, and a fold in columns would copy what it has so far at each.
-    """
+
+def next_fit(sizes: Column, most: int, extra: int = 0) -> Column:
+    """The slots of an array of sizes, such as those of one document's parts. Each step depends on the one before, and a fold in columns would copy what it has so far at each."""
 
     @F.pandas_udf("array<int>")
     def run(rows: pd.Series) -> pd.Series:
-        out = []
-        for row in rows:
-            slots, slot, filled, is_open = [], 0, 0, False
-            for n in row.tolist():
-                if n > most:
-                    slot += is_open
-                    slots.append(slot)
-                    slot, filled, is_open = slot - (-n // most), 0, False
-                    continue
-                if is_open and filled + n + extra > most:
-                    slot, filled = slot + 1, 0
-                slots.append(slot)
-                filled, is_open = filled + n + extra, True
-            out.append(slots)
-        return pd.Series(out)
+        return pd.Series([list(map(NextFit(most, extra).place, row.tolist())) for row in rows])
 
     return run(sizes)
 
 
+def slots_of(sized: DataFrame, most: int) -> DataFrame:
+    """Rows (report_id, ord, slot) of rows (report_id, ord, n): each report's sizes packed in order. A report streams through a task that holds one slot's state, however many documents it has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        report, fit = None, None
+        for batch in batches:
+            slots = []
+            for one, n in zip(batch["report_id"].tolist(), batch["n"].tolist(), strict=True):
+                if fit is None or one != report:
+                    report, fit = one, NextFit(most)
+                slots.append(fit.place(n))
+            yield batch[["report_id", "ord"]].assign(slot=slots)
+
+    kinds = dict(sized.dtypes)
+    in_order = sized.select("report_id", "ord", "n").repartition("report_id").sortWithinPartitions("report_id", "ord")
+    return in_order.mapInPandas(run, f"report_id {kinds['report_id']}, ord {kinds['ord']}, slot long")
+
+
 def pack_chunks(docs: DataFrame, max_chars: int = 80_000) -> DataFrame:
-    """(report_id, chunk, n_chunks, text) of documents(): chunks of whole documents in order; one that is too long is split at blank lines, or cut. [INS-4, INS-5]"""
+    """(report_id, chunk, n_chunks, text) of documents(): chunks of whole documents in order; one that is too long is split at blank lines, or cut. [INS-4, INS-5]
+
+    A task holds a chunk or a document; chunks are numbered without their texts.
+    """
     most = max(MIN_CHUNK, max_chars)
-    sized = docs.select("report_id", "ord", F.length("document").alias("n"))
-    plan = sized.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("ord", "n"))).alias("d"))
-    slots = plan.select("report_id", F.explode(F.arrays_zip(F.transform("d", lambda x: x["ord"]).alias("ord"), next_fit(F.transform("d", lambda x: x["n"]), most).alias("slot"))).alias("s")).select("report_id", "s.ord", "s.slot")
-    placed = docs.join(slots.hint("merge"), ["report_id", "ord"])
+    spark = docs.sparkSession
+    docs = runs.written(docs.select("report_id", "ord", "document"), runs.scratch(spark))
+    placed = docs.join(slots_of(docs.select("report_id", "ord", F.length("document").alias("n")), most).hint("merge"), ["report_id", "ord"])
     small = placed.where(F.length("document") <= most).select("report_id", "slot", F.lit(0).alias("piece"), "ord", F.lit(0).alias("at"), F.col("document").alias("part"))
     blocks = placed.where(F.length("document") > most).withColumn("bs", F.split("document", "\n\n"))
     inner = F.arrays_zip(F.col("bs").alias("b"), next_fit(F.transform("bs", F.length), most, 2).alias("piece"))
@@ -131,11 +152,12 @@ def pack_chunks(docs: DataFrame, max_chars: int = 80_000) -> DataFrame:
     pieces = F.when(F.length("b") > most, F.transform(F.sequence(F.lit(0), F.ceil(F.length("b") / most).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("b"), i * most + 1, F.lit(most)).alias("t"))))
     cut = each.withColumn("c", F.coalesce(pieces, F.array(F.struct(F.lit(0).alias("i"), F.col("b").alias("t"))))).select("report_id", "slot", "ord", "at", "piece", F.explode("c").alias("c"))
     large = cut.select("report_id", "slot", (F.col("piece") + F.col("c.i")).alias("piece"), "ord", "at", F.col("c.t").alias("part"))
-    joined = small.unionByName(large).groupBy("report_id", "slot", "piece").agg(F.array_sort(F.collect_list(F.struct("ord", "at", "part"))).alias("p"))
+    key = ["report_id", "slot", "piece"]
+    parts = small.unionByName(large).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "at", "part"))).alias("p"))
+    joined = runs.written(parts.select(*key, F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("text")), runs.scratch(spark))
     w = Window.partitionBy("report_id")
-    return joined.select(
-        "report_id", F.row_number().over(w.orderBy("slot", "piece")).alias("chunk"), F.count(F.lit(1)).over(w).alias("n_chunks"), F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("text")
-    )
+    numbers = joined.select(*key, F.row_number().over(w.orderBy("slot", "piece")).alias("chunk"), F.count(F.lit(1)).over(w).alias("n_chunks"))
+    return joined.join(numbers.hint("merge"), key).select("report_id", "chunk", "n_chunks", "text")
 
 
 def _by_language(language: Column, en: str, ko: str) -> Column:

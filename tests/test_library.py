@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import sqlite3
 import zipfile
 
@@ -173,6 +174,21 @@ def test_packing(spark):
     assert [r["text"][:1] + str(len(r["text"])) for r in reports.pack_chunks(rows, 1).orderBy("chunk").collect()] == ["s1", "a6000", "b5000", "c10000", "c10000", "c5000", "d10", "t1"]
 
 
+def test_slots_equal_a_loop(spark):
+    rng = random.Random(3)
+    sizes = {r: [rng.choice([0, 1, 50, 99, 100, 101, 250, rng.randint(0, 120)]) for _ in range(n)] for r, n in ((1, 0), (2, 1), (3, 400), (4, 3000))}
+    rows = spark.createDataFrame([(r, k, n) for r, ns in sizes.items() for k, n in enumerate(ns)], "report_id int, ord int, n int").repartition(5)
+    got = {(x["report_id"], x["ord"]): x["slot"] for x in reports.slots_of(rows, 100).collect()}
+    for r, ns in sizes.items():
+        groups, slot, at = _next_fit(ns, 100), 0, {}
+        for g in groups:
+            at |= dict.fromkeys(g, slot)
+            slot += max(1, -(-ns[g[0]] // 100)) if len(g) == 1 else 1
+        assert [got[r, k] for k in range(len(ns))] == [at[k] for k in range(len(ns))]
+    many = spark.range(1_000_000).select(F.lit(1).alias("report_id"), F.col("id").cast("int").alias("ord"), F.lit(30).alias("n"))
+    assert reports.slots_of(many, 100).agg(F.max("slot")).first()[0] == 333_333
+
+
 def test_sections_and_json(spark):
     out = spark.createDataFrame([("## Overview\n\nx ", "en"), ("x", "ko")], "m string, l string").select(reports.ensure_sections(F.col("m"), F.col("l")).alias("r"), reports.parsed_json(F.lit('```json\n{"a": 1}\n```')).cast("string").alias("j")).collect()
     assert out[0]["r"].startswith("## Overview\n\nx\n\n## Key concepts\n\n_Not provided._\n") and out[0]["r"].count("## ") == 7
