@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 PHRASE = r"""[^\s"']+"""
+#: Fixed value: what a citation is.
 CITATION = r"\[([A-Za-z0-9][A-Za-z0-9._:-]*)#m?(\d+)\]"
 
 
@@ -145,6 +146,7 @@ def link_citations(markdown: Column) -> Column:
     return F.array_join(F.zip_with(between, linked, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
 
 
+# The beginnings of links that are shown.
 def safe_link(url: Column) -> Column:
     """The url if it is a fragment, a local path, http(s) or mailto; '' otherwise. [TXT-5]"""
     bare = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")

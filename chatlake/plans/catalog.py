@@ -248,6 +248,21 @@ def safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("page_id", "link", T.safe_link(F.col("link")).alias("safe"))
 
 
+@_query(r"SELECT doc_id, sha256(trim(regexp_replace(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS digest FROM documents")
+def collapsed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(T.collapse_spaces(F.col("text")), 256).alias("digest"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS n_chars FROM documents")
+def json_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a generator gave as JSON, in a code fence, bare or broken off, read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    body = F.to_json(F.struct("lang", "n_chars", "text"))
+    output = F.when(F.col("doc_id") % 5 == 0, F.expr("substring(body, 1, length(body) - 1)")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), F.col("body"), F.lit("\n```"))).otherwise(F.col("body"))
+    read = docs.withColumn("body", body).select("doc_id", reports.parsed_json(output).alias("v"))
+    return read.select("doc_id", F.try_variant_get("v", "$.lang", "string").alias("lang"), F.try_variant_get("v", "$.n_chars", "bigint").alias("n_chars"))
+
+
 # Statistics and lookups
 
 
