@@ -32,14 +32,14 @@ from chatlake.llm.common import LARGE, bound_batches, cut, mix64
 MAX_WORDS, MIN_COUNT, TOP, SUBSUMED = 5, 100, 2000, 100
 #: Share of the documents that proposes phrases, and how far below its part of the least count the sample's threshold lies.
 SAMPLE, LOWERED = 1 / 16, 0.5
-#: Bits of the set of proposals: 16 MB. Two bits stand for a phrase; a fuller set lets more phrases be counted.
-FILTER_BITS = 1 << 27
+#: Bits of each set of hashes: 8 MB. Two bits stand for a phrase; a fuller set lets more phrases be counted.
+FILTER_BITS = 1 << 26
 #: Phrases that a task holds before it sends them.
 HELD = 400_000
 #: Words of 64 bits that one task puts together.
 BLOCK = 4096
 #: Bytes of text that a task counts at a time, and of a text that it takes at a time, up to the end of a piece.
-CHUNK, SEGMENT = 6 << 20, 4 << 20
+CHUNK, SEGMENT = 4 << 20, 2 << 20
 #: All that ends a piece becomes a full stop, and tabs become spaces.
 _FOLD = bytes(ord(".") if c in b".,;:!?\n\v\f\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
