@@ -61,7 +61,7 @@ def postings_of(titled: DataFrame) -> DataFrame:
     def spots(tokens: str, before: Column) -> Column:
         return F.transform(tokens, lambda w, i: F.struct(w.alias("w"), (i + before).alias("p")))
 
-    in_order = split.withColumn("s", F.array_sort(F.concat(spots("t0", F.lit(0)), spots("t1", F.size("t0") + 1)))).drop("t0", "t1")
+    in_order = split.withColumn("s", F.sort_array(F.concat(spots("t0", F.lit(0)), spots("t1", F.size("t0") + 1)))).drop("t0", "t1")
     begins = in_order.withColumn("b", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i)["w"] != F.get("s", i - 1)["w"])))
     groups = F.transform("b", lambda at, k: F.struct(F.get("s", at)["w"].alias("term"), F.transform(F.slice("s", at + 1, F.coalesce(F.get("b", k + 1), F.col("dl")) - at), lambda x: x["p"]).alias("positions")))
     each = begins.select("message_id", "conversation_id", "dl", F.explode(groups).alias("g")).select("g.term", "message_id", "conversation_id", "g.positions", "dl")
