@@ -36,6 +36,8 @@ SAMPLE, LOWERED = 1 / 16, 0.5
 FILTER_BITS = 1 << 26
 #: Phrases that a task holds before it sends them.
 HELD = 400_000
+#: Parts of the input that a task of the second pass takes, unless that leaves fewer than two tasks for each core: each task gives each frequent phrase once.
+TAKEN = 4
 #: Words of 64 bits that one task puts together.
 BLOCK = 4096
 #: Bytes of text that a task counts at a time, and of a text that it takes at a time, up to the end of a piece.
@@ -229,7 +231,9 @@ def frequent_phrases(texts: DataFrame, min_count: int = MIN_COUNT, max_words: in
     bits = sc.broadcast(with_bits(none, rows.where(F.col("n") >= max(2, int(LOWERED * sample * min_count)))))
     reached = cut(hash_counts(texts, bits, max_words).where(F.col("n") >= min_count).select("hash"))
     failures = sc.broadcast(with_bits(none, unproposed(reached, bits)))
-    counted = phrase_counts(texts, bits, failures, sc.broadcast(with_bits(none, reached)), max_words)
+    # Without a shuffle; more parts and more frequent phrases would else multiply.
+    shared = texts.coalesce(max(2 * sc.defaultParallelism, texts.rdd.getNumPartitions() // TAKEN))
+    counted = phrase_counts(shared, bits, failures, sc.broadcast(with_bits(none, reached)), max_words)
     return cut(counted.where((F.col("n") >= min_count) | (F.col("phrase") == "")))
 
 
